@@ -1,0 +1,17 @@
+"""A let-binding for column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it any number of times in ``body``.
+
+    An expression named inside a lambda is evaluated for every element the lambda sees, so an
+    array that lambdas index into has to be bound first.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
