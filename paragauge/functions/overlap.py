@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paragauge.functions.porter import stem
+
 MAX_ORDER = 4
 
 # Tokens numbered at once; a longer row is a slice of its own.
@@ -52,8 +54,15 @@ class _Tokens:
             [np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes]
         )
         self.is_hyp = np.arange(len(self.row)) < sizes[0].sum()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.key = pd.factorize(self.row * len(words.dictionary) + codes)[0]
+        self.words = words.dictionary
+        self.code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.key = pd.factorize(self.row * len(self.words) + self.code)[0]
+
+    def stem_keys(self, left: np.ndarray) -> np.ndarray:
+        """Keys of the tokens at ``left`` by stem; a distinct word is stemmed once."""
+        used, at = np.unique(self.code[left], return_inverse=True)
+        stems = pd.factorize(np.array([stem(w) for w in self.words.take(used).to_pylist()], "O"))[0]
+        return pd.factorize(self.row[left] * len(used) + stems[at])[0]
 
 
 def _order_matches(tokens: _Tokens, max_order: int) -> np.ndarray:
@@ -85,18 +94,29 @@ def _from_end(key: np.ndarray) -> np.ndarray:
     return back.groupby(back).cumcount().to_numpy()[::-1]
 
 
-def _pair_words(tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and codes of matches, in row and hypothesis order."""
-    if not len(tokens.key):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hyp, ref = tokens.is_hyp, ~tokens.is_hyp
-    width = len(tokens.key) + 1
-    hyp_rank = tokens.key[hyp] * width + _from_end(tokens.key[hyp])
-    ref_rank = tokens.key[ref] * width + _from_end(tokens.key[ref])
+def _pair_equal(key: np.ndarray, is_hyp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of partners: the k-th last of a key on one side, the k-th last on the other."""
+    width = len(key) + 1
+    hyp, ref = np.flatnonzero(is_hyp), np.flatnonzero(~is_hyp)
+    hyp_rank = key[hyp] * width + _from_end(key[hyp])
+    ref_rank = key[ref] * width + _from_end(key[ref])
     partner = pd.Index(ref_rank).get_indexer(hyp_rank)
-    found = partner >= 0
-    codes = (tokens.pos[hyp][found] << 32) | tokens.pos[ref][partner[found]]
-    return tokens.row[hyp][found], codes
+    return hyp[partner >= 0], ref[partner[partner >= 0]]
+
+
+def _pair_words(tokens: _Tokens, by_stem: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and codes of matches, in row and hypothesis order."""
+    hyp, ref = _pair_equal(tokens.key, tokens.is_hyp)
+    if by_stem:
+        free = np.ones(len(tokens.key), dtype=bool)
+        free[hyp] = free[ref] = False
+        left = np.flatnonzero(free)
+        more_hyp, more_ref = _pair_equal(tokens.stem_keys(left), tokens.is_hyp[left])
+        hyp = np.concatenate([hyp, left[more_hyp]])
+        ref = np.concatenate([ref, left[more_ref]])
+        order = np.argsort(hyp)
+        hyp, ref = hyp[order], ref[order]
+    return tokens.row[hyp], (tokens.pos[hyp] << 32) | tokens.pos[ref]
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -108,28 +128,36 @@ def _clipped_matches(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _matched_words(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    sizes, codes = [], []
+def _match_lists(hyp: pa.Array, ref: pa.Array, by_stem: bool) -> pa.Array:
+    sizes, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for h, r in _slices(hyp, ref):
-        row, code = _pair_words(_Tokens(h, r))
+        row, code = _pair_words(_Tokens(h, r), by_stem)
         sizes.append(np.bincount(row, minlength=len(h)))
         codes.append(code)
-    if not sizes:
-        return pa.array([], pa.list_(pa.int64()))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(codes)))
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _equal_words(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    return _match_lists(hyp, ref, by_stem=False)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _equal_words_then_stems(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    return _match_lists(hyp, ref, by_stem=True)
+
+
 def clipped_matches(hyp: Column, ref: Column) -> Column:
     """For orders 1 to 4: sum over distinct n-grams of min(count in hyp, count in ref)."""
     return _clipped_matches(hyp, ref)
 
 
-def matched_words(hyp: Column, ref: Column) -> Column:
-    """Alignment of two token arrays: the k-th last occurrence of a token on one side pairs
-    with the k-th last on the other, which is what a greedy scan from the end finds.
+def matched_words(hyp: Column, ref: Column, by_stem: bool) -> Column:
+    """Alignment of two token arrays by equality, then of what is left by equal stems.
 
-    A match is one long: hypothesis position in the upper 32 bits, reference position below.
+    The k-th last occurrence of a token on one side pairs with the k-th last on the other, which
+    is what a greedy scan from the end finds. A match is one long: hypothesis position in the
+    upper 32 bits, reference position below.
     """
-    return _matched_words(hyp, ref)
+    return _equal_words_then_stems(hyp, ref) if by_stem else _equal_words(hyp, ref)

@@ -1,16 +1,17 @@
-"""Porter stemming of an array of lower-cased words with regular expressions.
+"""Porter stemming for the stem stage of word alignment.
 
-The published algorithm, with the usual extensions of the METEOR stemmer: irregular forms,
-words of one or two letters kept, four-letter ``-ies``/``-ied``, ``-fulli`` and ``-logi``.
-Each step is its own ``transform`` so that a word is computed once per step, on the JVM.
+The published algorithm with the extensions METEOR's stemmer uses: irregular forms, words of
+one or two letters kept, four-letter ``-ies``/``-ied``, ``-alli``, ``-fulli`` and ``-logi``.
+Words are looked at once per distinct word of a batch, never once per token.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
-from pyspark.sql import Column
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Irregular words and their stems.
 IRREGULAR = {
@@ -41,109 +42,95 @@ STEP4 = [
 ]
 
 # Vowel/consonant shapes; y is a consonant at the start or after a vowel.
-_V1 = "^(?:[aeiou]|[^aeiou][^aeiouy]*[aeiouy])"
-_VC = _V1 + "[aeiou]*[^aeiou]"
-HAS_VOWEL = _V1
-MEASURE_1_UP = _VC
-MEASURE_2_UP = _VC + "[^aeiouy]*[aeiouy][aeiou]*[^aeiou]"
+VOWEL = "^(?:[aeiou]|[^aeiou][^aeiouy]*[aeiouy])"
+MEASURE_1_UP = VOWEL + "[aeiou]*[^aeiou]"
+MEASURE_2_UP = MEASURE_1_UP + "[^aeiouy]*[aeiouy][aeiou]*[^aeiou]"
 ENDS_CVC = "(?:(?:[^aeiouy]|^y|[aeiou]y)[aeiouy][^aeiouwxy]|^[aeiou][^aeiou])$"
 
+_has_vowel = re.compile(VOWEL, re.S).search
+_measure_1_up = re.compile(MEASURE_1_UP, re.S).search
+_measure_2_up = re.compile(MEASURE_2_UP, re.S).search
+_ends_cvc = re.compile(ENDS_CVC, re.S).search
 
-def _chop(word: Column, n: int) -> Column:
-    return F.left(word, F.length(word) - F.lit(n))
 
+def _suffix(word: str, suffixes) -> str:
+    return max((s for s in suffixes if word.endswith(s)), key=len, default="")
 
-def _plural(w: Column) -> Column:
-    return (
-        F.when(w.rlike("^.ies$"), _chop(w, 1))
-        .when(w.rlike("(?:ss|i)es$"), _chop(w, 2))
-        .when(w.rlike("[^s]s$|^s$"), _chop(w, 1))
-        .otherwise(w)
-    )
 
+def _plural(w: str) -> str:
+    if w.endswith("ies"):
+        return w[:-1] if len(w) == 4 else w[:-2]
+    if w.endswith("sses"):
+        return w[:-2]
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
 
-def _tidy_past(stem: Column) -> Column:
-    double = F.right(stem, F.lit(1)) == F.substring(stem, -2, 1)
-    return (
-        F.when(stem.rlike("(?:at|bl|iz)$"), F.concat(stem, F.lit("e")))
-        .when(stem.rlike("..$") & double & stem.rlike("[^aeiou]$"),
-              F.when(stem.rlike("[lsz]$"), stem).otherwise(_chop(stem, 1)))
-        .when(stem.rlike(MEASURE_1_UP) & ~stem.rlike(MEASURE_2_UP) & stem.rlike(ENDS_CVC),
-              F.concat(stem, F.lit("e")))
-        .otherwise(stem)
-    )
 
+def _past(w: str) -> str:
+    if w.endswith("ied"):
+        return w[:-1] if len(w) == 4 else w[:-2]
+    if w.endswith("eed"):
+        return w[:-1] if _measure_1_up(w[:-3]) else w
+    stem = w.removesuffix("ed") if w.endswith("ed") else w.removesuffix("ing")
+    if stem == w or not _has_vowel(stem):
+        return w
+    if stem.endswith(("at", "bl", "iz")):
+        return stem + "e"
+    if stem[-1:] == stem[-2:-1] and stem[-1] not in "aeiou":
+        return stem if stem[-1] in "lsz" else stem[:-1]
+    short = _measure_1_up(stem) and not _measure_2_up(stem) and _ends_cvc(stem)
+    return stem + "e" if short else stem
 
-def _past(w: Column) -> Column:
-    return (
-        F.when(w.rlike("^.ied$"), _chop(w, 1))
-        .when(w.rlike("ied$"), _chop(w, 2))
-        .when(w.rlike("eed$"), F.when(_chop(w, 3).rlike(MEASURE_1_UP), _chop(w, 1)).otherwise(w))
-        .when(w.rlike("ed$") & _chop(w, 2).rlike(HAS_VOWEL), _tidy_past(_chop(w, 2)))
-        .when(w.rlike("ing$") & _chop(w, 3).rlike(HAS_VOWEL), _tidy_past(_chop(w, 3)))
-        .otherwise(w)
-    )
 
+def _final_y(w: str) -> str:
+    return w[:-1] + "i" if re.search(".[^aeiouy]y$|[aeiou]yy$", w) else w
 
-def _final_y(w: Column) -> Column:
-    return F.when(w.rlike(".[^aeiouy]y$|[aeiou]yy$"), F.concat(_chop(w, 1), F.lit("i"))).otherwise(w)
 
+def _replace(w: str, rules: dict[str, str]) -> str:
+    suffix = _suffix(w, rules)
+    stem = w.removesuffix(suffix)
+    return stem + rules[suffix] if suffix and _measure_1_up(stem) else w
 
-def _replace_suffix(w: Column, rules: dict[str, str]) -> Column:
-    suffix = F.regexp_extract(w, "(?:" + "|".join(rules) + ")$", 0)
-    table = F.create_map(*[F.lit(x) for rule in rules.items() for x in rule])
-    stem = F.left(w, F.length(w) - F.length(suffix))
-    return F.when(
-        (suffix != "") & stem.rlike(MEASURE_1_UP), F.concat(stem, F.element_at(table, suffix))
-    ).otherwise(w)
 
+def _double(w: str) -> str:
+    if w.endswith("alli") and _measure_1_up(w[:-4]):
+        w = w[:-2]
+    if w.endswith("logi"):
+        return w[:-1] if _measure_1_up(w[:-3]) else w
+    return _replace(w, STEP2)
 
-def _double_suffix(w: Column) -> Column:
-    logi = w.rlike("logi$")
-    return F.when(
-        logi, F.when(_chop(w, 3).rlike(MEASURE_1_UP), _chop(w, 1)).otherwise(w)
-    ).otherwise(_replace_suffix(w, STEP2))
 
+def _derived(w: str) -> str:
+    suffix = _suffix(w, STEP4)
+    stem = w.removesuffix(suffix)
+    if suffix == "ion" and stem[-1:] not in ("s", "t"):
+        return w
+    return stem if _measure_2_up(stem) else w
 
-def _derived_suffix(w: Column) -> Column:
-    suffix = F.regexp_extract(w, "(?:" + "|".join(STEP4) + ")$", 0)
-    stem = F.left(w, F.length(w) - F.length(suffix))
-    droppable = (suffix != "ion") | stem.rlike("[st]$")
-    return F.when((suffix != "") & droppable & stem.rlike(MEASURE_2_UP), stem).otherwise(w)
 
+def _final_e(w: str) -> str:
+    stem = w.removesuffix("e")
+    keep = not _measure_2_up(stem) and (not _measure_1_up(stem) or _ends_cvc(stem))
+    return w if keep else stem
 
-def _final_e(w: Column) -> Column:
-    stem = _chop(w, 1)
-    keep = ~stem.rlike(MEASURE_2_UP) & (~stem.rlike(MEASURE_1_UP) | stem.rlike(ENDS_CVC))
-    return F.when(w.rlike("e$") & ~keep, stem).otherwise(w)
 
+def _final_ll(w: str) -> str:
+    return w[:-1] if w.endswith("ll") and _measure_2_up(w[:-1]) else w
 
-def _final_ll(w: Column) -> Column:
-    return F.when(w.rlike("ll$") & _chop(w, 1).rlike(MEASURE_2_UP), _chop(w, 1)).otherwise(w)
 
+def stem(word: str) -> str:
+    """Stem of a lower-cased word."""
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    if len(word) > 2:
+        word = _final_y(_past(_plural(word)))
+        word = _final_ll(_final_e(_derived(_replace(_double(word), STEP3))))
+    return word
 
-def _alli(w: Column) -> Column:
-    # -alli becomes -al and is looked at once more by step 2.
-    return F.when(
-        w.rlike("alli$") & _chop(w, 4).rlike(MEASURE_1_UP), _chop(w, 2)
-    ).otherwise(w)
 
-
-STEPS = [
-    _plural, _past, _final_y, _alli, _double_suffix,
-    lambda w: _replace_suffix(w, STEP3), _derived_suffix, _final_e, _final_ll,
-]
-
-
-def stem_words(words: Column) -> Column:
-    """Stem each word of an array of lower-cased words."""
-    stems = reduce(lambda arr, step: F.transform(arr, step), STEPS, words)
-    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
-    return F.zip_with(
-        words, stems,
-        lambda w, s: F.coalesce(F.element_at(irregular, w), F.when(F.length(w) <= 2, w), s),
-    )
-
-
-def stem_word(word: Column) -> Column:
-    return F.get(stem_words(F.array(word)), F.lit(0))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_words(words: pa.Array) -> pa.Array:
+    """Stems of an array of words; each distinct word of the batch is stemmed once."""
+    coded = words.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+    return pa.ListArray.from_arrays(starts, stems.take(coded.indices))

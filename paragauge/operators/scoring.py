@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paragauge.functions import align, lcs, overlap, porter, text
+from paragauge.functions import align, lcs, overlap, text
 
 MAX_ORDER = overlap.MAX_ORDER
 
@@ -197,63 +197,16 @@ def with_rouge_l(aligned: DataFrame, summary: bool = False) -> DataFrame:
 
 
 def with_word_matches(aligned: DataFrame, stem: bool = True) -> DataFrame:
-    """Add word counts, ``matches``, and what the stages so far left over on each side:
-    positions ``hyp_at``/``ref_at`` and keys ``hyp_left``/``ref_left``.
-
-    The keys left by the stem stage are stems, which is what the synonym stage sees.
-    """
+    """Add word arrays ``hyp_words``/``ref_words`` and ``matches`` of the exact (and stem) stage."""
     df = _answered(aligned).withColumns(
         {
-            "_hyp": text.tokenize_words(F.col("answer")),
-            "_ref": text.tokenize_words(F.coalesce("target", F.lit(""))),
+            "hyp_words": text.tokenize_words(F.col("answer")),
+            "ref_words": text.tokenize_words(F.coalesce("target", F.lit(""))),
         }
     )
-    df = df.withColumns(
-        {
-            "hyp_words": F.size("_hyp"),
-            "ref_words": F.size("_ref"),
-            "matches": overlap.matched_words(F.col("_hyp"), F.col("_ref")),
-        }
+    return df.withColumn(
+        "matches", overlap.matched_words(F.col("hyp_words"), F.col("ref_words"), by_stem=stem)
     )
-    df = df.withColumns(
-        {
-            f"{side}_at": align.left_positions(F.size(f"_{side}"), F.transform("matches", place))
-            for side, place in _PLACES.items()
-        }
-    )
-    left = {side: align.words_at(F.col(f"_{side}"), F.col(f"{side}_at")) for side in _PLACES}
-    if stem:
-        left = {side: porter.stem_words(words) for side, words in left.items()}
-    df = df.withColumns({f"{side}_left": words for side, words in left.items()})
-    return _with_matches_of_left(df) if stem else df.drop("_hyp", "_ref")
-
-
-_PLACES = {"hyp": align.hyp_position, "ref": align.ref_position}
-
-
-def _with_matches_of_left(df: DataFrame) -> DataFrame:
-    """Align the left-over keys, add what matches and keep what is left then."""
-    df = df.withColumn("_found", overlap.matched_words(F.col("hyp_left"), F.col("ref_left")))
-    df = df.withColumns(
-        {
-            "matches": F.concat(
-                "matches", align.at_positions(F.col("_found"), F.col("hyp_at"), F.col("ref_at"))
-            ),
-            **{
-                f"_{side}": align.left_positions(
-                    F.size(f"{side}_left"), F.transform("_found", place)
-                )
-                for side, place in _PLACES.items()
-            },
-        }
-    )
-    return df.withColumns(
-        {
-            f"{side}_{part}": align.words_at(F.col(f"{side}_{part}"), F.col(f"_{side}"))
-            for side in _PLACES
-            for part in ("at", "left")
-        }
-    ).drop("_found", "_hyp", "_ref")
 
 
 def meteor_score(matches: Column, chunks: Column, hyp: Column, ref: Column) -> Column:
@@ -273,8 +226,15 @@ def with_meteor(
 
         df = with_synonym_matches(df, synonyms)
     return (
-        df.withColumns({"matched": F.size("matches"), "chunks": align.chunk_count(F.col("matches"))})
-        .drop("matches", "hyp_at", "ref_at", "hyp_left", "ref_left")
+        df.withColumns(
+            {
+                "matched": F.size("matches"),
+                "chunks": align.chunk_count(F.col("matches")),
+                "hyp_words": F.size("hyp_words"),
+                "ref_words": F.size("ref_words"),
+            }
+        )
+        .drop("matches")
         .withColumn(
             "meteor",
             meteor_score(F.col("matched"), F.col("chunks"), F.col("hyp_words"), F.col("ref_words")),
