@@ -71,10 +71,11 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = pairs(spark, sf_dir)
     out = None
     for family, template in TEMPLATES.items():
+        gap = "" if template.generation else template.opening[None]
         part = with_prompts(base, template, model=family).select(
             "row_id",
             F.lit(family).alias("family"),
-            F.concat("prompt", "target", F.lit(template.eos)).alias("raw"),
+            F.concat("prompt", F.lit(gap), "target", F.lit(template.eos)).alias("raw"),
         )
         out = part if out is None else out.unionByName(part)
     return out
