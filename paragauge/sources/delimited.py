@@ -18,10 +18,10 @@ TAB = "\t"
 _EXTRA, _RAW = "_extra", "_raw"
 
 
-def _reader(spark: SparkSession, sep: str):
+def _reader(spark: SparkSession, sep: str, header: bool = True):
     return (
         spark.read.option("sep", sep)
-        .option("header", True)
+        .option("header", header)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
@@ -47,7 +47,7 @@ def read_delimited(
 
 
 def read_skipping_bad_lines(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = ","
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected raw lines). A line with too many fields is bad; a short one is
     padded with nulls. Both frames are lazy, so count the second one to report it."""
@@ -58,7 +58,7 @@ def read_skipping_bad_lines(
             T.StructField(_RAW, T.StringType()),
         ]
     )
-    df = _reader(spark, sep).option("columnNameOfCorruptRecord", _RAW).schema(extended).csv(path)
+    df = _reader(spark, sep, header).option("columnNameOfCorruptRecord", _RAW).schema(extended).csv(path)
     # Against one field too many in the schema, a regular line is flagged as short and keeps its
     # raw text; a line without raw text filled the extra field. Beyond that, count separators
     # outside quoted fields.
