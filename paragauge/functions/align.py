@@ -30,10 +30,6 @@ def left_positions(size: Column, taken: Column) -> Column:
     return F.array_except(everything, taken)
 
 
-def words_at(tokens: Column, positions: Column) -> Column:
-    return let(tokens, lambda t: F.transform(positions, lambda p: F.get(t, p)))
-
-
 def at_positions(matches: Column, hyp: Column, ref: Column) -> Column:
     """Matches between left-over words, as matches between the texts they were left over from."""
     return F.transform(

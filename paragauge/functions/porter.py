@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,10 +128,25 @@ def stem(word: str) -> str:
     return word
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def stem_words(words: pa.Array) -> pa.Array:
-    """Stems of an array of words; each distinct word of the batch is stemmed once."""
-    coded = words.flatten().dictionary_encode()
+def _left_stems(words: pa.Array, matches: pa.Array, place) -> pa.Array:
+    sizes = np.diff(words.offsets.to_numpy())
+    starts = np.cumsum(sizes) - sizes
+    found = np.diff(matches.offsets.to_numpy())
+    free = np.ones(sizes.sum(), dtype=bool)
+    free[np.repeat(starts, found) + place(matches.flatten().to_numpy())] = False
+    coded = words.flatten().filter(pa.array(free)).dictionary_encode()
     stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-    starts = words.offsets.to_numpy() - words.offsets[0].as_py()
-    return pa.ListArray.from_arrays(starts, stems.take(coded.indices))
+    offsets = np.concatenate([[0], np.cumsum(sizes - found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, stems.take(coded.indices))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def hyp_left_stems(words: pa.Array, matches: pa.Array) -> pa.Array:
+    """Stems of the hypothesis words no match takes; a distinct word is stemmed once."""
+    return _left_stems(words, matches, lambda m: m >> 32)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def ref_left_stems(words: pa.Array, matches: pa.Array) -> pa.Array:
+    """Stems of the reference words no match takes."""
+    return _left_stems(words, matches, lambda m: m & 0xFFFFFFFF)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,16 +57,8 @@ def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:
     left = matched.select(
         "row_id",
         "model",
-        *[
-            align.words_at(F.col(words), places).alias(name)
-            for words, places, name in _left_over()
-        ],
-    )
-    left = left.select(
-        "row_id",
-        "model",
-        porter.stem_words("hyp_left").alias("hyp_left"),
-        porter.stem_words("ref_left").alias("ref_left"),
+        porter.hyp_left_stems("hyp_words", "matches").alias("hyp_left"),
+        porter.ref_left_stems("ref_words", "matches").alias("ref_left"),
     )
     words = left.select(
         "row_id", "model", "ref_left", F.posexplode("hyp_left").alias("place", "word")
@@ -84,23 +76,19 @@ def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:
     picked = edges.select(
         "row_id", "model", _picked("places", "alts", "ref_left").alias("_synonyms")
     )
-    hyp, ref = (places for _, places, _ in _left_over())
+    places = {
+        "_hyp_at": _free("hyp_words", align.hyp_position),
+        "_ref_at": _free("ref_words", align.ref_position),
+    }
     more = align.at_positions(F.col("_synonyms"), F.col("_hyp_at"), F.col("_ref_at"))
     return (
         matched.join(picked, ["row_id", "model"], "left")
-        .withColumns({"_hyp_at": hyp, "_ref_at": ref})
+        .withColumns(places)
         .withColumn("matches", F.concat("matches", F.coalesce(more, align.no_matches())))
         .drop("_synonyms", "_hyp_at", "_ref_at")
     )
 
 
-def _left_over():
-    """(words, positions no match takes, name) for both sides."""
-    return [
-        (
-            f"{side}_words",
-            align.left_positions(F.size(f"{side}_words"), F.transform("matches", place)),
-            f"{side}_left",
-        )
-        for side, place in (("hyp", align.hyp_position), ("ref", align.ref_position))
-    ]
+def _free(words: str, place) -> Column:
+    """Positions no match takes, in the order of the left-over stems."""
+    return align.left_positions(F.size(words), F.transform("matches", place))
