@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paragauge.sources.dialogue import pairs_from_turns
+from paragauge.sources.tables import spread
 
 MODELS = [
     "org/copy", "org/half-0.7", "org/source-bnb-4bit", "org/swap", "org/upper(finetuned)",
@@ -21,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_from_turns(table(spark, sf_dir, "conversations"))
 

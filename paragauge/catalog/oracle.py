@@ -462,10 +462,16 @@ ORACLE: dict[str, str] = {
     "tokenize_13a": doc_tokens(tok_13a),
     "tokenize_rouge": doc_tokens(tok_rouge),
     "tokenize_words": doc_tokens(tok_words),
-    "ngrams": f"""SELECT doc_id, n, len(g) AS n_grams, md5(array_to_string(g, '|')) AS digest
-      FROM (SELECT doc_id, n, [array_to_string(t[i:i + n - 1], ' ') for i in range(1, len(t) - n + 2)] AS g
-            FROM (SELECT doc_id, {tok_rouge("text")} AS t FROM documents),
-                 (SELECT unnest(range(1, 5)) AS n))""",
+    "ngrams": f"""WITH w AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i
+        FROM (SELECT doc_id, {tok_rouge("text")} AS t FROM documents)),
+      g1 AS (SELECT doc_id, i, w AS g, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+        FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+      g AS (SELECT doc_id, i, unnest([1, 2, 3, 4]) AS n,
+        unnest([g, g || ' ' || w2, g || ' ' || w2 || ' ' || w3, g || ' ' || w2 || ' ' || w3 || ' ' || w4]) AS g
+        FROM g1)
+      SELECT d.doc_id, o.n, count(g.g) AS n_grams, md5(coalesce(string_agg(g.g, '|' ORDER BY g.i), '')) AS digest
+      FROM documents d CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) o
+      LEFT JOIN g ON g.doc_id = d.doc_id AND g.n = o.n GROUP BY ALL""",
     "length_cap": f"""SELECT doc_id, len(t) AS n_tokens, len(t) > 512 AS truncated,
       array_to_string(t[1:512], ' ') AS capped
       FROM (SELECT doc_id, {tok_words("text")} AS t FROM documents)""",

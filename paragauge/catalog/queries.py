@@ -479,7 +479,7 @@ def model_basename(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir, tokenize) -> DataFrame:
-    docs = fx.documents(spark, sf_dir).select("doc_id", tokenize(F.col("text")).alias("t"))
+    docs = fx.texts(spark, sf_dir).select("doc_id", tokenize(F.col("text")).alias("t"))
     return docs.select(
         "doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens")
     )
@@ -503,7 +503,7 @@ def tokenize_words(spark, sf_dir):
 @query
 def ngrams(spark, sf_dir):
     """All n-grams of all documents, as one digest per document and order."""
-    docs = fx.documents(spark, sf_dir).select(
+    docs = fx.texts(spark, sf_dir).select(
         "doc_id", text.tokenize_rouge(F.col("text")).alias("t")
     )
     orders = [
@@ -518,7 +518,7 @@ def ngrams(spark, sf_dir):
 
 @query
 def length_cap(spark, sf_dir):
-    docs = fx.documents(spark, sf_dir).select("doc_id", "text")
+    docs = fx.texts(spark, sf_dir)
     return corpus.length_cap(docs, cap=512).drop("text")
 
 
@@ -546,7 +546,7 @@ def _count_words(batch: pd.DataFrame) -> pd.DataFrame:
 
 @query
 def map_batches(spark, sf_dir):
-    docs = fx.documents(spark, sf_dir).select("doc_id", "text")
+    docs = fx.texts(spark, sf_dir)
     return generate.map_batches(docs, _count_words, "doc_id bigint, n_words bigint")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,11 @@ def leading_int(key: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
-def poisson_weight(key: Column) -> Column:
-    """How often a row is drawn in one bootstrap replicate (0 to 7)."""
-    u = leading_int(key) / F.lit(4294967296.0)
-    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON_CDF), F.lit(0))
+def poisson_weight(digits: Column) -> Column:
+    """How often a row is drawn in one bootstrap replicate (0 to 7), from 8 hex digits.
+
+    The digits stand for a number u in [0, 1); fixed-width hex compares like the number, so
+    ``u >= p`` needs no conversion.
+    """
+    limits = [f"{math.ceil(p * 2**32):08x}" for p in POISSON_CDF]
+    return sum((F.when(digits >= limit, 1).otherwise(0) for limit in limits), F.lit(0))

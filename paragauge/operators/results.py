@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def align(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
     """``(row_id, model, target, prediction)`` for every prediction that has a pair.
 
-    Partitioning the predictions by ``row_id`` serves the join when the pairs are large and
-    spreads the scoring work when they are small enough for Spark to broadcast.
+    The merge hint keeps both sides partitioned by ``row_id`` at every size: scoring is the heavy
+    part, so it must spread over all tasks even where Spark would broadcast small pairs, and the
+    join stays one that adaptive execution splits if rows pile up on one id.
     """
-    refs = pairs.select("row_id", "target")
-    hyps = predictions.select("row_id", "model", "prediction").repartition("row_id")
+    refs = pairs.select("row_id", "target").hint("merge")
+    hyps = predictions.select("row_id", "model", "prediction")
     return hyps.join(refs, "row_id").select("row_id", "model", "target", "prediction")
 
 
@@ -24,7 +25,11 @@ def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def coverage(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Per model: expected, present, missing, duplicated and orphaned predictions."""
+    """Per model: expected, present, missing, duplicated and orphaned predictions.
+
+    Copies are counted before anything is joined, so a heap of copies of one row shrinks to one
+    row per task first.
+    """
     refs = pairs.select("row_id", F.lit(True).alias("known"))
     per_row = predictions.groupBy("row_id", "model").agg(F.count("*").alias("copies"))
     per_model = (

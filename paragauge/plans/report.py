@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from paragauge.operators import scoring
-from paragauge.operators.results import align, model_basename
+from paragauge.operators.results import align, model_basename, require_coverage
 
 SCORES = ["accuracy", "meteor", "bleu_1", "rouge_l"]
 
@@ -26,14 +26,20 @@ def score_rows(
 
 
 def metrics(
-    pairs: DataFrame, predictions: DataFrame, synonyms: DataFrame | None = None
+    pairs: DataFrame,
+    predictions: DataFrame,
+    synonyms: DataFrame | None = None,
+    check: bool = True,
 ) -> DataFrame:
     """One row per model: ``accuracy, meteor, bleu_1, rouge_l, all_metrics``.
 
     All models and metrics come from one pass over the aligned rows. ``bleu_1`` keeps the
     report's usual name but is corpus BLEU of order 4; unigram precision is
-    ``all_metrics.bleu_scores.precisions[0]``.
+    ``all_metrics.bleu_scores.precisions[0]``. With ``check``, a first job over the ids raises
+    unless each model has one prediction per pair; without, only present ones are scored.
     """
+    if check:
+        require_coverage(pairs, predictions)
     totals = score_rows(pairs, predictions, synonyms).groupBy("model").agg(
         F.avg(F.col("exact").cast("double")).alias("accuracy"),
         F.avg("meteor").alias("meteor"),
