@@ -34,7 +34,9 @@ def pick_synonyms(edges: list[tuple[int, str]], ref: list[str]) -> list[int]:
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _picked(places: pd.Series, alts: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([pick_synonyms(list(zip(p, a)), list(r)) for p, a, r in zip(places, alts, ref)])
+    return pd.Series(
+        [pick_synonyms(list(zip(p.tolist(), a)), list(r)) for p, a, r in zip(places, alts, ref)]
+    )
 
 
 def _with_alternatives(words: DataFrame, synonyms: DataFrame) -> DataFrame:
