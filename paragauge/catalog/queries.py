@@ -192,7 +192,7 @@ def row_slice(spark, sf_dir):
 
 @query
 def scored_pairs(spark, sf_dir):
-    return aligned(spark, sf_dir)
+    return aligned(spark, sf_dir).select("row_id", "model", "target", "prediction")
 
 
 @query

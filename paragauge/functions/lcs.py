@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in ("lcs", "hyp", "ref")])
+
+
 def bit_rows(a: list[str], b: list[str]) -> Iterator[int]:
     """After each token of ``b``: the places in ``a`` where the length grows, as zero bits."""
     where: dict[str, int] = {}
@@ -71,17 +74,22 @@ def summary_hits(target: list[list[str]], answer: list[list[str]]) -> int:
     return hits
 
 
-@F.pandas_udf(T.LongType())
-def lcs_length(target: pd.Series, answer: pd.Series) -> pd.Series:
-    return pd.Series([lcs_size(t.split(), a.split()) for t, a in zip(target, answer)])
-
-
 def _sentences(lines: str) -> list[list[str]]:
     return [tokens for line in lines.split("\n") if (tokens := line.split())]
 
 
-@F.pandas_udf(T.LongType())
-def lcs_summary(target: pd.Series, answer: pd.Series) -> pd.Series:
-    return pd.Series(
-        [summary_hits(_sentences(t), _sentences(a)) for t, a in zip(target, answer)]
+@F.arrow_udf(_COUNTS)
+def lcs_length(target: pa.Array, answer: pa.Array) -> pa.Array:
+    """Subsequence length with the token counts of both sides."""
+    sides = [(t.split(), a.split()) for t, a in zip(target.to_pylist(), answer.to_pylist())]
+    columns = zip(*((lcs_size(t, a), len(a), len(t)) for t, a in sides))
+    return pa.StructArray.from_arrays(
+        [pa.array(c, pa.int64()) for c in columns], names=["lcs", "hyp", "ref"]
     )
+
+
+@F.arrow_udf(T.LongType())
+def lcs_summary(target: pa.Array, answer: pa.Array) -> pa.Array:
+    """Sentence-wise union hits, sentences ending at line ends."""
+    sides = zip(target.to_pylist(), answer.to_pylist())
+    return pa.array([summary_hits(_sentences(t), _sentences(a)) for t, a in sides], pa.int64())

@@ -22,8 +22,9 @@ from paragauge.functions.porter import stem
 
 MAX_ORDER = 4
 
-# Tokens numbered at once; a longer row is a slice of its own.
-SLICE_TOKENS = 1 << 20
+# Tokens numbered at once: the hash tables then stay in the cache. A longer row is a slice of
+# its own.
+SLICE_TOKENS = 1 << 16
 
 
 def _slices(hyp: pa.ListArray, ref: pa.ListArray) -> Iterator[tuple[pa.ListArray, pa.ListArray]]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +18,8 @@ NA_TOKENS = [
 ]
 
 # Chat markers that end the prompt part of a decoded output.
-ANSWER_MARKERS = r"assistant|\[/INST\]"
-LEGACY_MARKERS = "assistant"
+ANSWER_MARKERS = ["assistant", "[/INST]"]
+LEGACY_MARKERS = ["assistant"]
 HEADER_END = "end_header_id|>\n\n"
 
 # A word character as Unicode letters, numbers and underscore, spelled out so that the
@@ -32,10 +36,14 @@ def null_if_na(text: Column) -> Column:
     return F.when(~text.isin(NA_TOKENS), text)
 
 
-def _after_markers(text: Column, markers: str) -> Column:
-    # \G makes each match start where the one before ended, so a text without a (further)
-    # marker is scanned once instead of once per start position.
-    return F.regexp_replace(text, rf"(?s)\G.*?(?:{markers}).+?{_BOUNDARY}", "")
+def _after_markers(text: Column, markers: list[str]) -> Column:
+    # \G makes each match start where the one before ended, so a text without a further marker
+    # is scanned once instead of once per start position; one without any only by byte search.
+    either = "|".join(re.escape(m) for m in markers)
+    marked = reduce(or_, [F.contains(text, F.lit(m)) for m in markers])
+    return F.when(
+        marked, F.regexp_replace(text, rf"(?s)\G.*?(?:{either}).+?{_BOUNDARY}", "")
+    ).otherwise(text)
 
 
 def _before_tag(text: Column, opening: str, closing: str, gap: int) -> Column:
@@ -92,6 +100,18 @@ def tokenize_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
+def reference_tokens(target: Column) -> dict[str, Column]:
+    """What the metrics need from a reference. Added before references meet predictions, each
+    reference is tokenized once however many models are scored; unused columns are pruned."""
+    target = F.coalesce(target, F.lit(""))
+    return {
+        "target_13a": tokenize_13a(target),
+        "target_rouge": tokenize_rouge(target),
+        "target_lines": rouge_lines(target),
+        "target_words": tokenize_words(target),
+    }
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams in text order; empty when there are fewer than ``n`` tokens."""
     if n == 1:

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paragauge.functions import text
+
 
 def align(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
-    """``(row_id, model, target, prediction)`` for every prediction that has a pair.
+    """``(row_id, model, prediction, target)`` and the reference tokens, for every prediction
+    that has a pair.
 
     The merge hint keeps both sides partitioned by ``row_id`` at every size: scoring is the heavy
     part, so it must spread over all tasks even where Spark would broadcast small pairs, and the
     join stays one that adaptive execution splits if rows pile up on one id.
     """
-    refs = pairs.select("row_id", "target").hint("merge")
+    refs = pairs.select("row_id", "target").withColumns(text.reference_tokens(F.col("target")))
     hyps = predictions.select("row_id", "model", "prediction")
-    return hyps.join(refs, "row_id").select("row_id", "model", "target", "prediction")
+    return hyps.join(refs.hint("merge"), "row_id")
 
 
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Per-row scores and per-model metrics.
 
 Input of everything here is an *aligned* table ``(row_id, model, target, prediction)`` as made
-by ``results.align``. A row holds both sides of one pair, so its scores are computed where the
+by ``results.align``, which also brings the reference's tokens. A row holds both sides of one pair, so its scores are computed where the
 row is: the alignment join is the only exchange of text, and each metric then needs one
 aggregation whose groups are models (partial sums per task, a handful of rows shuffled).
 """
@@ -31,7 +31,10 @@ def answers(aligned: DataFrame) -> DataFrame:
 
 
 def _answered(aligned: DataFrame) -> DataFrame:
-    return aligned if "answer" in aligned.columns else answers(aligned)
+    """With ``answer``, and with reference tokens if the table does not come from ``align``."""
+    df = aligned if "answer" in aligned.columns else answers(aligned)
+    tokens = text.reference_tokens(F.col("target"))
+    return df.withColumns({c: tokens[c] for c in tokens if c not in df.columns})
 
 
 # -- exact match --------------------------------------------------------------------------
@@ -57,18 +60,16 @@ def exact_match_ids(aligned: DataFrame) -> DataFrame:
 # -- n-gram overlap -----------------------------------------------------------------------
 
 
-def _with_overlaps(df: DataFrame, prefix: str, tokenize) -> DataFrame:
+def _with_overlaps(df: DataFrame, prefix: str, tokenize, reference: str) -> DataFrame:
     """Add token counts ``{prefix}_hyp``/``{prefix}_ref`` and ``{prefix}_matches`` by order."""
-    df = df.withColumns(
-        {"_hyp": tokenize(F.col("answer")), "_ref": tokenize(F.coalesce("target", F.lit("")))}
-    )
+    df = df.withColumn("_hyp", tokenize(F.col("answer")))
     return df.withColumns(
         {
             f"{prefix}_hyp": F.size("_hyp").cast("long"),
-            f"{prefix}_ref": F.size("_ref").cast("long"),
-            f"{prefix}_matches": overlap.clipped_matches(F.col("_hyp"), F.col("_ref")),
+            f"{prefix}_ref": F.size(reference).cast("long"),
+            f"{prefix}_matches": overlap.clipped_matches(F.col("_hyp"), F.col(reference)),
         }
-    ).drop("_hyp", "_ref")
+    ).drop("_hyp")
 
 
 def _possible(tokens: Column, n: int) -> Column:
@@ -98,7 +99,7 @@ def ngram_overlap(aligned: DataFrame, orders: Iterable[int] = range(1, MAX_ORDER
 
 
 def with_bleu_parts(aligned: DataFrame) -> DataFrame:
-    return _with_overlaps(_answered(aligned), "b", text.tokenize_13a)
+    return _with_overlaps(_answered(aligned), "b", text.tokenize_13a, "target_13a")
 
 
 def bleu_totals() -> list[Column]:
@@ -156,7 +157,7 @@ def f1(matches: Column, hyp: Column, ref: Column) -> Column:
 
 def with_rouge_n(aligned: DataFrame, orders: Iterable[int] = (1, 2)) -> DataFrame:
     """Add ``rouge{n}`` per row."""
-    df = _with_overlaps(_answered(aligned), "r", text.tokenize_rouge)
+    df = _with_overlaps(_answered(aligned), "r", text.tokenize_rouge, "target_rouge")
     return df.withColumns(
         {
             f"rouge{n}": f1(
@@ -171,26 +172,14 @@ def with_rouge_n(aligned: DataFrame, orders: Iterable[int] = (1, 2)) -> DataFram
 
 def with_rouge_l(aligned: DataFrame, summary: bool = False) -> DataFrame:
     """Add ``rougeL``, and ``rougeLsum`` (sentence-wise on line ends) with ``summary``."""
-    df = _answered(aligned)
-    df = df.withColumns(
-        {
-            "_target": text.rouge_lines(F.coalesce("target", F.lit(""))),
-            "_answer": text.rouge_lines(F.col("answer")),
-        }
-    )
-    sizes = {
-        "_ref_n": F.size(F.regexp_extract_all("_target", F.lit("[a-z0-9]+"), F.lit(0))),
-        "_hyp_n": F.size(F.regexp_extract_all("_answer", F.lit("[a-z0-9]+"), F.lit(0))),
-        "lcs": lcs.lcs_length("_target", "_answer"),
-    }
-    scores = {"rougeL": f1(F.col("lcs"), F.col("_hyp_n"), F.col("_ref_n"))}
+    df = _answered(aligned).withColumn("_lines", text.rouge_lines(F.col("answer")))
+    df = df.withColumn("_n", lcs.lcs_length("target_lines", "_lines"))
+    sizes = F.col("_n.hyp"), F.col("_n.ref")
+    scores = {"lcs": F.col("_n.lcs"), "rougeL": f1(F.col("_n.lcs"), *sizes)}
     if summary:
-        sizes["_hits"] = lcs.lcs_summary("_target", "_answer")
-        scores["rougeLsum"] = f1(F.col("_hits"), F.col("_hyp_n"), F.col("_ref_n"))
-    return (
-        df.withColumns(sizes).withColumns(scores)
-        .drop("_target", "_answer", "_ref_n", "_hyp_n", "_hits")
-    )
+        df = df.withColumn("_hits", lcs.lcs_summary("target_lines", "_lines"))
+        scores["rougeLsum"] = f1(F.col("_hits"), *sizes)
+    return df.withColumns(scores).drop("_lines", "_n", "_hits")
 
 
 # -- METEOR -------------------------------------------------------------------------------
@@ -199,10 +188,7 @@ def with_rouge_l(aligned: DataFrame, summary: bool = False) -> DataFrame:
 def with_word_matches(aligned: DataFrame, stem: bool = True) -> DataFrame:
     """Add word arrays ``hyp_words``/``ref_words`` and ``matches`` of the exact (and stem) stage."""
     df = _answered(aligned).withColumns(
-        {
-            "hyp_words": text.tokenize_words(F.col("answer")),
-            "ref_words": text.tokenize_words(F.coalesce("target", F.lit(""))),
-        }
+        {"hyp_words": text.tokenize_words(F.col("answer")), "ref_words": F.col("target_words")}
     )
     return df.withColumn(
         "matches", overlap.matched_words(F.col("hyp_words"), F.col("ref_words"), by_stem=stem)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paragauge.functions.text import null_if_na
+from paragauge.session import scratch_path
 
 TAB = "\t"
 _EXTRA, _RAW = "_extra", "_raw"
@@ -98,17 +99,22 @@ def write_delimited(
 def with_row_id(files: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a file scan 0, 1, 2, ... by file name and place in the file.
 
-    Rows of an unsplit file sit together in one scan partition in file order, so a row's number
-    is its file's offset plus its distance from the file's first row. Only one count per file
-    reaches the driver, which holds the file list anyway.
+    The rows are first stored with the scan's own increasing ids, in the shared scratch folder:
+    a second scan could pack files into other tasks. Rows of an unsplit file keep their order,
+    so a row's number is its file's offset plus its distance from the file's first row. Only one
+    count per file reaches the driver, which holds the file list anyway.
     """
-    placed = files.withColumns(
+    spark = files.sparkSession
+    scanned = files.withColumns(
         {"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()}
     )
+    path = scratch_path(spark, "numbered")
+    scanned.write.parquet(path)
+    placed = spark.read.schema(scanned.schema).parquet(path)
     per_file = placed.groupBy("_file").agg(F.count("*").alias("n"), F.min("_at").alias("start"))
     rows = sorted(map(tuple, per_file.collect()))
     before = [0, *accumulate(n for _, n, _ in rows)]
-    offsets = files.sparkSession.createDataFrame(
+    offsets = spark.createDataFrame(
         [(file, offset - start) for (file, _, start), offset in zip(rows, before)],
         "_file string, _shift bigint",
     )
