@@ -24,29 +24,32 @@ def bootstrap_ci(
     blocks = F.explode(F.sequence(F.lit(0), F.lit(replicates // PER_HASH - 1)))
     drawn = scored.select("row_id", "model", F.col(score).alias("score"), blocks.alias("block"))
     drawn = drawn.withColumn("key", hashing.random_key(seed, F.col("block"), F.col("row_id")))
-    draws = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    (F.col("block") * PER_HASH + i).alias("rep"),
-                    hashing.poisson_weight(F.substring("key", 8 * i + 1, 8)).alias("weight"),
-                )
-                for i in range(PER_HASH)
-            ]
-        )
-    )
+
+    def draw(rep, weight):
+        return F.struct(rep.cast("int").alias("rep"), weight.cast("int").alias("weight"))
+
+    # The plain mean rides along as one more replicate in which every row counts once.
+    plain = draw(F.lit(-1), (F.col("block") == 0).cast("int"))
+    draws = [
+        draw(F.col("block") * PER_HASH + i, hashing.poisson_weight(F.substring("key", 8 * i + 1, 8)))
+        for i in range(PER_HASH)
+    ]
     means = (
-        drawn.select("model", "score", draws)
+        drawn.select("model", "score", F.inline(F.array(plain, *draws)))
         .where("weight > 0")
         .groupBy("model", "rep")
         .agg((F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("value"))
     )
     tail = (1 - level) / 2
-    bounds = means.groupBy("model").agg(
-        F.percentile("value", [tail, 0.5, 1 - tail]).alias("p")
-    )
-    point = scored.groupBy("model").agg(F.avg(score).alias("mean"))
-    return point.join(bounds, "model").select(
-        "model", "mean",
-        F.col("p")[0].alias("low"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("high"),
+    resampled = F.when(F.col("rep") >= 0, F.col("value"))
+    return (
+        means.groupBy("model")
+        .agg(
+            F.max(F.when(F.col("rep") < 0, F.col("value"))).alias("mean"),
+            F.percentile(resampled, [tail, 0.5, 1 - tail]).alias("p"),
+        )
+        .select(
+            "model", "mean",
+            F.col("p")[0].alias("low"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("high"),
+        )
     )

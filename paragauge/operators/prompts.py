@@ -128,7 +128,11 @@ def render_conversations(
         F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t.chat), "").alias("text")
     )
     ends = rendered.groupBy("conv_id").agg(F.min("part").alias("first"), F.max("part").alias("last"))
-    return parts.join(ends, "conv_id").select(
+    # Marked by part, so that the parts of a long conversation stay where they were put together.
+    outer = ends.select(
+        "conv_id", "first", "last", F.explode(F.array_distinct(F.array("first", "last"))).alias("part")
+    )
+    return parts.join(outer, ["conv_id", "part"], "left").select(
         "conv_id",
         "part",
         F.concat(

@@ -62,8 +62,9 @@ def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:
         porter.hyp_left_stems("hyp_words", "matches").alias("hyp_left"),
         porter.ref_left_stems("ref_words", "matches").alias("ref_left"),
     )
+    # The outer form spares a filter on the array, for which the stems would be computed twice.
     words = left.select(
-        "row_id", "model", "ref_left", F.posexplode("hyp_left").alias("place", "word")
+        "row_id", "model", "ref_left", F.posexplode_outer("hyp_left").alias("place", "word")
     )
     edges = (
         _with_alternatives(words, synonyms)
