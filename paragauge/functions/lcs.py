@@ -8,7 +8,7 @@ Inputs are ROUGE tokens joined by blanks, sentences joined by line ends.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -18,44 +18,70 @@ from pyspark.sql import types as T
 _COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in ("lcs", "hyp", "ref")])
 
 
-def bit_rows(a: list[str], b: list[str]) -> Iterator[int]:
-    """After each token of ``b``: the places in ``a`` where the length grows, as zero bits."""
+def _places(tokens: list[str]) -> dict[str, int]:
+    """For each token, its positions as one bits."""
     where: dict[str, int] = {}
-    for i, token in enumerate(a):
+    for i, token in enumerate(tokens):
         where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for token in b:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-        yield row
+    return where
+
+
+def _next_row(row: int, hits: int, full: int) -> int:
+    """Table row after one more token: zero bits are the columns where the length grows."""
+    hits &= row
+    return ((row + hits) | (row - hits)) & full
 
 
 def lcs_size(a: list[str], b: list[str]) -> int:
     if a == b:
         return len(a)
-    row = (1 << len(a)) - 1
-    for row in bit_rows(a, b):
-        pass
+    where = _places(a)
+    row = full = (1 << len(a)) - 1
+    for token in b:
+        row = _next_row(row, where.get(token, 0), full)
     return len(a) - row.bit_count()
 
 
 def lcs_places(ref: list[str], hyp: list[str]) -> set[int]:
     """Positions in ``ref`` of the subsequence found by walking back from the table's end,
-    matching first and otherwise moving up unless only the left cell keeps the length."""
-    rows = [(1 << len(hyp)) - 1, *bit_rows(hyp, ref)]
+    matching first and otherwise moving up unless only the left cell keeps the length.
+
+    Every ``step``-th row is kept and the rows between are made again block by block, so memory
+    grows with the square root of the rows.
+    """
+    where = _places(hyp)
+    full = (1 << len(hyp)) - 1
+    step = isqrt(len(ref)) + 1
+
+    def rows_from(row: int, start: int, stop: int) -> list[int]:
+        rows = [row]
+        for token in ref[start:stop]:
+            rows.append(_next_row(rows[-1], where.get(token, 0), full))
+        return rows
+
+    kept = [full]
+    for start in range(0, len(ref), step):
+        kept.append(rows_from(kept[-1], start, start + step)[-1])
+
+    def size_at(row: int, j: int) -> int:
+        return j - (row & ((1 << j) - 1)).bit_count()
+
     i, j = len(ref), len(hyp)
-    size = j - rows[i].bit_count()
+    size = size_at(kept[-1], j)
+    base, rows = i, []
     places = set()
     while i and j and size:
+        if i <= base:
+            base = (i - 1) // step * step
+            rows = rows_from(kept[base // step], base, i)
         if ref[i - 1] == hyp[j - 1]:
             places.add(i - 1)
             i, j, size = i - 1, j - 1, size - 1
-        elif rows[i] >> (j - 1) & 1 and j - (rows[i - 1] & ((1 << j) - 1)).bit_count() < size:
+        elif rows[i - base] >> (j - 1) & 1 and size_at(rows[i - 1 - base], j) < size:
             j -= 1
         else:
             i -= 1
-            size = j - (rows[i] & ((1 << j) - 1)).bit_count()
+            size = size_at(rows[i - base], j)
     return places
 
 

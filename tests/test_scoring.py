@@ -130,6 +130,17 @@ def test_single_line_summary_equals_whole_text():
         assert summary_hits([ref], [hyp]) == lcs_size(ref, hyp) == lcs_table(ref, hyp)[-1][-1]
 
 
+def test_long_sentences_walk_back_over_many_blocks():
+    rng = random.Random(3)
+    for _ in range(6):
+        ref, hyp = rng.choices("abcdef", k=300), rng.choices("abcdef", k=250)
+        assert summary_hits([ref], [hyp]) == lcs_size(ref, hyp) == lcs_table(ref, hyp)[-1][-1]
+        target = " ".join(ref[:150]) + "\n" + " ".join(ref[150:])
+        answer = " ".join(hyp[:90]) + "\n" + " ".join(hyp[90:])
+        halves = [[s.split() for s in side.split("\n")] for side in (target, answer)]
+        assert summary_hits(*halves) == union_hits(target, answer)
+
+
 def scan_from_end(hyp, ref, same):
     """Greedy matching of (position, word) lists, both scanned from the end."""
     found = []
