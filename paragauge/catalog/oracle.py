@@ -481,3 +481,4 @@ ORACLE: dict[str, str] = {
     "batch_generate": sql([PAIRS], f"""SELECT row_id, 'org/echo' AS model,
       {extracted(CHATML + " || source || '<|im_end|>'")} AS prediction FROM pairs"""),
 }
+ORACLE["metrics_wide"] = ORACLE["metrics_report"]

@@ -345,6 +345,14 @@ def metrics_report(spark, sf_dir):
     return rounded(metrics_table(spark, sf_dir), *report.SCORES)
 
 
+@query
+def metrics_wide(spark, sf_dir):
+    """The report from a wide results table."""
+    return rounded(
+        report.metrics_wide(fx.wide(spark, sf_dir)).select("model", *report.SCORES), *report.SCORES
+    )
+
+
 @query
 def metrics_struct(spark, sf_dir):
     """The nested record, flattened (``rougeLsum`` has its own query)."""

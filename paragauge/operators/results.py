@@ -21,6 +21,14 @@ def align(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
     return hyps.join(refs.hint("merge"), "row_id")
 
 
+def align_wide(wide: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """The same from a wide results table, where the reference is in the row already: no join."""
+    models = models or model_columns(wide)
+    refs = wide.withColumns(text.reference_tokens(F.col("target")))
+    kept = ["row_id", "target", *text.reference_tokens(F.col("target"))]
+    return refs.unpivot(kept, [quoted(m) for m in models], "model", "prediction")
+
+
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` replaces stored rows with the same ``(row_id, model)`` and adds the others."""
     kept = stored.join(new.select("row_id", "model"), ["row_id", "model"], "left_anti")

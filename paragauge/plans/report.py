@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from paragauge.operators import scoring
-from paragauge.operators.results import align, model_basename, require_coverage
+from paragauge.operators.results import (
+    align,
+    align_wide,
+    model_basename,
+    require_coverage,
+)
 
 SCORES = ["accuracy", "meteor", "bleu_1", "rouge_l"]
 
@@ -15,32 +20,21 @@ SCORES = ["accuracy", "meteor", "bleu_1", "rouge_l"]
 LABELS = {"meteor": "METEOR", "bleu_1": "BLEU-1", "rouge_l": "ROUGE-L"}
 
 
-def score_rows(
-    pairs: DataFrame, predictions: DataFrame, synonyms: DataFrame | None = None
-) -> DataFrame:
+def score_rows(aligned: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """Every per-row score side by side. Scores nobody selects are not computed."""
-    rows = scoring.with_exact(align(pairs, predictions))
-    rows = scoring.with_bleu_parts(rows)
+    rows = scoring.with_bleu_parts(scoring.with_exact(aligned))
     rows = scoring.with_rouge_l(scoring.with_rouge_n(rows), summary=True)
     return scoring.with_meteor(rows, synonyms=synonyms)
 
 
-def metrics(
-    pairs: DataFrame,
-    predictions: DataFrame,
-    synonyms: DataFrame | None = None,
-    check: bool = True,
-) -> DataFrame:
+def model_scores(aligned: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """One row per model: ``accuracy, meteor, bleu_1, rouge_l, all_metrics``.
 
     All models and metrics come from one pass over the aligned rows. ``bleu_1`` keeps the
     report's usual name but is corpus BLEU of order 4; unigram precision is
-    ``all_metrics.bleu_scores.precisions[0]``. With ``check``, a first job over the ids raises
-    unless each model has one prediction per pair; without, only present ones are scored.
+    ``all_metrics.bleu_scores.precisions[0]``.
     """
-    if check:
-        require_coverage(pairs, predictions)
-    totals = score_rows(pairs, predictions, synonyms).groupBy("model").agg(
+    totals = score_rows(aligned, synonyms).groupBy("model").agg(
         F.avg(F.col("exact").cast("double")).alias("accuracy"),
         F.avg("meteor").alias("meteor"),
         *scoring.bleu_totals(),
@@ -61,6 +55,24 @@ def metrics(
     )
 
 
+def metrics(
+    pairs: DataFrame,
+    predictions: DataFrame,
+    synonyms: DataFrame | None = None,
+    check: bool = True,
+) -> DataFrame:
+    """``model_scores`` of long predictions. With ``check``, a first job over the ids raises
+    unless each model has one prediction per pair; without, only present ones are scored."""
+    if check:
+        require_coverage(pairs, predictions)
+    return model_scores(align(pairs, predictions), synonyms)
+
+
+def metrics_wide(wide: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """``model_scores`` of a wide results table, one column per model after the pair."""
+    return model_scores(align_wide(wide), synonyms)
+
+
 def metrics_report(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
     return metrics(pairs, predictions).select("model", *SCORES)
 

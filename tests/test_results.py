@@ -73,6 +73,19 @@ def test_alignment_is_one_exchange_per_side(pairs, predictions):
     assert "Window" not in initial and "CartesianProduct" not in initial and "NestedLoop" not in initial
 
 
+def test_wide_scores_need_no_join(pairs):
+    stored = pairs.select(
+        "row_id", "source", "target", *[F.concat("target", F.lit(m)).alias(m) for m in MODELS]
+    )
+    table = report.metrics_wide(stored)
+    plan = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    long = results.unpivot(stored)
+    want = rows(report.metrics(pairs, long).drop("all_metrics"))
+    for got, row in zip(rows(table.drop("all_metrics")), want, strict=True):
+        assert got[0] == row[0] and got[1:] == pytest.approx(row[1:], abs=1e-12)
+
+
 def test_unselected_scores_are_not_computed(pairs, predictions):
     table = report.metrics(pairs, predictions, check=False).select("model", "accuracy")
     assert "ArrowEvalPython" not in table._jdf.queryExecution().executedPlan().toString()
