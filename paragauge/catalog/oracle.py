@@ -469,9 +469,9 @@ ORACLE: dict[str, str] = {
       g AS (SELECT doc_id, i, unnest([1, 2, 3, 4]) AS n,
         unnest([g, g || ' ' || w2, g || ' ' || w2 || ' ' || w3, g || ' ' || w2 || ' ' || w3 || ' ' || w4]) AS g
         FROM g1)
-      SELECT d.doc_id, o.n, count(g.g) AS n_grams, md5(coalesce(string_agg(g.g, '|' ORDER BY g.i), '')) AS digest
+      SELECT d.doc_id, o.n::BIGINT AS n, count(g.g) AS n_grams, md5(coalesce(string_agg(g.g, '|' ORDER BY g.i), '')) AS digest
       FROM documents d CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) o
-      LEFT JOIN g ON g.doc_id = d.doc_id AND g.n = o.n GROUP BY ALL""",
+      LEFT JOIN g ON g.doc_id = d.doc_id AND g.n = o.n GROUP BY d.doc_id, o.n""",
     "length_cap": f"""SELECT doc_id, len(t) AS n_tokens, len(t) > 512 AS truncated,
       array_to_string(t[1:512], ' ') AS capped
       FROM (SELECT doc_id, {tok_words("text")} AS t FROM documents)""",

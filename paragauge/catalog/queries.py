@@ -514,14 +514,16 @@ def ngrams(spark, sf_dir):
     docs = fx.texts(spark, sf_dir).select(
         "doc_id", text.tokenize_rouge(F.col("text")).alias("t")
     )
-    orders = [
-        F.struct(F.lit(n).cast("long").alias("n"), text.ngrams(F.col("t"), n).alias("g"))
-        for n in range(1, 5)
+    orders = range(1, 5)
+    digests = [
+        F.struct(
+            F.lit(n).cast("long").alias("n"),
+            F.size(f"ngrams_{n}").cast("long").alias("n_grams"),
+            F.md5(F.array_join(f"ngrams_{n}", "|")).alias("digest"),
+        )
+        for n in orders
     ]
-    return docs.select("doc_id", F.inline(F.array(*orders))).select(
-        "doc_id", "n", F.size("g").cast("long").alias("n_grams"),
-        F.md5(F.array_join("g", "|")).alias("digest"),
-    )
+    return text.with_ngrams(docs, "t", orders).select("doc_id", F.inline(F.array(*digests)))
 
 
 @query

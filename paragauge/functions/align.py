@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paragauge.functions.binding import let
-
 _SHIFT = 1 << 32
 
 
@@ -41,8 +39,5 @@ def at_positions(matches: Column, hyp: Column, ref: Column) -> Column:
 
 def chunk_count(matches: Column) -> Column:
     """Runs of matches that are consecutive on both sides."""
-    return let(
-        matches,
-        lambda c: F.size(c)
-        - F.size(F.array_intersect(c, F.transform(c, lambda x: x + F.lit(_SHIFT + 1)))),
-    )
+    shifted = F.transform(matches, lambda m: m + F.lit(_SHIFT + 1))
+    return F.size(matches) - F.size(F.array_intersect(matches, shifted))

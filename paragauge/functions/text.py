@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.ml.feature import NGram
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paragauge.functions.binding import let
-
 # The strings read as missing by the CSV reader that produced the corpora.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -112,17 +112,8 @@ def reference_tokens(target: Column) -> dict[str, Column]:
     }
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams in text order; empty when there are fewer than ``n`` tokens."""
-    if n == 1:
-        return tokens
-
-    def joined(words: Column) -> Column:
-        return F.transform(
-            F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "),
-        )
-
-    return let(tokens, joined)
+def with_ngrams(df: DataFrame, tokens: str, orders: Iterable[int]) -> DataFrame:
+    """Add ``ngrams_{n}``: all n-grams in text order, empty for fewer than ``n`` tokens."""
+    for n in orders:
+        df = NGram(n=n, inputCol=tokens, outputCol=f"ngrams_{n}").transform(df)
+    return df

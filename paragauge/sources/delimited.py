@@ -1,7 +1,8 @@
 """TSV and CSV at the edges; Parquet is the storage form inside.
 
 Files follow the usual spreadsheet rules: a header row, fields quoted with doubled quotes, line
-ends allowed inside quotes. Such a file cannot be split, so large corpora come as many files.
+ends allowed inside quotes. Such a file cannot be split, so large corpora come as many files, or
+are read with ``multi_line=False`` where no field holds a line end.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ TAB = "\t"
 _EXTRA, _RAW = "_extra", "_raw"
 
 
-def _reader(spark: SparkSession, sep: str, header: bool = True):
+def _reader(spark: SparkSession, sep: str, header: bool = True, multi_line: bool = True):
     return (
         spark.read.option("sep", sep)
         .option("header", header)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         # Only an unquoted empty field is null; a quoted one is empty text.
@@ -32,10 +33,15 @@ def _reader(spark: SparkSession, sep: str, header: bool = True):
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = TAB, na: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    sep: str = TAB,
+    na: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read with an explicit schema; ``na="pandas"`` turns missing-value tokens into null."""
-    df = _reader(spark, sep).schema(schema).csv(path)
+    df = _reader(spark, sep, multi_line=multi_line).schema(schema).csv(path)
     if na == "pandas":
         df = df.withColumns(
             {
@@ -100,24 +106,28 @@ def with_row_id(files: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a file scan 0, 1, 2, ... by file name and place in the file.
 
     The rows are first stored with the scan's own increasing ids, in the shared scratch folder:
-    a second scan could pack files into other tasks. Rows of an unsplit file keep their order,
-    so a row's number is its file's offset plus its distance from the file's first row. Only one
-    count per file reaches the driver, which holds the file list anyway.
+    a second scan could pack splits into other tasks. Rows of one split keep their order, so a
+    row's number is its split's offset plus its distance from the split's first row. Only one
+    count per split reaches the driver, which planned the splits in the first place.
     """
     spark = files.sparkSession
     scanned = files.withColumns(
-        {"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()}
+        {
+            "_file": F.col("_metadata.file_path"),
+            "_start": F.col("_metadata.file_block_start"),
+            "_at": F.monotonically_increasing_id(),
+        }
     )
     path = scratch_path(spark, "numbered")
     scanned.write.parquet(path)
     placed = spark.read.schema(scanned.schema).parquet(path)
-    per_file = placed.groupBy("_file").agg(F.count("*").alias("n"), F.min("_at").alias("start"))
-    rows = sorted(map(tuple, per_file.collect()))
-    before = [0, *accumulate(n for _, n, _ in rows)]
+    splits = placed.groupBy("_file", "_start").agg(F.count("*"), F.min("_at")).collect()
+    rows = sorted(map(tuple, splits))
+    before = [0, *accumulate(n for _, _, n, _ in rows)]
     offsets = spark.createDataFrame(
-        [(file, offset - start) for (file, _, start), offset in zip(rows, before)],
-        "_file string, _shift bigint",
+        [(file, start, offset - at) for (file, start, _, at), offset in zip(rows, before)],
+        "_file string, _start bigint, _shift bigint",
     )
-    return placed.join(offsets, "_file").select(
+    return placed.join(offsets, ["_file", "_start"]).select(
         (F.col("_at") + F.col("_shift")).alias(name), *files.columns
     )

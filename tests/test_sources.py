@@ -48,6 +48,23 @@ def test_row_ids_follow_file_order(spark, tmp_path):
     assert rows == [(i, *w) for i, w in enumerate(want)]
 
 
+def test_row_ids_of_split_files(spark, tmp_path):
+    """Splits of a file land in tasks in any order; numbers follow the file all the same."""
+    for name, n in (("p", 301), ("q", 120)):
+        lines = ["a\tb", *(f"{name}{i}\t{i}" for i in range(n))]
+        (tmp_path / f"{name}.tsv").write_text("\n".join(lines) + "\n")
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        scan = delimited.read_delimited(spark, str(tmp_path), TWO, multi_line=False)
+        assert scan.rdd.getNumPartitions() > 5
+        rows = sorted((r.row_id, r.a) for r in delimited.with_row_id(scan).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    want = [f"p{i}" for i in range(301)] + [f"q{i}" for i in range(120)]
+    assert rows == list(enumerate(want))
+
+
 def test_materialize_keeps_the_first_result(spark, tmp_path):
     path, built = str(tmp_path / "once"), []
 

@@ -93,10 +93,10 @@ def test_tokenizers(spark):
 
 
 def test_ngrams_of_short_texts(spark):
-    def trigrams(c):
-        return text.ngrams(F.split(c, " "), 3)
-
-    assert column(spark, ["a b", "a b c", "a b c d"], trigrams) == [[], ["a b c"], ["a b c", "b c d"]]
+    df = spark.createDataFrame([(i, ["a", "b", "c", "d"][:i]) for i in range(5)], "i int, t array<string>")
+    rows = text.with_ngrams(df, "t", [1, 3]).orderBy("i").collect()
+    assert [r.ngrams_1 for r in rows] == [r.t for r in rows]
+    assert [r.ngrams_3 for r in rows] == [[], [], [], ["a b c"], ["a b c", "b c d"]]
 
 
 def test_na_tokens(spark):
