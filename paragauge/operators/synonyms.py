@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paragauge.functions import align, porter
 
-# A synonym table up to this many rows is broadcast; a larger one is joined on salted keys.
-BROADCAST_ROWS = 200_000
+# A synonym table up to this many rows is handed to every Python worker as a dictionary; a larger
+# one is joined on salted keys.
+BROADCAST_ROWS = 500_000
 SALTS = 32
 
 
@@ -32,42 +34,49 @@ def pick_synonyms(edges: list[tuple[int, str]], ref: list[str]) -> list[int]:
     return found[::-1]
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _picked(places: pd.Series, alts: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series(
-        [pick_synonyms(list(zip(p.tolist(), a)), list(r)) for p, a, r in zip(places, alts, ref)]
-    )
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _picked(places: pa.Array, alts: pa.Array, ref: pa.Array) -> pa.Array:
+    rows = zip(places.to_pylist(), alts.to_pylist(), ref.to_pylist())
+    return pa.array([pick_synonyms(list(zip(p, a)), r) for p, a, r in rows], pa.list_(pa.int64()))
 
 
-def _with_alternatives(words: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Join on ``word``. A word may make up a third of all left-over tokens, so without a
-    broadcast its tokens are spread over ``SALTS`` copies of its alternatives."""
-    synonyms = synonyms.select("word", "alt").distinct()
-    if synonyms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return words.join(F.broadcast(synonyms), "word")
-    salted = synonyms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = words.withColumn("salt", F.pmod(F.xxhash64("row_id", "model", "place"), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, ["word", "salt"]).drop("salt")
+def _picked_from(alternatives: Broadcast[dict[str, list[str]]]):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def picked(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        table, rows = alternatives.value, []
+        for words, targets in zip(hyp.to_pylist(), ref.to_pylist()):
+            edges = [(i, alt) for i, word in enumerate(words) for alt in table.get(word, ())]
+            rows.append(pick_synonyms(edges, targets))
+        return pa.array(rows, pa.list_(pa.int64()))
 
+    return picked
 
-def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Add synonym matches to ``matches`` of rows from ``scoring.with_word_matches``.
 
-    Only pairs with at least one usable alternative take part in the grouping, and a group is one
-    pair's own left-over words.
+def _pick_by_dictionary(left: DataFrame, synonyms: list) -> DataFrame:
+    """Add ``_synonyms`` without moving a row."""
+    table: dict[str, list[str]] = {}
+    for word, alt in synonyms:
+        table.setdefault(word, []).append(alt)
+    picked = _picked_from(left.sparkSession.sparkContext.broadcast(table))
+    return left.withColumn("_synonyms", picked("hyp_left", "ref_left"))
+
+
+def _pick_by_join(left: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Add ``_synonyms`` where the table is too large for a dictionary.
+
+    A word may make up a third of all left-over tokens, so its tokens are spread over ``SALTS``
+    copies of its alternatives. Only pairs with a usable alternative are grouped, and a group is
+    one pair's own left-over words.
     """
-    left = matched.select(
-        "row_id",
-        "model",
-        porter.hyp_left_stems("hyp_words", "matches").alias("hyp_left"),
-        porter.ref_left_stems("ref_words", "matches").alias("ref_left"),
-    )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     # The outer form spares a filter on the array, for which the stems would be computed twice.
     words = left.select(
         "row_id", "model", "ref_left", F.posexplode_outer("hyp_left").alias("place", "word")
+    ).withColumn(
+        "salt", F.pmod(F.xxhash64("row_id", "model", "place"), F.lit(SALTS)).cast("int")
     )
-    edges = (
-        _with_alternatives(words, synonyms)
+    picked = (
+        words.join(synonyms.withColumn("salt", salts), ["word", "salt"])
         .where(F.array_contains("ref_left", F.col("alt")))
         .groupBy("row_id", "model")
         .agg(
@@ -75,20 +84,33 @@ def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:
             F.collect_list("alt").alias("alts"),
             F.first("ref_left").alias("ref_left"),
         )
+        .select("row_id", "model", _picked("places", "alts", "ref_left").alias("_synonyms"))
     )
-    picked = edges.select(
-        "row_id", "model", _picked("places", "alts", "ref_left").alias("_synonyms")
+    return left.join(picked, ["row_id", "model"], "left")
+
+
+def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Add synonym matches to ``matches`` of rows from ``scoring.with_word_matches``."""
+    left = matched.withColumns(
+        {
+            "hyp_left": porter.hyp_left_stems("hyp_words", "matches"),
+            "ref_left": porter.ref_left_stems("ref_words", "matches"),
+        }
     )
+    synonyms = synonyms.select("word", "alt").distinct()
+    if synonyms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        picked = _pick_by_dictionary(left, synonyms.collect())
+    else:
+        picked = _pick_by_join(left, synonyms)
     places = {
         "_hyp_at": _free("hyp_words", align.hyp_position),
         "_ref_at": _free("ref_words", align.ref_position),
     }
     more = align.at_positions(F.col("_synonyms"), F.col("_hyp_at"), F.col("_ref_at"))
     return (
-        matched.join(picked, ["row_id", "model"], "left")
-        .withColumns(places)
+        picked.withColumns(places)
         .withColumn("matches", F.concat("matches", F.coalesce(more, align.no_matches())))
-        .drop("_synonyms", "_hyp_at", "_ref_at")
+        .drop("_synonyms", "_hyp_at", "_ref_at", "hyp_left", "ref_left")
     )
 
 

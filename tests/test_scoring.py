@@ -184,7 +184,7 @@ def test_meteor(aligned, pairs, by_stem):
         assert row == pytest.approx(meteor(target, answer, stages), abs=1e-12)
 
 
-@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
 def test_meteor_synonyms(spark, aligned, pairs, monkeypatch, broadcast_rows):
     from paragauge.operators import synonyms as module
 
