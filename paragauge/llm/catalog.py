@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paragauge.llm import (
-    bpe_replay, decision_list, mixing, rule_ensemble, shard_table, trie_dedup,
+    bpe_replay, decision_list, html_crf, mixing, rule_ensemble, shard_table, trie_dedup, url_cascade,
 )
 
 #: DuckDB: ASCII lower case, and words.
@@ -22,6 +22,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+#: Host, beginning of the path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "allow"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+#: Listed sites: hosts with one of these labels are blocked where no rule fits.
+SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge(read(spark, sf_dir, "pages"), URL_RULES, SITES, ["page_id"])
+
+
 def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = rule_ensemble.train(docs, read(spark, sf_dir, "labels"))
@@ -40,9 +60,7 @@ ENTROPY_SHARE = 0.96
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    per_block = mixing.blocks(docs, "doc_id", "source", "text")
-    total = sum(mixing.source_tokens(per_block).values())
-    mixed = mixing.counted(docs, entropy_share=ENTROPY_SHARE, budget=total)
+    mixed = mixing.counted(docs, entropy_share=ENTROPY_SHARE, budget=mixing.AS_MANY)
     return mixed.select(
         "doc_id", "source", "block", mixing.n_tokens(F.col("text")).alias("n_tokens"), "copies"
     )
@@ -64,6 +82,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_crf": op1_html_crf,
+    "op2_url_cascade": op2_url_cascade,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_decision_list": op4_decision_list,
     "op5_mixing": op5_mixing,
@@ -73,6 +93,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _rule(value: str) -> str:
+    """CASE over the rules, longest first."""
+    order = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    return " ".join(
+        f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') "
+        f"THEN '{ {'rule': h + p, 'verdict': v}[value] }'"
+        for h, p, v in order
+    )
+
+
 def _slots() -> str:
     """Slots as (slot, shard) values, claimed in turns; stated apart from the operator."""
     import hashlib
@@ -93,6 +123,15 @@ def _slots() -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op2_url_cascade": f"""
+        WITH u AS (SELECT page_id,
+            translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
+        SELECT page_id, host, path, CASE {_rule("rule")} END AS rule,
+            CASE {_rule("verdict")} WHEN list_has_any(string_split(host, '.'), {SITES}) THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM u""",
     "op5_mixing": f"""
         WITH RECURSIVE d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n_tokens,

@@ -23,9 +23,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paragauge.session import scratch_path
+
 BLOCKS = 256
 MOST_SOURCES = 20_000
 SEED = "mix"
+#: Budget: as many tokens as there are.
+AS_MANY = -1
 STEPS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,13 +75,16 @@ def plan(tokens: dict, entropy_share: float | None = None, repetitions: float |
     ``entropy_share``: the wanted entropy as a share of the largest possible one; the exponent is
     the largest in [0, 1] that reaches it. ``repetitions``: no source may be read more often; the
     exponent is the smallest in [0, 1] that keeps to it, and with both given the larger of the two.
-    ``budget``: tokens in all; without it the least budget that reads every source at least once.
+    ``budget``: tokens in all (AS_MANY: as many as there are); without it the least budget that reads every source at least once.
     """
     tokens = {s: int(t) for s, t in tokens.items()}
     some = {s: t for s, t in tokens.items() if t > 0}
     if not some:
         return Plan(1.0, dict.fromkeys(tokens, 0.0), dict.fromkeys(tokens, 0))
 
+    if budget == AS_MANY:
+        budget = sum(some.values())
+
     def total(shares: dict) -> float:
         return budget if budget is not None else max(t / shares[s] for s, t in some.items())
 
@@ -162,7 +169,9 @@ def counted(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     clash = {"block", "copies"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns named like the result's: {sorted(clash)}")
-    per_block = blocks(docs, key, source, text)
+    store = scratch_path(docs.sparkSession, "mix-blocks")
+    blocks(docs, key, source, text).write.parquet(store)
+    per_block = docs.sparkSession.read.schema("source string, block int, tokens long").parquet(store)
     tokens = source_tokens(per_block)
     chosen = plan(tokens, **target)
     numbers = copies(per_block, chosen, tokens).withColumnsRenamed(
