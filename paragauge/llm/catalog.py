@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paragauge.llm import (
-    bpe_replay, decision_list, html_crf, jaccard_join, mixing, rule_ensemble, shard_table, trie_dedup,
-    url_cascade,
+    bpe_replay, decision_list, html_crf, jaccard_join, mixing, pitman_yor, rule_ensemble, shard_table,
+    trie_dedup, url_cascade,
 )
 
 #: DuckDB: ASCII lower case, and words.
@@ -78,6 +78,10 @@ def op7_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_trie_dedup": op6_trie_dedup,
     "op7_shard_table": op7_shard_table,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
 }

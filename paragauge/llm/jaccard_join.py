@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,11 +102,19 @@ def _bucketed(values: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, limits), [len(values)]])
 
 
+def _spread(signature: np.ndarray, buckets: int) -> pa.Array:
+    """Any bucket for each document; copies lie apart too."""
+    return pa.array(((np.arange(len(signature)) * 7 + signature % 5) % buckets).astype(np.int32))
+
+
 # 1 and 2: signatures and frequencies -----------------------------------------------------------
 
 
 def sized(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (id, n, one, two) of documents, and rows (bucket, blob) of shingles by their hash."""
+    """Rows (id, n, one, two) of documents, and rows (blob) of shingles by their hash.
+
+    Both kinds have a bucket, so that they pass one exchange together.
+    """
     buckets = _partitions(docs)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     names = ["id", "n", "one", "two", "bucket", "blob"]
@@ -119,7 +128,7 @@ def sized(docs: DataFrame, key: str, text: str) -> DataFrame:
                 rows = len(one)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)]
-                    + [pa.nulls(rows, k) for k in kinds[4:]],
+                    + [_spread(one, buckets), pa.nulls(rows, pa.binary())],
                     names=names,
                 )
                 top.append((keys >> np.uint64(32)).astype(np.uint32))
@@ -140,35 +149,49 @@ def sized(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def frequent(messages: DataFrame, store: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (upper half of their hash) and their frequency class."""
-    spark = messages.sparkSession
+_SIZED = "id long, n long, one long, two long, level int, count long, blob binary"
+
+
+def by_frequency(messages: DataFrame) -> DataFrame:
+    """The documents of ``sized``, and per bucket and frequency class the shingles of it."""
 
     def run(table: pa.Table) -> pa.Table:
-        top = np.sort(np.concatenate([W.unpack(b.as_py()) for b in table["blob"]]))
-        first = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])) if len(top) else []
-        count = np.diff(np.append(first, len(top))) if len(top) else np.empty(0, np.int64)
-        level = np.log2(np.maximum(count, 1)).astype(np.int64)
-        out = [(x, top[first][level == x]) for x in np.unique(level[level > 0]).tolist()]
-        return pa.table(
-            {
-                "level": pa.array([x for x, _ in out], pa.int32()),
-                "n": pa.array([len(t) for _, t in out], pa.int64()),
-                "blob": pa.array([W.pack(t) for _, t in out], pa.binary()),
-            }
+        blobs = table["blob"].drop_null()
+        top = np.sort(np.concatenate([W.unpack(b.as_py()) for b in blobs]))
+        new = np.ones(len(top), bool)
+        new[1:] = top[1:] != top[:-1]
+        count = np.diff(np.append(np.flatnonzero(new), len(top)))
+        level, top = np.log2(np.maximum(count, 1)).astype(np.int64), top[new]
+        out = [(x, top[level == x]) for x in np.unique(level[level > 0]).tolist()]
+        docs = table.filter(pc.is_null(table["blob"])).select(["id", "n", "one", "two"])
+        n = len(out)
+        classes = {
+            "level": pa.array([x for x, _ in out], pa.int32()),
+            "count": pa.array([len(t) for _, t in out], pa.int64()),
+            "blob": pa.array([W.pack(t) for _, t in out], pa.binary()),
+        }
+        return pa.concat_tables(
+            [
+                docs.append_column("level", pa.nulls(len(docs), pa.int32()))
+                .append_column("count", pa.nulls(len(docs), pa.int64()))
+                .append_column("blob", pa.nulls(len(docs), pa.binary())),
+                pa.table({c: pa.nulls(n, pa.int64()) for c in ("id", "n", "one", "two")} | classes),
+            ]
         )
 
-    found = messages.groupBy("bucket").applyInArrow(run, "level int, n long, blob binary")
-    found.write.parquet(store)
-    found = spark.read.schema("level int, n long, blob binary").parquet(store)
-    sizes = sorted(found.groupBy("level").agg(F.sum("n")).collect(), reverse=True)
+    return messages.groupBy("bucket").applyInArrow(run, _SIZED)
+
+
+def frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles (upper half of their hash) and their frequency class."""
+    sizes = sorted(classes.groupBy("level").agg(F.sum("count")).collect(), reverse=True)
     total, least = 0, 100
     for level, n in sizes:
         total += n
         if total > HEAVY:
             break
         least = level
-    rows = found.where(F.col("level") >= least).select("level", "blob").collect()
+    rows = classes.where(F.col("level") >= least).select("level", "blob").collect()
     tops = [W.unpack(bytes(r.blob)) for r in rows]
     top = np.concatenate(tops) if tops else np.empty(0, np.uint32)
     level = np.repeat([r.level for r in rows], [len(t) for t in tops]).astype(np.uint8)
@@ -180,7 +203,10 @@ def frequent(messages: DataFrame, store: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, text: str, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (node, n, one, two), one per task and different set, and messages (bucket, blobs)."""
+    """Rows (node, n, one, two), one per task and different set, and messages of prefixes.
+
+    Both kinds have a bucket, so that they pass one exchange together.
+    """
     buckets = _partitions(docs)
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
     kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 3
@@ -205,7 +231,7 @@ def prefixes(docs: DataFrame, text: str, heavy: tuple[np.ndarray, np.ndarray]) -
                 count += len(pick)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (node, size[pick], one[pick], two[pick])]
-                    + [pa.nulls(len(pick), k) for k in kinds[4:]],
+                    + [_spread(one[pick], buckets), *[pa.nulls(len(pick), k) for k in kinds[5:]]],
                     names=names,
                 )
                 number = np.repeat(np.cumsum(fresh) - 1, size)
@@ -269,6 +295,11 @@ class Forest:
 
 def _forest_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same connections as the links (a, b), as one star per group."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[new], b[new]
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
     forest = Forest(len(nodes))
     for x, y in zip(place[: len(a)].tolist(), place[len(a) :].tolist()):
@@ -279,30 +310,48 @@ def _forest_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def neighbours(messages: DataFrame) -> DataFrame:
-    """Links (a, b) that hold nodes with a common prefix shingle and similar size together."""
+    """Links (a, b) that hold nodes with a common prefix shingle and similar size together, and the
+    nodes of ``prefixes``."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([W.unpack(x.as_py()) for x in table["keys"]])
-        nodes, sizes = [], []
-        for blob, size in zip(table["nodes"], table["sizes"]):
-            blob = blob.as_py()
-            nodes.append(np.frombuffer(blob[:8], np.int64)[0] + W.unpack(blob[8:]).astype(np.int64))
-            sizes.append(W.unpack(size.as_py()).astype(np.int64))
-        nodes, sizes = np.concatenate(nodes), np.concatenate(sizes)
-        order = np.argsort(keys)
-        again = keys[order][1:] == keys[order][:-1]
-        twice = np.zeros(len(keys), bool)
-        twice[1:] |= again
-        twice[:-1] |= again
-        order = order[twice]
-        order = order[np.lexsort((nodes[order], sizes[order], keys[order]))]
-        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-        near = (keys[1:] == keys[:-1]) & (4 * sizes[:-1] >= 3 * sizes[1:])
-        pairs = np.unique(np.stack([nodes[:-1][near], nodes[1:][near]]), axis=1) if near.any() else None
-        a, b = _forest_links(*pairs) if pairs is not None else (np.empty(0, np.int64),) * 2
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return messages.groupBy("bucket").applyInArrow(run, "a long, b long")
+        own = table.filter(pc.is_null(table["keys"])).select(["node", "n", "one", "two"])
+        told = table.filter(pc.is_valid(table["keys"]))
+        links = _near(told) if len(told) else (np.empty(0, np.int64),) * 2
+        nothing = [pa.nulls(len(own), pa.int64())] * 2
+        return pa.concat_tables(
+            [
+                pa.table([*own.columns, *nothing], names=_NODES),
+                pa.table(
+                    [*[pa.nulls(len(links[0]), pa.int64())] * 4, *(pa.array(x) for x in links)],
+                    names=_NODES,
+                ),
+            ]
+        )
+
+    return messages.groupBy("bucket").applyInArrow(run, ", ".join(f"{c} long" for c in _NODES))
+
+
+_NODES = ["node", "n", "one", "two", "a", "b"]
+
+
+def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([W.unpack(x.as_py()) for x in table["keys"]])
+    nodes, sizes = [], []
+    for blob, size in zip(table["nodes"], table["sizes"]):
+        blob = blob.as_py()
+        nodes.append(np.frombuffer(blob[:8], np.int64)[0] + W.unpack(blob[8:]).astype(np.int64))
+        sizes.append(W.unpack(size.as_py()).astype(np.int64))
+    nodes, sizes = np.concatenate(nodes), np.concatenate(sizes)
+    order = np.argsort(keys)
+    again = keys[order][1:] == keys[order][:-1]
+    twice = np.zeros(len(keys), bool)
+    twice[1:] |= again
+    twice[:-1] |= again
+    order = order[twice]
+    order = order[np.lexsort((nodes[order], sizes[order], keys[order]))]
+    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+    near = (keys[1:] == keys[:-1]) & (4 * sizes[:-1] >= 3 * sizes[1:])
+    return _forest_links(nodes[:-1][near], nodes[1:][near])
 
 
 # 4: search within a block ----------------------------------------------------------------------
@@ -442,15 +491,15 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         frame.write.parquet(f"{store}/{name}")
         return spark.read.schema(frame.schema).parquet(f"{store}/{name}")
 
-    rows = stored(sized(docs, key, text), "sized")
-    heavy = frequent(rows.where("bucket IS NOT NULL").select("bucket", "blob"), f"{store}/frequent")
-    members = rows.where("bucket IS NULL").select("id", "n", "one", "two")
-    found = stored(prefixes(docs, text, heavy), "prefixes")
-    clusters = connected(neighbours(found.where("bucket IS NOT NULL").select("bucket", "keys", "nodes", "sizes")))
+    rows = stored(by_frequency(sized(docs, key, text)), "sized")
+    heavy = frequent(rows.where("blob IS NOT NULL"))
+    members = rows.where("blob IS NULL").select("id", "n", "one", "two")
+    found = stored(neighbours(prefixes(docs, text, heavy)), "near")
+    clusters = connected(found.where("a IS NOT NULL").select("a", "b"))
 
     sign = ["one", "two", "n"]
     nodes = stored(
-        found.where("bucket IS NULL").select("node", *sign)
+        found.where("a IS NULL").select("node", *sign)
         .join(clusters, "node")
         .groupBy(*sign).agg(F.min("node").alias("node"), F.min("label").alias("cluster")),
         "nodes",
@@ -465,9 +514,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select(
         *sign, "node", "cluster", "parts", "part"
     )
-    sets = stored(
-        sets_of(docs, text, _filter(placed)).join(placed, sign).drop("one", "two"), "sets"
-    )
+    placed = stored(placed, "placed")
+    sets = sets_of(docs, text, _filter(placed)).hint("merge").join(placed, sign).drop("one", "two")
 
     small = F.concat(F.lit("b"), F.pmod(F.xxhash64("cluster"), F.lit(blocks)))
     own = F.concat_ws("/", F.col("cluster").cast("string"), F.col("part").cast("string"))
@@ -481,7 +529,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     links = stored(searched(sets.select(F.explode(tasks).alias("task"), "node", "shingles")), "links")
     groups = connected(links)
 
-    large = sets.where("parts > 1").select("node", "cluster", "part", "parts", "n").dropDuplicates(["node"])
+    large = placed.where("parts > 1").select("node", "cluster", "part", "parts", "n")
     if not large.isEmpty():
         labelled = stored(
             large.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "large"

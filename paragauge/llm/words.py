@@ -62,12 +62,15 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE_BYTES of text; a longer text stands alone."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", size: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``size`` bytes of text; a longer text stands alone."""
+    size = size or SLICE_BYTES
     _, off = raw(batch.column(column))
     first = 0
     while first < batch.num_rows:
-        end = int(np.searchsorted(off, off[first] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(off, off[first] + size, "right")) - 1
         end = min(max(end, first + 1), batch.num_rows)
         yield batch.slice(first, end - first)
         first = end
