@@ -3,8 +3,9 @@
 Two documents link when their sets of 5-word shingles have a Jaccard similarity of at least 3/4.
 
 1. Every document gets the size and a 128-bit signature of its set; equal sets are one node.
-2. Shingle frequencies over all documents give a global order, rare shingles first. Only the order of
-   the most frequent ones is told to the tasks (at most ``HEAVY``); any order gives the same links.
+2. Shingle frequencies over all documents give a global order, rare shingles first. The tasks are told
+   it by two tables of fixed size: a coarse class per hash slot, and a finer one for the ``HEAVY``
+   most frequent shingles. Any order gives the same links; a better one gives smaller clusters.
 3. Linked sets share a shingle among their first quarter in that order (prefix). Nodes that share one
    and are of similar size fall into one cluster; a cluster holds all links of its nodes.
 4. Clusters are packed into blocks of about ``BLOCK`` shingles. Within a block an inverted index is
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ from paragauge.llm.components import connected
 from paragauge.session import scratch_path
 
 WIDTH = 5
-#: Shingles whose frequency class is broadcast: 5 bytes each.
+#: Shingles whose fine frequency class is broadcast: 5 bytes each.
 HEAVY = 1 << 20
+#: Bits of a shingle's hash that give its slot in the coarse table: 2 bits per slot, 32 MB.
+SLOT_BITS = 27
 #: Shingles in one block of the index.
 BLOCK = 1 << 21
 #: Bits of the filter that keeps sets without any candidate from travelling.
@@ -162,13 +166,15 @@ def by_frequency(messages: DataFrame) -> DataFrame:
         new[1:] = top[1:] != top[:-1]
         count = np.diff(np.append(np.flatnonzero(new), len(top)))
         level, top = np.log2(np.maximum(count, 1)).astype(np.int64), top[new]
-        out = [(x, top[level == x]) for x in np.unique(level[level > 0]).tolist()]
+        out = [(x, W.pack(top[level == x])) for x in np.unique(level[level >= FINE]).tolist()]
+        if len(top):
+            out.append((0, _segment(top[level > 0], level[level > 0])))
         docs = table.filter(pc.is_null(table["blob"])).select(["id", "n", "one", "two"])
         n = len(out)
         classes = {
             "level": pa.array([x for x, _ in out], pa.int32()),
-            "count": pa.array([len(t) for _, t in out], pa.int64()),
-            "blob": pa.array([W.pack(t) for _, t in out], pa.binary()),
+            "count": pa.array([int((level == x).sum()) for x, _ in out], pa.int64()),
+            "blob": pa.array([t for _, t in out], pa.binary()),
         }
         return pa.concat_tables(
             [
@@ -182,39 +188,78 @@ def by_frequency(messages: DataFrame) -> DataFrame:
     return messages.groupBy("bucket").applyInArrow(run, _SIZED)
 
 
-def frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (upper half of their hash) and their frequency class."""
-    sizes = sorted(classes.groupBy("level").agg(F.sum("count")).collect(), reverse=True)
+#: Frequency classes are base-2 logarithms; from this one on they are fine.
+FINE = 4
+
+
+def _segment(top: np.ndarray, level: np.ndarray) -> bytes:
+    """First byte and packed bytes of the coarse table that ``top`` falls into, in 2-bit classes."""
+    if not len(top):
+        return bytes(8) + W.pack(np.empty(0, np.uint8))
+    slot = top >> np.uint32(32 - SLOT_BITS)
+    coarse = np.where(level >= FINE, 3, np.minimum(level, 2)).astype(np.uint8)
+    first = int(slot[0]) // 4
+    classes = np.zeros((int(slot[-1]) // 4 - first + 1) * 4, np.uint8)
+    np.maximum.at(classes, slot.astype(np.int64) - first * 4, coarse)
+    four = classes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+    return first.to_bytes(8, "little") + W.pack(np.bitwise_or.reduce(four, axis=1).astype(np.uint8))
+
+
+@dataclass
+class Order:
+    """Classes of shingles by frequency, told to every task; rare ones have class 0."""
+
+    slots: np.ndarray  # 2 bits per slot
+    top: np.ndarray  # upper halves of the most frequent shingles, sorted
+    level: np.ndarray
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys >> np.uint64(64 - SLOT_BITS)
+        shift = ((slot & np.uint64(3)) << np.uint64(1)).astype(np.uint8)
+        found = self.slots[(slot >> np.uint64(2)).astype(np.int64)] >> shift & 3
+        if len(self.top):
+            half = (keys >> np.uint64(32)).astype(np.uint32)
+            at = np.minimum(np.searchsorted(self.top, half), len(self.top) - 1)
+            found = np.where(self.top[at] == half, self.level[at], found)
+        return found
+
+
+def frequent(classes: DataFrame) -> Order:
+    """The two tables; what reaches the driver is bounded by their sizes."""
+    slots = np.zeros(1 << SLOT_BITS - 2, np.uint8)
+    for row in classes.where("level = 0").select("blob").collect():
+        first, part = int.from_bytes(row.blob[:8], "little"), W.unpack(bytes(row.blob[8:]))
+        slots[first : first + len(part)] |= part
+    fine = classes.where("level > 0")
     total, least = 0, 100
-    for level, n in sizes:
+    for level, n in sorted(fine.groupBy("level").agg(F.sum("count")).collect(), reverse=True):
         total += n
         if total > HEAVY:
             break
         least = level
-    rows = classes.where(F.col("level") >= least).select("level", "blob").collect()
+    rows = fine.where(F.col("level") >= least).select("level", "blob").collect()
     tops = [W.unpack(bytes(r.blob)) for r in rows]
     top = np.concatenate(tops) if tops else np.empty(0, np.uint32)
     level = np.repeat([r.level for r in rows], [len(t) for t in tops]).astype(np.uint8)
     order = np.argsort(top)
-    return top[order], level[order]
+    return Order(slots, top[order], level[order])
 
 
 # 3: clusters -----------------------------------------------------------------------------------
 
 
-def prefixes(docs: DataFrame, text: str, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, order: Order) -> DataFrame:
     """Rows (node, n, one, two), one per task and different set, and messages of prefixes.
 
     Both kinds have a bucket, so that they pass one exchange together.
     """
     buckets = _partitions(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 3
     names = ["node", "n", "one", "two", "bucket", "keys", "nodes", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seen = TaskContext.get().partitionId() << 33, set()
-        top, classes = shared.value
         count = 0
         for batch in batches:
             for part in W.slices(batch):
@@ -239,13 +284,8 @@ def prefixes(docs: DataFrame, text: str, heavy: tuple[np.ndarray, np.ndarray]) -
                 keys, number = keys[mine], number[mine]
                 if not len(keys):
                     continue
-                level = np.zeros(len(keys), np.uint8)
-                if len(top):
-                    at = np.minimum(np.searchsorted(top, keys >> np.uint64(32)), len(top) - 1)
-                    level = np.where(top[at] == keys >> np.uint64(32), classes[at], 0)
-                if level.any():  # rare first; keys are in hash order within each set
-                    order = np.lexsort((keys, level, number))
-                    keys, number = keys[order], number[order]
+                rare = np.lexsort((keys, shared.value.of(keys), number))  # rare first in each set
+                keys, number = keys[rare], number[rare]
                 n = size[pick]
                 place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
                 early = place < np.repeat(n - (3 * n + 3) // 4 + 1, n)
@@ -492,9 +532,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         return spark.read.schema(frame.schema).parquet(f"{store}/{name}")
 
     rows = stored(by_frequency(sized(docs, key, text)), "sized")
-    heavy = frequent(rows.where("blob IS NOT NULL"))
+    order = frequent(rows.where("blob IS NOT NULL"))
     members = rows.where("blob IS NULL").select("id", "n", "one", "two")
-    found = stored(neighbours(prefixes(docs, text, heavy)), "near")
+    found = stored(neighbours(prefixes(docs, text, order)), "near")
     clusters = connected(found.where("a IS NOT NULL").select("a", "b"))
 
     sign = ["one", "two", "n"]

@@ -39,7 +39,7 @@ from paragauge.session import scratch_path
 
 CONTEXTS = 2048
 START = CONTEXTS
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 SWEEPS, BURN_IN = 4, 2
 #: Discount and strength of the context restaurants and of their parent.
 CONTEXT_RULE, PARENT_RULE = (0.75, 20.0), (0.6, 20.0)
@@ -72,14 +72,14 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     second = np.where(length > 1, low[np.maximum(span.end - 2, 0)], 0).astype(np.uint64)
     first = low[span.start].astype(np.uint64)
     shape = first << _U(24) | second << _U(16) | last << _U(8) | np.minimum(length, 6).astype(np.uint64)
-    kind = (W.mix(shape) % _U(CONTEXTS)).astype(np.int64)
+    kind = (W.mix(shape) % _U(CONTEXTS)).astype(np.uint16)
 
     sizes = np.bincount(span.doc, minlength=n) + 1
     ends = np.cumsum(sizes) - 1
     at = np.arange(len(span.doc)) + span.doc
     token = np.full(int(sizes.sum()), END, np.uint64)
     token[at] = span.hash
-    context = np.empty(len(token), np.int64)
+    context = np.empty(len(token), np.uint16)
     context[ends - sizes + 1] = START
     context[at + 1] = kind
     return token, context, sizes
@@ -100,7 +100,9 @@ def encoded(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in W.slices(batch, size=BLOCK_BYTES):
-                token, context, sizes = tokens(part.column("text"))
+                pieces = [tokens(p.column("text")) for p in W.slices(part)]
+                token, context, sizes = (np.concatenate(x) for x in zip(*pieces))
+                pieces.clear()
                 train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
                 words, word = np.unique(token, return_inverse=True)
                 pairs, stream = np.unique(word * (CONTEXTS + 1) + context, return_inverse=True)

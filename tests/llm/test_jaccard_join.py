@@ -80,7 +80,7 @@ def test_equals_all_pairs(spark):
     assert result(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("block,heavy", [(300, 1 << 20), (1500, 10)])
+@pytest.mark.parametrize("block,heavy", [(300, 10)])
 def test_small_blocks_change_nothing(spark, monkeypatch, block, heavy):
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "HEAVY", heavy)
