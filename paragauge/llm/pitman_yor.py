@@ -239,35 +239,44 @@ def unknown(totals: Totals, known: int) -> float:
     return (strength + discount * totals.parent_tables) / (strength + totals.customers) / (known + 1)
 
 
-def _sums(state: DataFrame, history: list[Totals], known: int) -> dict[int, int]:
-    """Sums over all ranges after ``len(history)`` sweeps: tables per context; the parent's
-    customers (-1) and tables (-2); before any sweep also tokens (-3), words (-4), and customers
-    per context (from -5 downwards)."""
+#: Numbers that travel in one row.
+CHUNK = 512
+
+
+def _sums(state: DataFrame, history: list[Totals], known: int) -> np.ndarray:
+    """Sums over all ranges after ``len(history)`` sweeps: tables per context, customers per context,
+    then the parent's customers and tables, tokens and words. Vectors travel in chunks."""
     shared = state.sparkSession.sparkContext.broadcast(history)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        past = shared.value
+        past, width = shared.value, CONTEXTS + 1
         for row in (r for b in batches for r in b.to_pylist()):
             own = Range(**row)
             for i, totals in enumerate(past):
                 own.sweep(i, totals, known)
-            width = CONTEXTS + 1
-            per = np.bincount(own.context, own.tables, minlength=width).astype(np.int64)
-            found = dict(enumerate(per.tolist()))
-            found |= {-1: int(own.customers.sum()), -2: int(own.parent_tables.sum())}
-            if not past:
-                found |= {-3: int(own.counts.sum()), -4: len(own.words)}
-                per = np.bincount(own.context, own.counts, minlength=width).astype(np.int64)
-                found |= {-5 - i: x for i, x in enumerate(per.tolist())}
-            yield pa.RecordBatch.from_pydict({"what": list(found), "value": list(found.values())})
+            found = np.concatenate([
+                np.bincount(own.context, own.tables, minlength=width),
+                np.bincount(own.context, own.counts, minlength=width),
+                [own.customers.sum(), own.parent_tables.sum(), own.counts.sum(), len(own.words)],
+            ]).astype(np.int64)
+            chunks = [found[i : i + CHUNK] for i in range(0, len(found), CHUNK)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(chunks)), pa.int32()), pa.array([W.pack(c) for c in chunks])],
+                names=["chunk", "numbers"],
+            )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(W.unpack(x.as_py()) for x in table["numbers"])
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "numbers": pa.array([W.pack(total)])})
 
-    rows = state.mapInArrow(run, "what long, value long").groupBy("what").agg(F.sum("value"))
-    return {r[0]: r[1] for r in rows.collect()}  # at most 2 x CONTEXTS + 6 rows
+    schema = "chunk int, numbers binary"
+    rows = state.mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    found = [W.unpack(bytes(r.numbers)) for r in sorted(rows, key=lambda r: r.chunk)]
+    return np.concatenate(found) if found else np.zeros(2 * (CONTEXTS + 1) + 4, np.int64)
 
 
-def _totals(found: dict[int, int]) -> Totals:
-    tables = np.array([found.get(i, 0) for i in range(CONTEXTS + 1)], np.int64)
-    return Totals(tables, found.get(-1, 0), found.get(-2, 0))
+def _totals(found: np.ndarray) -> Totals:
+    return Totals(found[: CONTEXTS + 1], int(found[-4]), int(found[-3]))
 
 
 @dataclass
@@ -280,8 +289,8 @@ class Learnt:
 
 def learn(state: DataFrame) -> Learnt:
     found = _sums(state, [], 0)
-    n_train, known = found.get(-3, 0), found.get(-4, 0)
-    customers = np.array([found.get(-5 - i, 0) for i in range(CONTEXTS + 1)], np.int64)
+    n_train, known = int(found[-2]), int(found[-1])
+    customers = found[CONTEXTS + 1 : 2 * (CONTEXTS + 1)]
     history = [_totals(found)]
     for _ in range(SWEEPS):
         history.append(_totals(_sums(state, history, known)))
