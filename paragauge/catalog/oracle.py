@@ -289,10 +289,10 @@ MELTED = """melted AS (SELECT model, variable, value FROM metrics
   UNPIVOT (value FOR variable IN (meteor, bleu_1, rouge_l)))"""
 
 PERF = """perf AS (SELECT * FROM (VALUES
-  ('org/copy', 62.99::DOUBLE, 22.53::DOUBLE, 'RTX 4080'),
-  ('org/half-0.7', 85.05, 41.88, 'RTX 4080'),
-  ('org/source-bnb-4bit', 0.0, 39.87, 'L40'),
-  ('org/swap', 97.77, 37.58, 'L40')) v(model, train_min, eval_min, gpu)),
+  ('org/copy', 11.5::DOUBLE, 3.25::DOUBLE, 'card A'),
+  ('org/half-0.7', 24.0, 7.5, 'card A'),
+  ('org/source-bnb-4bit', 0.0, 6.75, 'card B'),
+  ('org/swap', 31.25, 9.0, 'card B')) v(model, train_min, eval_min, gpu)),
 timed AS (SELECT model, meteor, train_min, eval_min, gpu FROM metrics LEFT JOIN perf USING (model))"""
 
 # -- prompts ------------------------------------------------------------------------------
@@ -450,13 +450,11 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT row_id, 'org/Mistral-7B', 0, 'user', {ASK} FROM pairs"""),
     "chat_render": sql([PAIRS, FAMILIES], "SELECT row_id, family, prompt FROM asked"),
     "training_text": sql([PAIRS, FAMILIES], "SELECT row_id, family, prompt || target || eos AS text FROM asked"),
-    "conversation_render": f"""WITH p AS (SELECT conv_id, turn // 4096 AS part,
-        string_agg({_L3.replace("{}<|end", "' || role || '<|end")} || text || '<|eot_id|>', '' ORDER BY turn) AS body
-        FROM conversations GROUP BY ALL)
-      SELECT conv_id, part,
-        CASE WHEN part = min(part) OVER w THEN '<|begin_of_text|>' ELSE '' END || body
-        || CASE WHEN part = max(part) OVER w THEN {_L3.format("assistant")} ELSE '' END AS text
-      FROM p WINDOW w AS (PARTITION BY conv_id)""",
+    "conversation_render": f"""SELECT conv_id, turn,
+        CASE WHEN turn = min(turn) OVER w THEN '<|begin_of_text|>' ELSE '' END
+        || {_L3.replace("{}<|end", "' || role || '<|end")} || text || '<|eot_id|>'
+        || CASE WHEN turn = max(turn) OVER w THEN {_L3.format("assistant")} ELSE '' END AS text
+      FROM conversations WINDOW w AS (PARTITION BY conv_id)""",
     "model_basename": sql([PAIRS, PREDS], """SELECT model, split_part(model, '/', -1) AS model_name,
       count(*) AS n FROM preds GROUP BY ALL"""),
     "tokenize_13a": doc_tokens(tok_13a),

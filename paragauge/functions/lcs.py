@@ -89,9 +89,19 @@ def summary_hits(target: list[list[str]], answer: list[list[str]]) -> int:
     """Tokens in the union of sentence-wise subsequences, each side's tokens used once."""
     left_ref = Counter(t for sentence in target for t in sentence)
     left_hyp = Counter(t for sentence in answer for t in sentence)
+    holders: dict[str, set[int]] = {}
+    for place, other in enumerate(answer):
+        for token in other:
+            holders.setdefault(token, set()).add(place)
     hits = 0
     for sentence in target:
-        covered = set().union(*(lcs_places(sentence, other) for other in answer))
+        open_ = {i for i, token in enumerate(sentence) if token in holders}
+        covered: set[int] = set()
+        shared = Counter(p for token in set(sentence) for p in holders.get(token, ()))
+        for place, _ in shared.most_common():
+            if len(covered) == len(open_):
+                break
+            covered |= lcs_places(sentence, answer[place])
         for token in (sentence[i] for i in sorted(covered)):
             if left_ref[token] and left_hyp[token]:
                 left_ref[token] -= 1

@@ -12,7 +12,6 @@ from paragauge.functions import hashing, text
 
 TEST, TRAIN = "test", "train"
 _DIGITS = 4  # hex digits per histogram level: at most 65,536 counts reach the driver
-_SMALL = 10_000  # a bucket of at most this many keys is read to find the cut
 
 
 def nonempty(pairs: DataFrame) -> DataFrame:
@@ -37,24 +36,33 @@ def split_hash(
     )
 
 
-def _smallest(keys: DataFrame, rank: int) -> tuple[str, object]:
-    """The ``rank``-th smallest (k, id), by narrowing the key prefix level by level.
+def _cut(keys: DataFrame, fraction: float) -> str | None:
+    """The key of the last of ``ceil(fraction * n)`` rows in key order, or None without rows.
 
-    Each level is one aggregation with map-side counts, so no task ever sorts the table.
+    The key prefix is narrowed level by level; each level is one aggregation with map-side counts,
+    so no task ever sorts the table. The first level also counts the rows.
     """
-    prefix = ""
+    if keys.where("id IS NULL").limit(1).count():
+        raise ValueError("ids must not be null")
+    prefix, rank, left = "", None, -1
     while len(prefix) < 32:
         inside = keys.where(F.startswith("k", F.lit(prefix))) if prefix else keys
         digits = F.substring("k", len(prefix) + 1, _DIGITS).alias("d")
-        for d, n in sorted(map(tuple, inside.groupBy(digits).count().collect())):
-            if rank <= n:
+        counts = sorted(map(tuple, inside.groupBy(digits).count().collect()))
+        if rank is None:
+            rank = math.ceil(fraction * sum(n for _, n in counts))
+            if rank == 0:
+                return None
+        for d, left in counts:
+            if rank <= left:
                 break
-            rank -= n
+            rank -= left
         prefix += d
-        if n <= _SMALL:
-            rows = keys.where(F.startswith("k", F.lit(prefix))).collect()
-            return sorted(map(tuple, rows))[rank - 1]
-    raise ValueError("too many rows share one id; ids must be unique")
+        if left == 1:
+            return keys.where(F.startswith("k", F.lit(prefix))).first().k
+    if rank < left:
+        raise ValueError("rows at the cut share one id; ids must be unique")
+    return prefix
 
 
 def split_exact(
@@ -63,16 +71,14 @@ def split_exact(
     """Add ``split`` with exactly ``ceil(fraction * n)`` test rows, in random order of the ids.
 
     Finding the cut reads only the id column; labelling is then a comparison per row, without
-    a sort, a window or a join. Give it a stored table: the ids are read once per level.
+    a sort, a window or a join. Give it a stored table: the ids are read once per level. Null ids,
+    and ids that the cut would tear apart, are refused.
     """
-    ids = df.select(hashing.random_key(seed, F.col(key)).alias("k"), F.col(key).alias("id"))
-    n_test = math.ceil(fraction * ids.count())
-    if n_test == 0:
-        return df.withColumn("split", F.lit(TRAIN))
-    last_k, last_id = _smallest(ids, n_test)
     k = hashing.random_key(seed, F.col(key))
-    in_test = (k < last_k) | ((k == last_k) & (F.col(key) <= F.lit(last_id)))
-    return df.withColumn("split", F.when(in_test, TEST).otherwise(TRAIN))
+    last = _cut(df.select(k.alias("k"), F.col(key).alias("id")), fraction)
+    if last is None:
+        return df.withColumn("split", F.lit(TRAIN))
+    return df.withColumn("split", F.when(k <= last, TEST).otherwise(TRAIN))
 
 
 def split_counts(df: DataFrame) -> DataFrame:

@@ -108,36 +108,22 @@ def with_prompts(pairs: DataFrame, template: ChatTemplate, model: str) -> DataFr
     )
 
 
-def render_conversations(
-    turns: DataFrame, template: ChatTemplate, turns_per_part: int = 4096
-) -> DataFrame:
-    """Conversations ``(conv_id, turn, role, text)`` as ``(conv_id, part, text)``.
-
-    A part holds the turns whose number falls in one block of ``turns_per_part``, so a
-    conversation of any length never gathers in one task; ordinary ones have one part, and the
-    parts of a long one joined in order are its whole text.
+def render_conversations(turns: DataFrame, template: ChatTemplate) -> DataFrame:
+    """Conversations ``(conv_id, turn, role, text)`` as ``(conv_id, turn, text)``: one rendered row
+    per turn, the start mark on the first turn and the generation mark on the last.
+
+    Joined in the order of the turns, the rows of a conversation are its whole text; however long
+    it is, it never gathers in one task.
     """
     if not template.has_system:
         turns = turns.where("role <> 'system'")
-    rendered = turns.select(
-        "conv_id",
-        F.expr(f"turn div {turns_per_part}").alias("part"),
-        F.struct("turn", _turn(template, F.col("role"), F.col("text")).alias("chat")).alias("t"),
-    )
-    parts = rendered.groupBy("conv_id", "part").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t.chat), "").alias("text")
-    )
-    ends = rendered.groupBy("conv_id").agg(F.min("part").alias("first"), F.max("part").alias("last"))
-    # Marked by part, so that the parts of a long conversation stay where they were put together.
-    outer = ends.select(
-        "conv_id", "first", "last", F.explode(F.array_distinct(F.array("first", "last"))).alias("part")
-    )
-    return parts.join(outer, ["conv_id", "part"], "left").select(
+    ends = turns.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    return turns.join(ends, "conv_id").select(
         "conv_id",
-        "part",
+        "turn",
         F.concat(
-            F.when(F.col("part") == F.col("first"), template.bos).otherwise(""),
-            "text",
-            F.when(F.col("part") == F.col("last"), template.generation).otherwise(""),
+            F.when(F.col("turn") == F.col("first"), template.bos).otherwise(""),
+            _turn(template, F.col("role"), F.col("text")),
+            F.when(F.col("turn") == F.col("last"), template.generation).otherwise(""),
         ).alias("text"),
     )

@@ -41,7 +41,7 @@ def coverage(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
     Copies are counted before anything is joined, so a heap of copies of one row shrinks to one
     row per task first.
     """
-    refs = pairs.select("row_id", F.lit(True).alias("known"))
+    refs = pairs.groupBy("row_id").agg(F.lit(True).alias("known"))
     per_row = predictions.groupBy("row_id", "model").agg(F.count("*").alias("copies"))
     per_model = (
         per_row.join(refs, "row_id", "left")
@@ -52,7 +52,7 @@ def coverage(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
             F.sum(F.col("copies") - 1).alias("duplicates"),
         )
     )
-    expected = pairs.agg(F.count("*")).scalar()
+    expected = pairs.agg(F.count_distinct("row_id")).scalar()
     return per_model.withColumn("expected", expected).select(
         "model", "expected", "present",
         (F.col("expected") - F.col("present")).alias("missing"), "duplicates", "orphans",
@@ -60,24 +60,47 @@ def coverage(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def require_coverage(pairs: DataFrame, predictions: DataFrame) -> None:
-    """Raise unless every model has exactly one prediction for every pair."""
+    """Raise unless ids of pairs are unique and every model has one prediction for every pair."""
+    twice = pairs.groupBy("row_id").count().where("count > 1").count()
+    if twice:
+        raise ValueError(f"{twice} ids of pairs are not unique")
     faults = coverage(pairs, predictions).where("missing <> 0 OR duplicates <> 0 OR orphans <> 0")
-    worst = faults.orderBy("model").limit(20).collect()
-    if worst:
+    sums = [F.sum(c).alias(c) for c in ("missing", "duplicates", "orphans")]
+    total = faults.agg(F.count("*").alias("models"), *sums).first()
+    if total.models:
+        shown = [str(row.asDict()) for row in faults.orderBy("model").limit(_SHOWN).collect()]
+        rest = f"; and {total.models - len(shown)} more models" if total.models > len(shown) else ""
         raise ValueError(
-            "predictions do not line up with pairs: "
-            + "; ".join(str(row.asDict()) for row in worst)
+            f"predictions do not line up with pairs: {total.asDict()}: " + "; ".join(shown) + rest
         )
 
 
+_SHOWN = 20  # models named in the message; the totals cover all
+
+
 def model_columns(wide: DataFrame, fixed: int = 3) -> list[str]:
     """Everything after ``row_id, source, target`` is a model."""
     return wide.columns[fixed:]
 
 
 def pivot(pairs: DataFrame, predictions: DataFrame, models: list[str]) -> DataFrame:
-    """One column per model. Only ``row_id`` is a grouping key; texts are joined on after."""
-    wide = predictions.groupBy("row_id").pivot("model", models).agg(F.first("prediction"))
+    """One column per model. Only ``row_id`` is a grouping key; texts are joined on after.
+
+    Two predictions of one model for one row are an error when the row is read.
+    """
+    found = predictions.groupBy("row_id").pivot("model", models).agg(
+        F.first("prediction").alias("p"), F.count(F.lit(1)).alias("n")
+    )
+    message = F.concat(F.lit("more than one prediction for row "), F.col("row_id").cast("string"))
+    wide = found.select(
+        "row_id",
+        *[
+            F.when(F.col(quoted(f"{m}_n")) > 1, F.raise_error(message))
+            .otherwise(F.col(quoted(f"{m}_p")))
+            .alias(m)
+            for m in models
+        ],
+    )
     return pairs.select("row_id", "source", "target").join(wide, "row_id", "left")
 
 

@@ -3,19 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paragauge.functions import align, porter
 
-# A synonym table up to this many rows is handed to every Python worker as a dictionary; a larger
-# one is joined on salted keys.
-BROADCAST_ROWS = 500_000
-SALTS = 32
-
-
 def pick_synonyms(edges: list[tuple[int, str]], ref: list[str]) -> list[int]:
     """Greedy from the end: each hypothesis word takes the last free reference word that is one
     of its alternatives. Each match is ``hyp << 32 | ref``."""
@@ -40,53 +33,30 @@ def _picked(places: pa.Array, alts: pa.Array, ref: pa.Array) -> pa.Array:
     return pa.array([pick_synonyms(list(zip(p, a)), r) for p, a, r in rows], pa.list_(pa.int64()))
 
 
-def _picked_from(alternatives: Broadcast[dict[str, list[str]]]):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def picked(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        table, rows = alternatives.value, []
-        for words, targets in zip(hyp.to_pylist(), ref.to_pylist()):
-            edges = [(i, alt) for i, word in enumerate(words) for alt in table.get(word, ())]
-            rows.append(pick_synonyms(edges, targets))
-        return pa.array(rows, pa.list_(pa.int64()))
-
-    return picked
-
-
-def _pick_by_dictionary(left: DataFrame, synonyms: list) -> DataFrame:
-    """Add ``_synonyms`` without moving a row."""
-    table: dict[str, list[str]] = {}
-    for word, alt in synonyms:
-        table.setdefault(word, []).append(alt)
-    picked = _picked_from(left.sparkSession.sparkContext.broadcast(table))
-    return left.withColumn("_synonyms", picked("hyp_left", "ref_left"))
+def _pick(left: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Add ``_synonyms``: one plan at every size.
 
-
-def _pick_by_join(left: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Add ``_synonyms`` where the table is too large for a dictionary.
-
-    A word may make up a third of all left-over tokens, so its tokens are spread over ``SALTS``
-    copies of its alternatives. Only pairs with a usable alternative are grouped, and a group is
-    one pair's own left-over words.
+    Spark broadcasts a small table; a larger one is joined on the word, where adaptive execution
+    splits a word that makes up many of the tokens. Only pairs with a usable alternative are grouped,
+    by their key and their own words, so that rows with the same key do not mix.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     # The outer form spares a filter on the array, for which the stems would be computed twice.
-    words = left.select(
-        "row_id", "model", "ref_left", F.posexplode_outer("hyp_left").alias("place", "word")
-    ).withColumn(
-        "salt", F.pmod(F.xxhash64("row_id", "model", "place"), F.lit(SALTS)).cast("int")
-    )
+    words = left.select(*_KEY, F.posexplode_outer("hyp_left").alias("place", "word"))
     picked = (
-        words.join(synonyms.withColumn("salt", salts), ["word", "salt"])
+        words.join(synonyms, "word")
         .where(F.array_contains("ref_left", F.col("alt")))
-        .groupBy("row_id", "model")
-        .agg(
-            F.collect_list("place").alias("places"),
-            F.collect_list("alt").alias("alts"),
-            F.first("ref_left").alias("ref_left"),
+        .groupBy(*_KEY)
+        .agg(F.collect_set(F.struct("place", "alt")).alias("edges"))
+        .select(
+            *[F.col(c).alias(f"_{c}") for c in _KEY],
+            _picked("edges.place", "edges.alt", "ref_left").alias("_synonyms"),
         )
-        .select("row_id", "model", _picked("places", "alts", "ref_left").alias("_synonyms"))
     )
-    return left.join(picked, ["row_id", "model"], "left")
+    same = [left[c].eqNullSafe(picked[f"_{c}"]) for c in _KEY]
+    return left.join(picked, same, "left").drop(*[f"_{c}" for c in _KEY])
+
+
+_KEY = ["row_id", "model", "hyp_left", "ref_left"]
 
 
 def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -98,10 +68,7 @@ def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:
         }
     )
     synonyms = synonyms.select("word", "alt").distinct()
-    if synonyms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        picked = _pick_by_dictionary(left, synonyms.collect())
-    else:
-        picked = _pick_by_join(left, synonyms)
+    picked = _pick(left, synonyms)
     places = {
         "_hyp_at": _free("hyp_words", align.hyp_position),
         "_ref_at": _free("ref_words", align.ref_position),

@@ -70,11 +70,13 @@ def read_skipping_bad_lines(
     # raw text; a line without raw text filled the extra field. Beyond that, count separators
     # outside quoted fields.
     char = "\\t" if sep == TAB else f"\\{sep}"
-    unquoted = F.regexp_replace(_RAW, rf'(?s)(?<=^|{char}|\n)"(?:[^"]|"")*"(?={char}|\r?\n?$)', "")
+    unquoted = F.regexp_replace(_RAW, rf'(?s)(?<=^|{char}|\n)"(?:[^"]++|"")*+"(?={char}|\r?\n?$)', "")
     separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))
     bad = F.col(_RAW).isNull() | (separators >= len(schema.fields))
-    good = df.where(~bad).select(schema.fieldNames())
-    rejected = df.where(bad).select(
+    # Every field is read, whatever is asked for: the parser judges a line by the fields it reads.
+    read = F.length(F.concat_ws(sep, *[F.col(c).cast("string") for c in [*schema.fieldNames(), _EXTRA]]))
+    good = df.where(~bad & (read >= 0)).select(schema.fieldNames())
+    rejected = df.where(bad & (read >= 0)).select(
         F.coalesce(_RAW, F.concat_ws(sep, *schema.fieldNames(), _EXTRA)).alias("line")
     )
     return good, rejected
@@ -128,6 +130,7 @@ def with_row_id(files: DataFrame, name: str = "row_id") -> DataFrame:
         [(file, start, offset - at) for (file, start, _, at), offset in zip(rows, before)],
         "_file string, _start bigint, _shift bigint",
     )
-    return placed.join(offsets, ["_file", "_start"]).select(
+    # A few numbers per split: told to every task, so that no text is shuffled at any size.
+    return placed.join(F.broadcast(offsets), ["_file", "_start"]).select(
         (F.col("_at") + F.col("_shift")).alias(name), *files.columns
     )

@@ -11,15 +11,6 @@ from pyspark.sql import types as T
 from paragauge.schemas import PREDICTIONS
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before heavy work on its rows.
-
-    A table of many files is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished write is at ``path``; a broken-off one left no success mark."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")

@@ -17,17 +17,18 @@ def test_exact_split_sizes_and_sets(spark, n):
 def test_exact_split_narrows_through_several_levels(spark, monkeypatch):
     df = spark.range(3000).withColumnRenamed("id", "row_id")
     want = {r.row_id for r in corpus.split_exact(df).where("split = 'test'").collect()}
-    monkeypatch.setattr(corpus, "_SMALL", 1)
     monkeypatch.setattr(corpus, "_DIGITS", 1)
     got = {r.row_id for r in corpus.split_exact(df).where("split = 'test'").collect()}
     assert got == want and len(want) == 600
 
 
-def test_exact_split_refuses_heaps_of_one_id(spark, monkeypatch):
-    monkeypatch.setattr(corpus, "_SMALL", 10)
-    df = spark.range(50).select(F.lit(7).cast("long").alias("row_id"))
+@pytest.mark.parametrize("n", [50, 10_001])
+def test_exact_split_refuses_heaps_of_one_id_and_null_ids(spark, n):
+    df = spark.range(n).select(F.lit(7).cast("long").alias("row_id"))
     with pytest.raises(ValueError, match="unique"):
         corpus.split_exact(df)
+    with pytest.raises(ValueError, match="null"):
+        corpus.split_exact(df.select(F.lit(None).cast("long").alias("row_id")))
 
 
 def test_labelling_is_narrow(spark):
@@ -96,16 +97,13 @@ def test_prompts(spark):
     assert inst.prompt == f"<s>[INST] {prompts.INSTRUCTION}\n你 {{}} 好 [/INST]"
 
 
-def test_long_conversation_comes_in_parts(spark):
-    """One conversation with most turns is cut by turn number; its parts join to the whole."""
-    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(25)]
+def test_conversation_has_one_row_per_turn(spark):
+    rows = [(1, t + 4090, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(25)]
     df = spark.createDataFrame(rows + [(2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
-    template = prompts.TEMPLATES["chatml"]
-    whole = {r.conv_id: r.text for r in prompts.render_conversations(df, template).collect()}
-    parts = prompts.render_conversations(df, template, turns_per_part=4).orderBy("part").collect()
-    assert len([p for p in parts if p.conv_id == 1]) == 7
-    for conv, chat in whole.items():
-        assert "".join(p.text for p in parts if p.conv_id == conv) == chat
+    got = prompts.render_conversations(df, prompts.TEMPLATES["llama3"]).orderBy("conv_id", "turn").collect()
+    assert len(got) == 26
+    assert [r.turn for r in got if r.text.startswith("<|begin_of_text|>")] == [4090, 0]
+    assert [r.turn for r in got if r.text.endswith("assistant<|end_header_id|>\n\n")] == [4114, 0]
 
 
 def test_generate_and_map_batches(spark):

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from paragauge.functions import overlap
+from paragauge.functions import overlap, text
 from paragauge.functions.lcs import lcs_size, summary_hits
 from paragauge.functions.porter import stem
 from paragauge.operators import scoring
@@ -184,11 +184,16 @@ def test_meteor(aligned, pairs, by_stem):
         assert row == pytest.approx(meteor(target, answer, stages), abs=1e-12)
 
 
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
-def test_meteor_synonyms(spark, aligned, pairs, monkeypatch, broadcast_rows):
-    from paragauge.operators import synonyms as module
+def test_synonyms_of_rows_with_one_key_do_not_mix(spark):
+    rows = [(1, "m", "x dog", "z cat"), (1, "m", "foo bar", "baz qux"), (2, None, "dog", "cat")]
+    df = spark.createDataFrame(rows, "row_id long, model string, target string, prediction string")
+    table = spark.createDataFrame([("cat", "dog")], "word string, alt string")
+    aligned = df.withColumns(text.reference_tokens(F.col("target")))
+    got = {(r.row_id, r.target): r.matched for r in scoring.with_meteor(aligned, synonyms=table).collect()}
+    assert got == {(1, "x dog"): 1, (1, "foo bar"): 0, (2, "dog"): 1}
+
 
-    monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast_rows)
+def test_meteor_synonyms(spark, aligned, pairs):
     table = [("cat", "dog"), ("dog", "cat"), ("the", "a"), ("a", "on"), ("sat", "mat"), ("mat", "sat"),
              ("run", "dog"), ("on", "the"), ("on", "run")]
     alternatives = {}

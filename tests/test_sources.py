@@ -139,3 +139,13 @@ def test_prepare_then_evaluate(spark, tmp_path):
 
     stored = evaluate(parts["test"], load, "org/m", TEMPLATES["chatml"], str(tmp_path / "p"))
     assert {r.prediction for r in stored.collect()} == {"ok"} and stored.count() == 10
+
+
+def test_bad_lines_with_long_fields_and_counts(spark, tmp_path):
+    long = '"' + "a ""quote"", and more\n".replace('"', '""') * 6000 + '"'
+    (tmp_path / "f.csv").write_text("a,b\n1,2\n3,4,5\nx,y\n" + "9,8,7," + "z" * 120_000 + "\n")
+    good, rejected = delimited.read_skipping_bad_lines(spark, str(tmp_path / "f.csv"), TWO)
+    assert (good.count(), rejected.count()) == (2, 2)
+    (tmp_path / "g.csv").write_text(f"a,b\n1,2\n{long},4,5\n{long},6\n")
+    good, rejected = delimited.read_skipping_bad_lines(spark, str(tmp_path / "g.csv"), TWO)
+    assert (good.count(), rejected.count()) == (2, 1)
