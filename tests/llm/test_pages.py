@@ -103,7 +103,7 @@ RULES = [
         ("//evil.com/a", "", "", None, "allow"),
         (None, "", "", None, "allow"),
         ("", "", "", None, "allow"),
-        ("a://evil.net/b://c", "evil.net", "/b", None, "block"),
+        ("a://evil.net/b://c", "evil.net", "/b://c", None, "block"),
         ("http://" + "É" * 9000 + ".de/" + "p" * 9000, "É" * 9000 + ".de", "/" + "p" * 9000, None, "allow"),
     ],
 )
