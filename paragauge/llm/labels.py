@@ -23,6 +23,8 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     """Features and labels (0 or 1) of at most ``rows`` labelled ids outside the held-out fold.
 
     Of several labels of one id the larger counts; null ids, null labels and other values do not.
+    Of several texts of one id the one with the largest features counts, merged per task first, so
+    no more than ``rows`` rows reach the driver however often an id occurs.
     """
     chosen = (
         labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
@@ -33,8 +35,10 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
         .limit(rows)
     )
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    some = texts.join(F.broadcast(chosen), "key").select("label", "text")
-    table = S.with_counts(some, ["label"]).select("label", *S.feature_columns()).toArrow()
+    some = texts.join(F.broadcast(chosen), "key")
+    counted = S.with_counts(some, ["key", "label"]).select("key", "label", *S.feature_columns())
+    largest = F.max(F.struct("label", *S.FEATURES)).alias("one")
+    table = counted.groupBy("key").agg(largest).select("one.*").toArrow()
     names = S.FEATURES
     found = np.column_stack([table[c].to_numpy() for c in names]) if table.num_rows else None
     if found is None:

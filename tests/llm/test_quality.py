@@ -140,3 +140,11 @@ def test_few_or_odd_labels(spark, labels):
     none = docs.where("false")
     assert rule_ensemble.score(none, rule_ensemble.train(none, truth)).collect() == []
     assert decision_list.judge(none, decision_list.DecisionList([])).collect() == []
+
+
+def test_sample_is_bounded_by_ids(spark):
+    docs = spark.createDataFrame([(3, f"a b {i}") for i in range(200)] + [(4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 0), (3, 1), (4, 0), (5, 1), (None, 1)], "doc_id long, quality int")
+    x, y = L.sample(docs, labels)
+    ids = [i for i in (3, 4) if zlib.crc32(str(i).encode()) % 5]
+    assert len(x) == len(y) == len(ids) and sorted(y.tolist()) == sorted({3: 1, 4: 0}[i] for i in ids)
