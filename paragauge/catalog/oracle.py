@@ -7,10 +7,21 @@ over whole tables: ``rouge_lsum`` and ``meteor_synonym`` (checked by brute force
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 from paragauge.catalog.fixtures import LOWER, UPPER
-from paragauge.functions.hashing import POISSON_CDF
-from paragauge.functions.text import NA_TOKENS
-from paragauge.operators.prompts import INSTRUCTION, SYSTEM_MESSAGE
+
+# Strings read as missing, and the wording of the translation task.
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+INSTRUCTION = (
+    "Please translate the following Chinese text into English and provide only the "
+    "translated content, nothing else."
+)
+SYSTEM_MESSAGE = "You are an expert in translating Chinese to English."
 
 # -- inputs -------------------------------------------------------------------------------
 
@@ -325,11 +336,16 @@ def split_bucket(column: str, seed: int = 17) -> str:
     return f"CASE WHEN CAST('0x' || substr({key}, 1, 8) AS BIGINT) % 10000 < 2000 THEN 'test' ELSE 'train' END"
 
 
-EXACT_SPLIT = """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('17|' || doc_id), doc_id)
+EXACT_SPLIT = """SELECT doc_id, text, CASE WHEN row_number() OVER (ORDER BY md5('17|' || doc_id), doc_id)
   <= ceil(0.2::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM documents"""
 
+SHARDED = """SELECT *, CAST('0x' || substr(k, 1, 8) AS BIGINT)
+    % (SELECT greatest(1, ceil(count(*) / 128))::BIGINT FROM documents) AS shard
+  FROM (SELECT epoch, doc_id, text, md5('3407|' || epoch || '|' || doc_id) AS k
+        FROM documents, (SELECT unnest([0, 1]) AS epoch))"""
+
 _na = ", ".join(f"'{t}'" for t in NA_TOKENS)
-_weight = " + ".join(f"(u >= {p})::INT" for p in POISSON_CDF)
+_weight = " + ".join(f"(u >= {p})::INT" for p in accumulate(exp(-1) / factorial(k) for k in range(7)))
 
 
 def doc_tokens(tokenize) -> str:
@@ -392,7 +408,7 @@ ORACLE: dict[str, str] = {
     "bootstrap_ci": sql([*ROUGE_PARTS, f"""drawn AS (SELECT model, f, rep, {_weight} AS weight
         FROM (SELECT model, f, rep, CAST('0x' || substr(md5('17|' || rep // 4 || '|' || row_id),
               8 * (rep % 4) + 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
-              FROM rn, (SELECT unnest(range(0, 100)) AS rep) WHERE n = 1)),
+              FROM rn, (SELECT unnest(range(0, 1000)) AS rep) WHERE n = 1)),
       means AS (SELECT model, rep, sum(weight * f) / sum(weight) AS v FROM drawn GROUP BY ALL)"""],
         """SELECT model, round(mean, 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low,
         round(quantile_cont(v, 0.5), 6) AS mid, round(quantile_cont(v, 0.975), 6) AS high
@@ -428,17 +444,15 @@ ORACLE: dict[str, str] = {
             UNION ALL SELECT model, meteor, 'eval_min', eval_min, coalesce(train_min, 0) FROM timed)
       WHERE value <> 0"""),
     "split_exact": EXACT_SPLIT,
-    "split_hash": f"SELECT doc_id, {split_bucket('doc_id')} AS split FROM documents",
+    "split_hash": f"SELECT doc_id, text, {split_bucket('doc_id')} AS split FROM documents",
     "split_partition_check": f"""WITH s AS ({EXACT_SPLIT}) SELECT
       (SELECT count(*) FROM (SELECT doc_id FROM s WHERE split = 'train' INTERSECT
                              SELECT doc_id FROM s WHERE split = 'test')) AS in_both,
       (SELECT count(*) FROM documents ANTI JOIN s USING (doc_id)) AS lost,
       (SELECT count(*) FROM s ANTI JOIN documents USING (doc_id)) AS invented""",
-    "training_shuffle": """SELECT epoch, shard, doc_id,
-      row_number() OVER (PARTITION BY epoch, shard ORDER BY k, doc_id) AS position
-      FROM (SELECT *, CAST('0x' || substr(k, 1, 8) AS BIGINT) % 8 AS shard
-            FROM (SELECT epoch, doc_id, md5('3407|' || epoch || '|' || doc_id) AS k
-                  FROM documents, (SELECT unnest([0, 1]) AS epoch)))""",
+    "training_shuffle": f"""SELECT epoch, shard, doc_id, text,
+      row_number() OVER (PARTITION BY epoch, shard ORDER BY k, doc_id) AS position FROM ({SHARDED})""",
+    "training_shards": f"SELECT epoch, shard, doc_id, text, k AS shuffle_key FROM ({SHARDED})",
     "extract_answer": sql([PAIRS, FAMILIES], f"""SELECT row_id, family,
       {extracted("prompt || gap || target || eos")} AS answer FROM asked"""),
     "extract_answer_legacy": sql([PAIRS, FAMILIES], f"""SELECT row_id, family,

@@ -103,6 +103,7 @@ def materialize_once(spark, sf_dir):
             lambda seed=seed: corpus.split_hash(pairs, seed=seed),
             schemas.SPLIT_CORPUS,
             partition_by=["split"],
+            parts=["split=train", "split=test"],
         )
     return stored
 
@@ -293,7 +294,7 @@ def rouge_mean(spark, sf_dir):
 @query
 def bootstrap_ci(spark, sf_dir):
     rows = scoring.with_rouge_n(aligned(spark, sf_dir))
-    return rounded(bootstrap.bootstrap_ci(rows, "rouge1", replicates=100), "mean", "low", "mid", "high")
+    return rounded(bootstrap.bootstrap_ci(rows, "rouge1"), "mean", "low", "mid", "high")
 
 
 def _meteor_rows(rows: DataFrame) -> DataFrame:
@@ -398,13 +399,13 @@ def stacked_bounds(spark, sf_dir):
 
 @query
 def split_exact(spark, sf_dir):
-    docs = fx.documents(spark, sf_dir).select("doc_id")
+    docs = fx.documents(spark, sf_dir).select("doc_id", "text")
     return corpus.split_exact(docs, key="doc_id")
 
 
 @query
 def split_hash(spark, sf_dir):
-    docs = fx.documents(spark, sf_dir).select("doc_id")
+    docs = fx.documents(spark, sf_dir).select("doc_id", "text")
     return corpus.split_hash(docs, key="doc_id")
 
 
@@ -416,11 +417,28 @@ def split_partition_check(spark, sf_dir):
     )
 
 
+ROWS_PER_SHARD = 128
+
+
+def _ordered(spark, sf_dir) -> DataFrame:
+    docs = fx.documents(spark, sf_dir).select("doc_id", "text")
+    shards = corpus.shard_count(docs, ROWS_PER_SHARD)
+    return corpus.training_order(docs, epochs=2, shards=shards, key="doc_id")
+
+
 @query
 def training_shuffle(spark, sf_dir):
-    docs = fx.documents(spark, sf_dir).select("doc_id")
-    ordered = corpus.training_order(docs, epochs=2, shards=8, key="doc_id")
-    return corpus.shard_rank(ordered, key="doc_id").select("epoch", "shard", "position", "doc_id")
+    ranked = corpus.shard_rank(_ordered(spark, sf_dir), key="doc_id")
+    return ranked.select("epoch", "shard", "position", "doc_id", "text")
+
+
+@query
+def training_shards(spark, sf_dir):
+    """What a trainer reads back from the stored shards."""
+    path = scratch_path(spark, "shards")
+    corpus.write_training_shards(_ordered(spark, sf_dir), path)
+    stored = "doc_id long, text string, shuffle_key string, epoch int, shard long"
+    return spark.read.schema(stored).parquet(path)
 
 
 # -- text functions -----------------------------------------------------------------------

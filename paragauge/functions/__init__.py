@@ -1,2 +1,2 @@
-"""Column-in, column-out building blocks. Everything here is evaluated on the JVM
-except the longest-common-subsequence and synonym helpers, which are Arrow UDFs."""
+"""Column-in, column-out building blocks: JVM expressions, and Arrow UDFs for matching tokens
+(n-gram overlap, word alignment with stems, longest common subsequence)."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +24,7 @@ def leading_int(key: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
-def poisson_weight(digits: Column) -> Column:
-    """How often a row is drawn in one bootstrap replicate (0 to 7), from 8 hex digits.
-
-    The digits stand for a number u in [0, 1); fixed-width hex compares like the number, so
-    ``u >= p`` needs no conversion.
-    """
-    limits = [f"{math.ceil(p * 2**32):08x}" for p in POISSON_CDF]
-    return sum((F.when(digits >= limit, 1).otherwise(0) for limit in limits), F.lit(0))
+def poisson_weights(numbers: np.ndarray) -> np.ndarray:
+    """How often a row is drawn in one bootstrap replicate (0 to 7), from 32-bit numbers."""
+    limits = [math.ceil(p * 2**32) for p in POISSON_CDF]
+    return np.searchsorted(np.array(limits, np.uint32), numbers.astype(np.uint32), "right")

@@ -92,17 +92,28 @@ def splits(df: DataFrame) -> dict[str, DataFrame]:
 
 def split_partition_check(whole: DataFrame, parts: DataFrame, key: str = "row_id") -> DataFrame:
     """One row: rows in both splits, rows lost, rows invented. All zero for a partition."""
-    train, test = (splits(parts)[name].select(key) for name in (TRAIN, TEST))
-    union, ids = train.unionByName(test), whole.select(key)
-    sides = ids.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
-        union.select(key, F.lit(0).alias("a"), F.lit(1).alias("b"))
+    none, found = F.lit(None).cast("string"), parts.where(F.col("split").isin(TRAIN, TEST))
+    sides = whole.select(key, none.alias("split")).unionByName(found.select(key, "split"))
+
+    def rows(of) -> Column:
+        return F.count(F.when(of, 1))
+
+    per_id = sides.groupBy(key).agg(
+        rows(F.col("split").isNull()).alias("n"),
+        rows(F.col("split") == TRAIN).alias("train"),
+        rows(F.col("split") == TEST).alias("test"),
     )
-    per_id = sides.groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    overlap = train.intersect(test).agg(F.count("*")).scalar()
+    gone = F.col("n") - F.col("train") - F.col("test")
     return per_id.agg(
-        F.coalesce(F.sum(F.when(F.col("a") > F.col("b"), F.col("a") - F.col("b"))), F.lit(0)).alias("lost"),
-        F.coalesce(F.sum(F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a"))), F.lit(0)).alias("invented"),
-    ).select(overlap.alias("in_both"), "lost", "invented")
+        rows((F.col("train") > 0) & (F.col("test") > 0)).alias("in_both"),
+        F.coalesce(F.sum(F.greatest(gone, F.lit(0))), F.lit(0)).alias("lost"),
+        F.coalesce(F.sum(F.greatest(-gone, F.lit(0))), F.lit(0)).alias("invented"),
+    )
+
+
+def shard_count(df: DataFrame, rows_per_shard: int) -> int:
+    """How many shards hold about ``rows_per_shard`` rows each; one pass that reads no column."""
+    return max(1, math.ceil(df.count() / rows_per_shard))
 
 
 def training_order(

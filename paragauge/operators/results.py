@@ -9,20 +9,21 @@ from paragauge.functions import text
 
 
 def align(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
-    """``(row_id, model, prediction, target)`` and the reference tokens, for every prediction
-    that has a pair.
+    """``(row_id, model, prediction, target)`` for every prediction that has a pair.
 
-    The merge hint keeps both sides partitioned by ``row_id`` at every size: scoring is the heavy
+    Only text is shuffled; tokens are made after the join, where the scores need them: they would be
+    ten times the volume of the reference. The merge hint keeps both sides partitioned by ``row_id`` at every size: scoring is the heavy
     part, so it must spread over all tasks even where Spark would broadcast small pairs, and the
     join stays one that adaptive execution splits if rows pile up on one id.
     """
-    refs = pairs.select("row_id", "target").withColumns(text.reference_tokens(F.col("target")))
+    refs = pairs.select("row_id", "target")
     hyps = predictions.select("row_id", "model", "prediction")
     return hyps.join(refs.hint("merge"), "row_id")
 
 
 def align_wide(wide: DataFrame, models: list[str] | None = None) -> DataFrame:
-    """The same from a wide results table, where the reference is in the row already: no join."""
+    """The same from a wide results table, where the reference is in the row already: no join, and
+    the reference is tokenized once, before the row fans out."""
     models = models or model_columns(wide)
     refs = wide.withColumns(text.reference_tokens(F.col("target")))
     kept = ["row_id", "target", *text.reference_tokens(F.col("target"))]

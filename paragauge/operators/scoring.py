@@ -1,7 +1,7 @@
 """Per-row scores and per-model metrics.
 
 Input of everything here is an *aligned* table ``(row_id, model, target, prediction)`` as made
-by ``results.align``, which also brings the reference's tokens. A row holds both sides of one pair, so its scores are computed where the
+by ``results.align``. A row holds both sides of one pair, so its scores are computed where the
 row is: the alignment join is the only exchange of text, and each metric then needs one
 aggregation whose groups are models (partial sums per task, a handful of rows shuffled).
 """
@@ -31,7 +31,7 @@ def answers(aligned: DataFrame) -> DataFrame:
 
 
 def _answered(aligned: DataFrame) -> DataFrame:
-    """With ``answer``, and with reference tokens if the table does not come from ``align``."""
+    """With ``answer`` and the reference tokens, as far as they are not there yet."""
     df = aligned if "answer" in aligned.columns else answers(aligned)
     tokens = text.reference_tokens(F.col("target"))
     return df.withColumns({c: tokens[c] for c in tokens if c not in df.columns})

@@ -9,18 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from paragauge.operators import corpus, prompts
 from paragauge.operators.generate import generate
 from paragauge.schemas import SPLIT_CORPUS
+from paragauge.session import scratch_path
 from paragauge.sources import tables
 
 
 def prepare(
     spark: SparkSession, pairs: Callable[[], DataFrame], path: str, seed: int = 17
 ) -> dict[str, DataFrame]:
-    """Clean and split once, then serve ``train`` and ``test`` from the stored table."""
+    """Clean and split once, then serve ``train`` and ``test`` from the stored table.
+
+    The cleaned pairs are stored first, as the split reads their ids several times. A store without
+    one of the two splits is built anew.
+    """
 
     def build() -> DataFrame:
-        return corpus.split_exact(corpus.nonempty(corpus.na_normalize(pairs())), seed=seed)
+        clean = corpus.nonempty(corpus.na_normalize(pairs()))
+        clean = tables.materialize(spark, scratch_path(spark, "clean"), lambda: clean, clean.schema)
+        return corpus.split_exact(clean, seed=seed)
 
-    stored = tables.materialize(spark, path, build, SPLIT_CORPUS, partition_by=["split"])
+    parts = [f"split={name}" for name in (corpus.TRAIN, corpus.TEST)]
+    stored = tables.materialize(spark, path, build, SPLIT_CORPUS, partition_by=["split"], parts=parts)
     return corpus.splits(stored)
 
 

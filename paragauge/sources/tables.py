@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 from paragauge.schemas import PREDICTIONS
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a finished write is at ``path``; a broken-off one left no success mark."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+def is_complete(spark: SparkSession, path: str, parts: Iterable[str] = ()) -> bool:
+    """Whether a finished write is at ``path``; a broken-off one left no success mark. All of
+    ``parts``, partition folders such as ``split=test``, must be there too."""
+    needed = [spark._jvm.org.apache.hadoop.fs.Path(path, name) for name in ("_SUCCESS", *parts)]
+    conf = spark._jsc.hadoopConfiguration()
+    return all(p.getFileSystem(conf).exists(p) for p in needed)
 
 
 def materialize(
@@ -23,13 +25,15 @@ def materialize(
     build: Callable[[], DataFrame],
     schema: T.StructType,
     partition_by: list[str] | None = None,
+    parts: Iterable[str] = (),
 ) -> DataFrame:
-    """Read the table at ``path``; build and write it first if it is not there yet.
+    """Read the table at ``path``; build and write it first if it, or one of the partition folders
+    ``parts``, is not there yet.
 
     Every use reads the stored rows, so a random split or a generated text stays as it was
     written, and a lost executor repeats a scan instead of the work behind it.
     """
-    if not is_complete(spark, path):
+    if not is_complete(spark, path, parts):
         build().write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -62,6 +62,17 @@ def test_filters(spark):
     assert {r.row_id for r in corpus.nonempty(corpus.na_normalize(df)).collect()} == {1, 4}
 
 
+def test_partition_check_is_one_aggregation(spark):
+    whole = spark.range(50).withColumnRenamed("id", "row_id")
+    plan = corpus.split_partition_check(whole, corpus.split_hash(whole))
+    plan = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Range (") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_shards_follow_the_number_of_rows(spark):
+    assert [corpus.shard_count(spark.range(n), 10) for n in (0, 1, 10, 11)] == [1, 1, 1, 2]
+
+
 def test_training_shards_hold_every_row_per_epoch(spark, tmp_path):
     df = spark.range(300).withColumnRenamed("id", "row_id")
     ordered = corpus.training_order(df, epochs=2, shards=4)

@@ -70,6 +70,10 @@ def test_alignment_is_one_exchange_per_side(pairs, predictions):
     initial = plan.split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning(row_id") == 2
     assert initial.count("Exchange") == 3
+    joined = results.align(pairs, predictions)._jdf.queryExecution().optimizedPlan().toString()
+    assert "target_13a" not in joined and "regexp" not in joined
+    below = initial[initial.index("Join") :]
+    assert "target_13a" not in below and "target_words" not in below
     assert "Window" not in initial and "CartesianProduct" not in initial and "NestedLoop" not in initial
 
 

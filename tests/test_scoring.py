@@ -1,9 +1,13 @@
 """Scores against plain re-computation, pair by pair."""
 
+import hashlib
 import math
 import random
 from collections import Counter
+from itertools import accumulate
+from math import ceil, exp, factorial
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +258,25 @@ def test_bootstrap_surrounds_the_mean_and_repeats(spark):
     assert spread == pytest.approx(1.96 * 0.2872 / 20, rel=0.25)
     with pytest.raises(ValueError):
         bootstrap_ci(df, "score", replicates=10)
+
+
+def test_bootstrap_against_plain_python(spark):
+    some = random.Random(5)
+    rows = [(i, m, some.random()) for i in range(700) for m in ("a", "b") if some.random() < 0.8]
+    rows += [(3, "a", None), (None, "b", 0.5)]
+    limits = [ceil(p * 2**32) for p in accumulate(exp(-1) / factorial(k) for k in range(7))]
+
+    def weight(row_id, rep):
+        key = f"17|{rep // 4}" if row_id is None else f"17|{rep // 4}|{row_id}"
+        part = hashlib.md5(key.encode()).hexdigest()[8 * (rep % 4) : 8 * (rep % 4) + 8]
+        return sum(int(part, 16) >= limit for limit in limits)
+
+    df = spark.createDataFrame(rows, "row_id long, model string, score double").repartition(3)
+    for got in bootstrap_ci(df, "score", replicates=40).collect():
+        own = [(i, s or 0.0) for i, m, s in rows if m == got.model]
+        means = []
+        for rep in range(40):
+            drawn = [(weight(i, rep), s) for i, s in own]
+            means.append(sum(w * s for w, s in drawn) / sum(w for w, _ in drawn))
+        want = [sum(s for _, s in own) / len(own), *np.quantile(means, [0.025, 0.5, 0.975])]
+        assert tuple(got)[1:] == pytest.approx(want, abs=1e-12)

@@ -84,6 +84,17 @@ def test_materialize_keeps_the_first_result(spark, tmp_path):
     assert again.count() == 4
 
 
+def test_materialize_needs_every_part(spark, tmp_path):
+    path, parts = str(tmp_path / "once"), ["split=train", "split=test"]
+    row = spark.range(1).selectExpr("id AS row_id", "'s' AS source", "'t' AS target")
+    one = lambda: row.withColumn("split", F.lit("train"))
+    both = lambda: one().unionByName(row.withColumn("split", F.lit("test")))
+    tables.materialize(spark, path, one, schemas.SPLIT_CORPUS, ["split"])
+    for build in (both, one):  # a store without test rows is not served; the whole one is
+        got = tables.materialize(spark, path, build, schemas.SPLIT_CORPUS, ["split"], parts)
+        assert {r.split for r in got.collect()} == {"train", "test"}
+
+
 def test_split_filter_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "splits")
     df = spark.range(100).selectExpr("id AS row_id", "'s' AS source", "'t' AS target")
