@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from paragauge.llm import words as W
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHE = 200_000
+CACHE = 130_000
 #: Pieces whose merges are replayed together; bounds the memory of the index.
-GROUP = 50_000
+GROUP = 4_000
 
 
 class Vocabulary:
@@ -127,13 +127,14 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> list[list[int]]:
 
 
 class Encoder:
-    """Pieces with what an encoding needs of them: number of ids, their decimals, their bytes."""
+    """Pieces with the decimals of their ids, joined by commas."""
 
     def __init__(self, name: str):
         self.vocab = vocabulary(name)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.token = {str(i): token for i, token in enumerate(self.vocab.bytes)}
 
     def learn(self, pieces: set[str]) -> None:
         """Afterwards ``known`` has all of ``pieces``; the pieces of some calls ago may be gone."""
@@ -150,14 +151,15 @@ class Encoder:
             if rank is None:
                 rare.append(piece)
             else:
-                known[piece] = (1, str(rank), self.vocab.bytes[rank])
-        token = self.vocab.bytes
+                known[piece] = str(rank)
         for group in range(0, len(rare), GROUP):
             some = rare[group : group + GROUP]
             for piece, ids in zip(some, replay([p.encode() for p in some], self.vocab)):
-                known[piece] = (
-                    len(ids), ",".join(map(str, ids)), b"".join([token[i] for i in ids]),
-                )
+                known[piece] = ",".join(map(str, ids))
+
+    def decode(self, numbers: str) -> bytes:
+        """The bytes of comma-joined ids."""
+        return b"".join(map(self.token.__getitem__, numbers.split(","))) if numbers else b""
 
 
 @lru_cache(maxsize=2)
@@ -187,10 +189,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
                 known = own.known
                 out: list[list] = [[], [], [], [], []]
                 for pieces in cuts:
-                    found = [known[p] for p in pieces]
-                    numbers = ",".join([f[1] for f in found])
-                    decoded = b"".join([f[2] for f in found])
-                    out[0].append(sum([f[0] for f in found]))
+                    numbers = ",".join([known[p] for p in pieces])
+                    decoded = own.decode(numbers)
+                    out[0].append(numbers.count(",") + 1 if numbers else 0)
                     out[1].append(hashlib.sha256(numbers.encode()).hexdigest())
                     out[2].append(hashlib.sha256(decoded).hexdigest())
                     if ids:
@@ -210,5 +211,4 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
 
 def decode(ids: str, ranks: str = RANKS) -> bytes:
     """The bytes of comma-joined ids."""
-    token = vocabulary(ranks).bytes
-    return b"".join([token[int(i)] for i in ids.split(",")]) if ids else b""
+    return encoder(ranks).decode(ids)
