@@ -127,13 +127,13 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> list[list[int]]:
 
 
 class Encoder:
-    """Pieces with the decimals of their ids, joined by commas."""
+    """Pieces with the number of their ids, and the decimals of those joined by commas."""
 
     def __init__(self, name: str):
         self.vocab = vocabulary(name)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, str] = {}
-        self.older: dict[str, str] = {}
+        self.known: dict[str, tuple[int, str]] = {}
+        self.older: dict[str, tuple[int, str]] = {}
         self.token = {str(i): token for i, token in enumerate(self.vocab.bytes)}
 
     def learn(self, pieces: set[str]) -> None:
@@ -151,11 +151,11 @@ class Encoder:
             if rank is None:
                 rare.append(piece)
             else:
-                known[piece] = str(rank)
+                known[piece] = (1, str(rank))
         for group in range(0, len(rare), GROUP):
             some = rare[group : group + GROUP]
             for piece, ids in zip(some, replay([p.encode() for p in some], self.vocab)):
-                known[piece] = ",".join(map(str, ids))
+                known[piece] = (len(ids), ",".join(map(str, ids)))
 
     def decode(self, numbers: str) -> bytes:
         """The bytes of comma-joined ids."""
@@ -189,9 +189,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
                 known = own.known
                 out: list[list] = [[], [], [], [], []]
                 for pieces in cuts:
-                    numbers = ",".join([known[p] for p in pieces])
+                    found = [known[p] for p in pieces]
+                    numbers = ",".join([f[1] for f in found])
                     decoded = own.decode(numbers)
-                    out[0].append(numbers.count(",") + 1 if numbers else 0)
+                    out[0].append(sum([f[0] for f in found]))
                     out[1].append(hashlib.sha256(numbers.encode()).hexdigest())
                     out[2].append(hashlib.sha256(decoded).hexdigest())
                     if ids:
