@@ -3,8 +3,9 @@
 Texts are cut by the tokenizer's pattern. The different pieces that are no token themselves are laid
 out as chains of byte symbols. An inverted index holds, for each rank, the places where that merge
 applies; ranks are taken in ascending order, all places of a rank are merged, and only the pairs
-that touch a merged place are looked up again. A worker keeps the pieces it has met lately, at most
-twice CACHE of them, so a frequent word is merged once per worker.
+that touch a merged place are looked up again. A task keeps the pieces it has met lately, at most
+twice CACHE of them, so a frequent word is merged once per task; a worker keeps nothing but the
+vocabulary when its task ends.
 
 Defined cases: null is empty text; an empty text has no tokens; an empty table gives an empty
 result; repeated rows are encoded alike; other columns of the input are not touched. Texts are
@@ -180,7 +181,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
         schema += ", ids string, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(ranks)
+        own = Encoder(ranks)
         cut = own.pattern.findall
         for batch in batches:
             for part in W.slices(batch):
