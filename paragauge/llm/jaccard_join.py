@@ -403,16 +403,20 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     size = np.array([len(sets[i]) for i in by_size], np.int64)
     ends = np.cumsum(size)
     keys = np.concatenate([sets[i] for i in by_size]) if len(sets) else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(size)), size)
-    order = np.argsort(keys, kind="stable")  # within a list, owners ascend
-    lists = owner[order]
+    kind = np.int32 if len(keys) < 1 << 31 else np.int64  # of places: half the index's memory
+    order = np.argsort(keys, kind="stable").astype(kind)  # within a list, owners ascend
+    lists = np.repeat(np.arange(len(size), dtype=kind), size)[order]
     new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    head = np.flatnonzero(new)
-    begin = np.empty(len(keys), np.int64)
-    begin[order] = head[np.cumsum(new) - 1]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.arange(len(keys)) - head[np.cumsum(new) - 1]
+    ordered = keys[order]
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    del ordered
+    head = np.flatnonzero(new).astype(kind)
+    head = np.repeat(head, np.diff(head, append=len(keys)))
+    begin = np.empty(len(keys), kind)
+    begin[order] = head
+    rank = np.empty(len(keys), kind)
+    rank[order] = np.arange(len(keys), dtype=kind) - head
+    del head, new, order
     forest, out = Forest(len(size)), []
     for q in range(len(size)):
         n, mine = int(size[q]), slice(ends[q] - size[q], ends[q])
@@ -426,10 +430,10 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         short, long = ascending[: n - skip], ascending[n - skip :]
         short = short[length[short] > 0]
         start, count = begin[mine][short], length[short]
-        total = int(count.sum())
+        total = int(count.sum(dtype=np.int64))
         if not total:
             continue
-        steps = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        steps = np.arange(total) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
         merged = np.sort(lists[np.repeat(start, count) + steps], kind="stable")  # merges the runs
         merged = merged[np.searchsorted(merged, np.searchsorted(4 * size, 3 * n)) :]
         if not len(merged):
