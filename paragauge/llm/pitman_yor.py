@@ -1,21 +1,23 @@
 """Language model: a hierarchical Pitman-Yor process over words, seated as Chinese restaurants.
 
-Every class of the word before (``CONTEXTS`` of them, and one for the start of a text) has a context
-restaurant; they all share one parent, the restaurant of single words, whose base is even over the
-known words and one unknown. A customer who opens a table in a context restaurant sends a customer
-to the parent. A Gibbs sweep takes the customers of one dish out of a restaurant and seats them
-again one after the other by the predictive rule (from the sixteenth on in parties of a sixteenth of
-those seated, all of whom see the tables as the party arrives). Predictive probabilities are averaged
-over the sweeps after ``BURN_IN`` and give each text its log10 probability, and groups of texts their
-perplexity.
-
-How it runs: a task numbers the words of a block of texts and sends each hash range of words one
-message with its (word, context) pairs and training counts; so texts stay where they are, and a word
-is sent once per block however frequent it is. A range holds its words with all their contexts, so
-seating needs nothing from other ranges but the number of tables per context, ``CONTEXTS`` numbers
-that are summed up after each sweep. Sweeps replay from the counts with fixed random numbers, so a
-lost task gives the same result again. Each range answers every block with one probability per pair,
-and the block adds them up per text.
+Every word has a context restaurant for what comes after it, and the start of a text has one; they
+all share one parent, the restaurant of single words, whose base is even over the known words and
+one unknown. A customer who opens a table in a context restaurant sends a customer to the parent. A
+Gibbs sweep takes the customers of one dish out of a restaurant and seats them again one after the
+other by the predictive rule (from the sixteenth on in parties of a sixteenth of those seated, all
+of whom see the tables as the party arrives). Predictive probabilities are averaged over the sweeps
+after ``BURN_IN`` and give each text its log10 probability, and groups of texts their perplexity.
+
+How it runs: a task numbers the words of a block of texts, which is stored, and sends each hash range
+of words one message with its (word, context) pairs and training counts; a pair is sent once per
+block however frequent it is. A range holds its words with all their contexts, those too that are
+only asked for, so seating needs nothing from other ranges but the number of tables per context.
+Ranges of contexts sum these up after each sweep: every range of words sends each of them one row
+with the contexts it has there, and gets the sums of just these back. So no task and no broadcast
+holds all contexts or words. Random numbers are fixed, so a lost task gives the same result again.
+Each range answers every block with one probability per pair, and the block adds them up per text.
+
+Words and contexts are told apart by a hash of 64 bits.
 
 Defined cases: letters A-Z count as lower case; a null or empty text is one token, its end; a null id
 is neither held out nor learnt from; without training texts every token has probability 1 (V is 0);
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 from paragauge.llm import words as W
 from paragauge.session import scratch_path
 
+#: Contexts of a ``Range`` that does not say how many it has; a table may have any number.
 CONTEXTS = 2048
-START = CONTEXTS
+#: The context of a text's first token: the largest number, so that it comes last in every order.
+START = np.uint64((1 << 64) - 1)
 BLOCK_BYTES = 12 << 20
 SWEEPS, BURN_IN = 4, 2
 #: Discount and strength of the context restaurants and of their parent.
@@ -53,7 +57,7 @@ _U = np.uint64
 class Totals:
     """What restaurants know of the other hash ranges after a sweep."""
 
-    tables: np.ndarray  # per context
+    tables: np.ndarray  # per context of the range
     customers: int  # of the parent
     parent_tables: int
 
@@ -61,77 +65,82 @@ class Totals:
 # Texts to messages -----------------------------------------------------------------------------
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and context of every token, ends included, and the number of tokens per text."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token, ends included, and the number of tokens per text."""
     data, off = W.raw(texts)
-    n = len(off) - 1
     span = W.words(data, off, lower=True)
-    length = span.end - span.start
-    low = W.LOWER[data]
-    last = low[span.end - 1].astype(np.uint64)
-    second = np.where(length > 1, low[np.maximum(span.end - 2, 0)], 0).astype(np.uint64)
-    first = low[span.start].astype(np.uint64)
-    shape = first << _U(24) | second << _U(16) | last << _U(8) | np.minimum(length, 6).astype(np.uint64)
-    kind = (W.mix(shape) % _U(CONTEXTS)).astype(np.uint16)
-
-    sizes = np.bincount(span.doc, minlength=n) + 1
-    ends = np.cumsum(sizes) - 1
-    at = np.arange(len(span.doc)) + span.doc
+    sizes = np.bincount(span.doc, minlength=len(off) - 1) + 1
     token = np.full(int(sizes.sum()), END, np.uint64)
-    token[at] = span.hash
-    context = np.empty(len(token), np.uint16)
-    context[ends - sizes + 1] = START
-    context[at + 1] = kind
-    return token, context, sizes
+    token[np.arange(len(span.doc)) + span.doc] = span.hash
+    return token, sizes
 
 
-_BLOCK = "block long, ids array<long>, held array<boolean>, sizes binary, stream binary"
-_MESSAGE = "bucket int, words binary, per binary, contexts binary, counts binary"
+def pairs_of(stream: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and context of the different pairs of a block, in order, and the pair of every token.
+
+    A context is the number of the word before, or ``words`` at the start of a text.
+    """
+    before = np.empty(len(stream), np.int64)
+    before[1:] = stream[:-1]
+    before[np.cumsum(sizes) - sizes] = words
+    pairs, pair = np.unique(stream * np.int64(words + 1) + before, return_inverse=True)
+    return pairs // (words + 1), pairs % (words + 1), pair
+
+
+def _limits(ranges: int) -> np.ndarray:
+    return np.arange(1, ranges, dtype=np.uint64) * _U((1 << 64) // max(ranges, 2))
+
+
+def _ends(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Where the hash ranges begin and end in sorted hashes."""
+    return np.concatenate([[0], np.searchsorted(hashes, _limits(ranges)), [len(hashes)]])
+
+
+def _steps(rising: np.ndarray) -> bytes:
+    """Rising numbers, packed as differences."""
+    return W.pack(np.diff(rising.astype(np.uint64), prepend=_U(0)))
 
 
-def encoded(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """Rows of blocks (ids and token streams) and rows of messages, both with the block's number."""
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
-    more = [pa.int32(), *[pa.binary()] * 4]
-    names = [c.split()[0] for c in f"{_BLOCK}, {_MESSAGE}".split(", ")]
-    limits = np.arange(1, buckets, dtype=np.uint64) * _U((1 << 64) // max(buckets, 2))
+def _rising(blob: bytes) -> np.ndarray:
+    return np.cumsum(W.unpack(blob), dtype=np.uint64)
+
+
+_BLOCK = (
+    "block long, ids array<long>, held array<boolean>, train array<boolean>, sizes binary,"
+    " words binary, stream binary"
+)
+_MESSAGE = "block long, bucket int, words binary, per binary, names binary, contexts binary, counts binary"
+_STATE = (
+    "bucket int, words binary, contexts binary, n_contexts int, pairs binary, counts binary,"
+    " blocks array<long>, asked array<binary>, asked_words array<binary>"
+)
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def encoded(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Blocks of texts as hashes of words and streams of word numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in W.slices(batch, size=BLOCK_BYTES):
                 pieces = [tokens(p.column("text")) for p in W.slices(part)]
-                token, context, sizes = (np.concatenate(x) for x in zip(*pieces))
+                token, sizes = (np.concatenate(x) for x in zip(*pieces))
                 pieces.clear()
-                train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
-                words, word = np.unique(token, return_inverse=True)
-                pairs, stream = np.unique(word * (CONTEXTS + 1) + context, return_inverse=True)
-                counts = np.bincount(stream[np.repeat(train, sizes)], minlength=len(pairs))
-                owner, context = pairs // (CONTEXTS + 1), pairs % (CONTEXTS + 1)
+                words, stream = np.unique(token, return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number]),
-                        pa.array([part.column("id").to_pylist()], kinds[1]),
-                        pa.array([part.column("held").to_pylist()], kinds[2]),
+                        pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
+                        *[pa.array([part.column(c).to_pylist()], pa.list_(pa.bool_())) for c in ("held", "train")],
                         pa.array([W.pack(sizes)], pa.binary()),
+                        pa.array([_steps(words)], pa.binary()),
                         pa.array([W.pack(stream.astype(np.uint32))], pa.binary()),
-                        *[pa.nulls(1, k) for k in more],
                     ],
-                    names=names,
-                )
-                ends = np.concatenate([[0], np.searchsorted(words, limits), [len(words)]])
-                at = np.searchsorted(owner, ends)
-                per = np.bincount(owner, minlength=len(words)).astype(np.uint16)
-                context, counts = context.astype(np.uint16), counts.astype(np.uint32)
-                cut = list(zip(ends, ends[1:], at, at[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * buckets), *[pa.nulls(buckets, k) for k in kinds[1:]]]
-                    + [pa.array(range(buckets), pa.int32())]
-                    + [pa.array([W.pack(words[a:b]) for a, b, _, _ in cut], pa.binary())]
-                    + [pa.array([W.pack(per[a:b]) for a, b, _, _ in cut], pa.binary())]
-                    + [pa.array([W.pack(context[a:b]) for _, _, a, b in cut], pa.binary())]
-                    + [pa.array([W.pack(counts[a:b]) for _, _, a, b in cut], pa.binary())],
-                    names=names,
+                    names=_columns(_BLOCK),
                 )
                 number += 1
 
@@ -142,38 +151,77 @@ def encoded(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
         F.coalesce(fold != OUT, F.lit(False)).alias("train"),
         F.coalesce(fold == OUT, F.lit(False)).alias("held"),
     )
-    return plain.mapInArrow(run, f"{_BLOCK}, {_MESSAGE}")
+    return plain.mapInArrow(run, _BLOCK)
+
+
+def messages(blocks: DataFrame, buckets: int) -> DataFrame:
+    """One row per block and bucket: its words, their contexts (places in ``names``) and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("block", "train", "sizes", "words", "stream")}
+                words, stream, sizes = _rising(row["words"]), W.unpack(row["stream"]), W.unpack(row["sizes"])
+                owner, context, pair = pairs_of(stream, sizes, len(words))
+                train = np.repeat(np.array(row["train"], bool), sizes)
+                counts = np.bincount(pair[train], minlength=len(owner)).astype(np.uint32)
+                per = np.bincount(owner, minlength=len(words)).astype(np.uint32)
+                hashes = np.append(words, START)
+                ends = _ends(words, buckets)
+                at = np.searchsorted(owner, ends)
+                used = [np.unique(context[a:b], return_inverse=True) for a, b in zip(at, at[1:])]
+                columns = [
+                    [_steps(words[a:b]) for a, b in zip(ends, ends[1:])],
+                    [W.pack(per[a:b]) for a, b in zip(ends, ends[1:])],
+                    [_steps(hashes[u]) for u, _ in used],
+                    [W.pack(place.astype(np.uint32)) for _, place in used],
+                    [W.pack(counts[a:b]) for a, b in zip(at, at[1:])],
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]] * buckets), pa.array(range(buckets), pa.int32())]
+                    + [pa.array(c, pa.binary()) for c in columns],
+                    names=_columns(_MESSAGE),
+                )
+
+    return blocks.select("block", "train", "sizes", "words", "stream").mapInArrow(run, _MESSAGE)
 
 
 # Restaurants -----------------------------------------------------------------------------------
 
 
-def merged(messages: DataFrame) -> DataFrame:
-    """Per bucket the trained words, and their contexts with counts, sorted."""
+def merged(sent: DataFrame) -> DataFrame:
+    """Per bucket its words and contexts, sorted, the pairs with counts, and for each block which
+    pairs and words it asks for."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [[W.unpack(x.as_py()) for x in table[c]] for c in ("words", "per", "contexts", "counts")]
-        counts = np.concatenate(got[3]).astype(np.int64)
-        word = np.concatenate([np.repeat(w, p) for w, p in zip(got[0], got[1])])[counts > 0]
-        context = np.concatenate(got[2])[counts > 0].astype(np.int64)
-        counts = counts[counts > 0]
-        words, word = np.unique(word, return_inverse=True)
-        pairs, pair = np.unique(word * (CONTEXTS + 1) + context, return_inverse=True)
-        counts = np.bincount(pair, counts, minlength=len(pairs)).astype(np.int64)
+        each = {c: [W.unpack(x.as_py()) for x in table[c]] for c in ("per", "contexts", "counts")}
+        each |= {c: [_rising(x.as_py()) for x in table[c]] for c in ("words", "names")}
+        words, word = np.unique(np.concatenate(each["words"]), return_inverse=True)
+        contexts, name = np.unique(np.concatenate(each["names"]), return_inverse=True)
+        cut = [np.cumsum([len(x) for x in each[c]])[:-1] for c in ("words", "names")]
+        asked_words, name = np.split(word, cut[0]), np.split(name, cut[1])
+        keys = [
+            np.repeat(w, per) * max(len(contexts), 1) + n[c]
+            for w, per, n, c in zip(asked_words, each["per"], name, each["contexts"])
+        ]
+        pairs, pair = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(pair, np.concatenate(each["counts"]), minlength=len(pairs)).astype(np.int64)
+        asked = np.split(pair, np.cumsum([len(k) for k in keys])[:-1])
         return pa.table(
             {
                 "bucket": table["bucket"].slice(0, 1),
-                "words": pa.array([W.pack(words)], pa.binary()),
-                "pairs": pa.array([W.pack(pairs)], pa.binary()),
+                "words": pa.array([_steps(words)], pa.binary()),
+                "contexts": pa.array([_steps(contexts)], pa.binary()),
+                "n_contexts": pa.array([len(contexts)], pa.int32()),
+                "pairs": pa.array([_steps(pairs)], pa.binary()),
                 "counts": pa.array([W.pack(counts)], pa.binary()),
+                "blocks": pa.array([table["block"].to_pylist()], pa.list_(pa.int64())),
+                "asked": pa.array([[_steps(a) for a in asked]], pa.list_(pa.binary())),
+                "asked_words": pa.array([[_steps(a) for a in asked_words]], pa.list_(pa.binary())),
             }
         )
 
-    columns = ["bucket", "words", "per", "contexts", "counts"]
-    return messages.select(*columns).groupBy("bucket").applyInArrow(run, _STATE)
-
-
-_STATE = "bucket int, words binary, pairs binary, counts binary"
+    return sent.groupBy("bucket").applyInArrow(run, _STATE)
 
 
 def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, rule: tuple[float, float],
@@ -201,12 +249,15 @@ def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, rule: tupl
 
 
 class Range:
-    """The restaurants' share of one hash range of words, replayed sweep by sweep."""
+    """The restaurants' share of one hash range of words.
+
+    ``pairs``: the number of the word times ``contexts``, plus the number of the context.
+    """
 
-    def __init__(self, bucket: int, words: bytes, pairs: bytes, counts: bytes):
+    def __init__(self, bucket: int, words: bytes, pairs: bytes, counts: bytes, contexts: int = CONTEXTS + 1):
         self.bucket = bucket
         self.words, self.pairs, self.counts = W.unpack(words), W.unpack(pairs), W.unpack(counts)
-        self.word, self.context = self.pairs // (CONTEXTS + 1), self.pairs % (CONTEXTS + 1)
+        self.word, self.context = self.pairs // contexts, self.pairs % contexts
         self.tables = np.minimum(self.counts, 1)  # one table per dish to begin with
         self._to_parent()
         self.parent_tables = np.minimum(self.customers, 1)
@@ -239,144 +290,210 @@ def unknown(totals: Totals, known: int) -> float:
     return (strength + discount * totals.parent_tables) / (strength + totals.customers) / (known + 1)
 
 
-#: Numbers that travel in one row.
-CHUNK = 512
+# Sums per context ------------------------------------------------------------------------------
 
-
-def _sums(state: DataFrame, history: list[Totals], known: int) -> np.ndarray:
-    """Sums over all ranges after ``len(history)`` sweeps: tables per context, customers per context,
-    then the parent's customers and tables, tokens and words. Vectors travel in chunks."""
-    shared = state.sparkSession.sparkContext.broadcast(history)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        past, width = shared.value, CONTEXTS + 1
-        for row in (r for b in batches for r in b.to_pylist()):
-            own = Range(**row)
-            for i, totals in enumerate(past):
-                own.sweep(i, totals, known)
-            found = np.concatenate([
-                np.bincount(own.context, own.tables, minlength=width),
-                np.bincount(own.context, own.counts, minlength=width),
-                [own.customers.sum(), own.parent_tables.sum(), own.counts.sum(), len(own.words)],
-            ]).astype(np.int64)
-            chunks = [found[i : i + CHUNK] for i in range(0, len(found), CHUNK)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(chunks)), pa.int32()), pa.array([W.pack(c) for c in chunks])],
-                names=["chunk", "numbers"],
-            )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(W.unpack(x.as_py()) for x in table["numbers"])
-        return pa.table({"chunk": table["chunk"].slice(0, 1), "numbers": pa.array([W.pack(total)])})
-
-    schema = "chunk int, numbers binary"
-    rows = state.mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect()
-    found = [W.unpack(bytes(r.numbers)) for r in sorted(rows, key=lambda r: r.chunk)]
-    return np.concatenate(found) if found else np.zeros(2 * (CONTEXTS + 1) + 4, np.int64)
-
-
-def _totals(found: np.ndarray) -> Totals:
-    return Totals(found[: CONTEXTS + 1], int(found[-4]), int(found[-3]))
+_SENT = (
+    "bucket int, span int, keys binary, tables binary, customers binary, parent_tables binary,"
+    " n_customers long, n_parent_tables long, n_train long, known long"
+)
+_SUMS = "bucket int, span int, keys binary, tables binary, customers binary"
 
 
 @dataclass
 class Learnt:
     n_train: int
     known: int
-    customers: np.ndarray  # per context
-    history: list[Totals]  # before each sweep, and after the last
+    totals: list[tuple[int, int]]  # customers and tables of the parent, per sweep
+
+
+def _range(state: dict) -> Range:
+    """The range as it begins."""
+    words, pairs = W.pack(_rising(state["words"])), W.pack(_rising(state["pairs"]).astype(np.int64))
+    return Range(state["bucket"], words, pairs, state["counts"], max(state["n_contexts"], 1))
+
+
+def _first(table: pa.Table) -> dict:
+    return {c: table[c][0].as_py() for c in table.column_names}
+
+
+def _sent(own: Range, keys: list[np.ndarray], last: bool) -> pa.Table:
+    """The state of a range after a sweep, and what each range of contexts is told of its tables."""
+    n = sum(map(len, keys))
+    tables = np.bincount(own.context, own.tables, minlength=n).astype(np.int64)
+    customers = np.bincount(own.context, own.counts, minlength=n).astype(np.int64) if last else None
+    ends = np.cumsum([0, *map(len, keys)])
+    told = [(i, a, b) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+    numbers = [int(x) for x in (
+        own.customers.sum(), own.parent_tables.sum(), own.counts.sum(), (own.customers > 0).sum()
+    )]
+    rows = [
+        dict(bucket=own.bucket, tables=W.pack(own.tables), parent_tables=W.pack(own.parent_tables))
+        | dict(zip(("n_customers", "n_parent_tables", "n_train", "known"), numbers))
+    ]
+    rows += [
+        dict(bucket=own.bucket, span=i, keys=_steps(keys[i]), tables=W.pack(tables[a:b]))
+        | (dict(customers=W.pack(customers[a:b])) if last else {})
+        for i, a, b in told
+    ]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _SENT.split(", ")])
+    return pa.Table.from_pylist(rows, schema)
+
+
+def summed_up(sent: DataFrame) -> DataFrame:
+    """Per range of words and of contexts the sums over all ranges of words, in the order asked.
+
+    Contexts go by their hash the first time, by their place in the range of contexts from then on.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [_rising(x.as_py()) for x in table["keys"]]
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
+        places = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+        def over(column: str) -> pa.Array:
+            if table[column][0].as_py() is None:
+                return pa.nulls(table.num_rows, pa.binary())
+            numbers = np.concatenate([W.unpack(x.as_py()) for x in table[column]])
+            total = np.bincount(place, numbers, minlength=len(found)).astype(np.int64)
+            return pa.array([W.pack(total[p]) for p in places], pa.binary())
+
+        return pa.table(
+            {
+                "bucket": table["bucket"],
+                "span": table["span"],
+                "keys": pa.array([_steps(p) for p in places], pa.binary()),
+                "tables": over("tables"),
+                "customers": over("customers"),
+            }
+        )
+
+    rows = sent.where("span IS NOT NULL").select(*_columns(_SUMS))
+    return rows.groupBy("span").applyInArrow(run, _SUMS)
+
+
+def _whole(rows: list[dict], column: str) -> np.ndarray:
+    parts = [W.unpack(r[column]) for r in rows]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def learn(state: DataFrame) -> Learnt:
-    found = _sums(state, [], 0)
-    n_train, known = int(found[-2]), int(found[-1])
-    customers = found[CONTEXTS + 1 : 2 * (CONTEXTS + 1)]
-    history = [_totals(found)]
-    for _ in range(SWEEPS):
-        history.append(_totals(_sums(state, history, known)))
-    return Learnt(n_train, known, customers, history)
+def _read(state: DataFrame, store: str, sweep: int) -> DataFrame:
+    """What ranges of words were after a sweep, and the sums they were told."""
+    spark = state.sparkSession
+    own = spark.read.schema(_SENT).parquet(f"{store}/sent-{sweep}").where("span IS NULL")
+    sums = spark.read.schema(_SUMS).parquet(f"{store}/sums-{sweep}")
+    return own.unionByName(sums, allowMissingColumns=True).withColumn("sweep", F.lit(sweep))
+
+
+def _restored(own: Range, rows: list[dict]) -> list[dict]:
+    """Sets a range to a sweep; returns the sums per context in the order of its contexts."""
+    (kept,) = (r for r in rows if r["span"] is None)
+    own.tables, own.parent_tables = W.unpack(kept["tables"]), W.unpack(kept["parent_tables"])
+    own._to_parent()
+    return sorted((r for r in rows if r["span"] is not None), key=lambda r: r["span"])
+
+
+def learn(state: DataFrame, store: str, buckets: int) -> Learnt:
+    """Sweeps over all ranges; each one's state and sums are stored."""
+    spark = state.sparkSession
+    # Hashes of contexts are told once; they do not travel with the sweeps.
+    plain = state.select("bucket", "words", "n_contexts", "pairs", "counts")
+    named = state.select(*plain.columns, "contexts")
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in ({c: b.column(c)[i].as_py() for c in b.schema.names} for b in batches for i in range(b.num_rows)):
+            own, contexts = _range(row), _rising(row["contexts"])
+            ends = _ends(contexts, buckets)
+            keys = [contexts[a:b] for a, b in zip(ends, ends[1:])]
+            yield from _sent(own, keys, SWEEPS == 0).to_batches()
+
+    def store_sums(sent: DataFrame, sweep: int) -> tuple:
+        sent.write.parquet(f"{store}/sent-{sweep}")
+        sent = spark.read.schema(_SENT).parquet(f"{store}/sent-{sweep}")
+        summed_up(sent).write.parquet(f"{store}/sums-{sweep}")
+        names = ("n_customers", "n_parent_tables", "n_train", "known")
+        return tuple(x or 0 for x in sent.agg(*[F.sum(c) for c in names]).first())
+
+    customers, tables, n_train, known = store_sums(named.mapInArrow(begin, _SENT), 0)
+    totals = [(customers, tables)]
+
+    def stepped(sweep: int, before: tuple[int, int]):
+        def step(left: pa.Table, right: pa.Table) -> pa.Table:
+            own = _range(_first(left))
+            sums = _restored(own, right.to_pylist())
+            own.sweep(sweep - 1, Totals(_whole(sums, "tables"), *before), known)
+            keys = {r["span"]: _rising(r["keys"]) for r in sums}
+            empty = np.zeros(0, np.uint64)
+            return _sent(own, [keys.get(i, empty) for i in range(buckets)], sweep == SWEEPS)
+
+        return step
+
+    for sweep in range(1, SWEEPS + 1):
+        right = _read(state, store, sweep - 1).groupBy("bucket")
+        both = plain.groupBy("bucket").cogroup(right)
+        totals.append(store_sums(both.applyInArrow(stepped(sweep, totals[-1]), _SENT), sweep)[:2])
+    return Learnt(n_train, known, totals)
 
 
 # Scores ----------------------------------------------------------------------------------------
 
 
-def answers(messages: DataFrame, state: DataFrame, learnt: Learnt) -> DataFrame:
-    """Per message the averaged log10 probability of each pair and the count of each word."""
-    shared = messages.sparkSession.sparkContext.broadcast(learnt)
+def answers(state: DataFrame, store: str, learnt: Learnt) -> DataFrame:
+    """Per block and bucket the averaged log10 probability of each pair and the count of each word."""
+    kept = range(BURN_IN + 1, SWEEPS + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model: Learnt = shared.value
-        own = Range(*[right[c][0].as_py() for c in ("bucket", "words", "pairs", "counts")])
+        first = _first(left)
+        own = _range(first)
         count = np.bincount(own.word, own.counts, minlength=len(own.words)).astype(np.int64)
-        asked = []
-        for words, per, contexts in zip(left["words"], left["per"], left["contexts"]):
-            words, per = W.unpack(words.as_py()), W.unpack(per.as_py())
-            context = W.unpack(contexts.as_py()).astype(np.int64)
-            at, here = _find(own.words, words)
-            pair_word, pair_here = np.repeat(at, per), np.repeat(here, per)
-            pair, pair_found = _find(own.pairs, pair_word * (CONTEXTS + 1) + context)
-            asked.append((at, here, context, pair_word, pair_here, pair, pair_found & pair_here, per))
-        sums = [np.zeros(len(a[2])) for a in asked]
+        rows = right.to_pylist()
+        last = [r for r in rows if r["sweep"] == SWEEPS and r["span"] is not None]
         discount, strength = CONTEXT_RULE
-        for i, before in enumerate(model.history[:-1]):
-            own.sweep(i, before, model.known)
-            if i < BURN_IN:
-                continue
-            now = model.history[i + 1]
-            parent, rest = own.parent(now, model.known), unknown(now, model.known)
-            whole = strength + model.customers
+        whole = strength + _whole(sorted(last, key=lambda r: r["span"]), "customers")
+        chance = np.zeros(len(own.pairs))
+        for sweep in kept:
+            sums = _restored(own, [r for r in rows if r["sweep"] == sweep])
+            now = Totals(_whole(sums, "tables"), *learnt.totals[sweep])
             onward = (strength + discount * now.tables) / whole
-            for total, (_, _, context, word, known, pair, found, _) in zip(sums, asked):
-                base = np.where(known, parent[word] if len(parent) else 0.0, rest)
-                seats = own.counts - discount * own.tables
-                mine = np.where(found, seats[pair] if len(seats) else 0.0, 0.0)
-                total += mine / whole[context] + onward[context] * base
-        kept = len(model.history) - 1 - BURN_IN
+            mine = (own.counts - discount * own.tables) / whole[own.context]
+            chance += mine + onward[own.context] * own.parent(now, learnt.known)[own.word]
+        chance = np.log10(chance / len(kept)).astype(np.float32)
+        asked = [(_rising(a).astype(np.int64), _rising(w).astype(np.int64))
+                 for a, w in zip(first["asked"], first["asked_words"])]
         return pa.table(
             {
-                "block": left["block"],
-                "bucket": left["bucket"],
-                "chance": pa.array([W.pack(np.log10(s / kept).astype(np.float32)) for s in sums], pa.binary()),
-                "known": pa.array(
-                    [W.pack(np.where(a[1], count[a[0]] if len(count) else 0, 0)) for a in asked], pa.binary()
-                ),
-                "per": left["per"],
+                "block": pa.array(first["blocks"], pa.int64()),
+                "bucket": pa.array([own.bucket] * len(asked), pa.int32()),
+                "chance": pa.array([W.pack(chance[a]) for a, _ in asked], pa.binary()),
+                "known": pa.array([W.pack(count[w]) for _, w in asked], pa.binary()),
             }
         )
 
-    columns = ["block", "bucket", "words", "per", "contexts"]
+    told = _read(state, store, kept[0])
+    for sweep in kept[1:]:
+        told = told.unionByName(_read(state, store, sweep))
     return (
-        messages.select(*columns)
+        state.drop("contexts")
         .groupBy("bucket")
-        .cogroup(state.groupBy("bucket"))
-        .applyInArrow(run, "block long, bucket int, chance binary, known binary, per binary")
+        .cogroup(told.groupBy("bucket"))
+        .applyInArrow(run, "block long, bucket int, chance binary, known binary")
     )
 
 
-def _find(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(have):
-        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
-    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-    return at, have[at] == want
-
-
 def summed(blocks: DataFrame, replies: DataFrame, learnt: Learnt, key: str) -> DataFrame:
-    shared = blocks.sparkSession.sparkContext.broadcast((learnt.n_train, learnt.known))
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        n_train, known = shared.value
+        n_train, known = learnt.n_train, learnt.known
         order = np.argsort(right["bucket"].to_numpy())
-        chance, counts, per = (
-            np.concatenate([W.unpack(right[c][int(i)].as_py()) for i in order])
-            for c in ("chance", "known", "per")
+        chance, counts = (
+            np.concatenate([W.unpack(right[c][int(i)].as_py()) for i in order]) for c in ("chance", "known")
         )
-        counts = np.repeat(counts, per)
-        plain = np.log10((counts + 1) / (n_train + known + 1))
         sizes, stream = W.unpack(left["sizes"][0].as_py()), W.unpack(left["stream"][0].as_py())
+        _, _, pair = pairs_of(stream, sizes, len(counts))
+        plain = np.log10((counts + 1) / (n_train + known + 1))
         first = np.cumsum(sizes) - sizes
 
         def add(values: np.ndarray) -> np.ndarray:
-            return np.add.reduceat(values[stream], first) if len(sizes) else values[:0]
+            return np.add.reduceat(values, first) if len(sizes) else values[:0]
 
         n = len(sizes)
         return pa.table(
@@ -384,15 +501,16 @@ def summed(blocks: DataFrame, replies: DataFrame, learnt: Learnt, key: str) -> D
                 "id": left["ids"].combine_chunks().flatten(),
                 "held_out": left["held"].combine_chunks().flatten(),
                 "n_tokens": pa.array(sizes.astype(np.int64)),
-                "n_known": pa.array(add((counts > 0).astype(np.int64)).astype(np.int64)),
+                "n_known": pa.array(add((counts > 0).astype(np.int64)[stream]).astype(np.int64)),
                 "train_tokens": pa.array([n_train] * n, pa.int64()),
-                "base_score": pa.array(add(plain)),
-                "score": pa.array(add(chance.astype(np.float64))),
+                "base_score": pa.array(add(plain[stream])),
+                "score": pa.array(add(chance[pair].astype(np.float64))),
             }
         )
 
     return (
-        blocks.groupBy("block")
+        blocks.select("block", "ids", "held", "sizes", "stream")
+        .groupBy("block")
         .cogroup(replies.groupBy("block"))
         .applyInArrow(
             run,
@@ -408,14 +526,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     store = scratch_path(spark, "pitman-yor")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded(docs, key, text, buckets).write.parquet(f"{store}/encoded")
-    rows = spark.read.schema(f"{_BLOCK}, {_MESSAGE}").parquet(f"{store}/encoded")
-    messages = rows.where("bucket IS NOT NULL").select("block", *[c.split()[0] for c in _MESSAGE.split(", ")])
-    blocks = rows.where("bucket IS NULL").select(*[c.split()[0] for c in _BLOCK.split(", ")])
-    merged(messages).write.parquet(f"{store}/state")
+    encoded(docs, key, text).write.parquet(f"{store}/blocks")
+    blocks = spark.read.schema(_BLOCK).parquet(f"{store}/blocks")
+    merged(messages(blocks, buckets)).write.parquet(f"{store}/state")
     state = spark.read.schema(_STATE).parquet(f"{store}/state")
-    learnt = learn(state)
-    return summed(blocks, answers(messages, state, learnt), learnt, key)
+    learnt = learn(state, store, buckets)
+    return summed(blocks, answers(state, store, learnt), learnt, key)
 
 
 def perplexity(scores: DataFrame, *by: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from paragauge.llm import pitman_yor as P
 from paragauge.llm import words as W
+from paragauge.session import scratch_path
 
 
 def held(i):
@@ -120,3 +121,48 @@ def test_nothing_to_learn(spark):
     (row,) = P.score(spark.createDataFrame([(out, "a b")], "doc_id long, text string")).collect()
     assert (row.train_tokens, row.n_known, row.n_tokens, row.base_score) == (0, 0, 3, 0.0)
     assert math.isclose(row.score, 0, abs_tol=1e-6)
+
+
+def test_contexts_are_words_not_their_shapes(spark):
+    """Words of one first byte, ending and length class before different words."""
+    follow = {"heating": "oil", "hunting": "deer", "housing": "rent", "жара": "юг", "жгра": "лёд"}
+    some = random.Random(5)
+    texts = [" ".join(f"{w} {follow[w]}" for w in some.choices(list(follow), k=40)) for _ in range(200)]
+    mixed = [i for i in range(1000, 1100) if held(i)][:2]
+    probe = [(mixed[0], " ".join(f"{w} {f}" for w, f in follow.items())),
+             (mixed[1], " ".join(f"{w} {f}" for w, f in zip(follow, [*follow.values()][1:] + ["oil"])))]
+    docs = spark.createDataFrame([*enumerate(texts), *probe], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in P.score(docs).where("doc_id >= 1000").collect()}
+    assert got[mixed[0]] - got[mixed[1]] > 5 * 1.5
+
+
+def test_contexts_have_no_bound_and_are_counted_over_all_ranges(spark):
+    """More contexts than one fixed table holds, spread over all ranges of words."""
+    data = [(i, f"c{i % 5000} w{i % 50} c{i % 5000} w{i % 49}") for i in range(6000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    store = scratch_path(spark, "test")
+    P.encoded(docs, "doc_id", "text").write.parquet(f"{store}/blocks")
+    blocks = spark.read.parquet(f"{store}/blocks")
+    P.merged(P.messages(blocks, 4)).write.parquet(f"{store}/state")
+    state = spark.read.schema(P._STATE).parquet(f"{store}/state")
+    learnt = P.learn(state, store, 4)
+    want = Counter()
+    for i, text in data:
+        if not held(i):
+            want.update([P.START, *text.split()])
+    hashes = {s.bucket: P._rising(s.contexts) for s in state.collect()}
+    tables, customers = Counter(), {}
+    own = spark.read.parquet(f"{store}/sent-{P.SWEEPS}").where("span IS NULL").collect()
+    told = spark.read.parquet(f"{store}/sums-{P.SWEEPS}").orderBy("bucket", "span").collect()
+    pairs = {s.bucket: P._rising(s.pairs).astype(np.int64) for s in state.collect()}
+    for r in own:
+        for c, t in zip(hashes[r.bucket][pairs[r.bucket] % len(hashes[r.bucket])], W.unpack(r.tables)):
+            tables[c] += t
+    for b, names in hashes.items():
+        mine = [r for r in told if r.bucket == b]
+        sums = np.concatenate([W.unpack(r.tables) for r in mine])
+        assert [tables[c] for c in names] == sums.tolist()
+        customers |= dict(zip(names.tolist(), np.concatenate([W.unpack(r.customers) for r in mine]).tolist()))
+    assert sum(n > 0 for n in customers.values()) == len(want) > P.CONTEXTS
+    assert sorted(n for n in customers.values() if n) == sorted(want.values())
+    assert learnt.n_train == sum(want.values())
