@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|button"
+#: Elements whose content is not markup and never text of the page; without an end they go on to the
+#: end of the page.
+RAW = "script|style|textarea|title"
+#: Elements whose content is never text of the page, where they have an end.
+DROPPED = set("noscript template svg iframe object select button".split())
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    rf"|<({RAW})\b[^>]*>(?:.*?</\1\s*>|.*\Z)"
+    rf"|<({RAW})(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
@@ -42,7 +45,10 @@ WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt"
-    " rp s samp small span strike strong sub sup time tt u var wbr picture source input".split()
+    " rp s samp small span strike strong sub sup time tt u var wbr picture source input"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover"
+    " mmultiscripts mprescripts mtable mtr mtd mlabeledtr mstyle mpadded mphantom menclose mfenced"
+    " merror maction semantics annotation annotation-xml".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open one of the same kind.
@@ -69,6 +75,22 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _dropped(tokens: list[re.Match]) -> dict[int, int]:
+    """Where dropped elements begin, and where the end tag of each ends; a self-closed svg is empty."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for token in tokens:
+        tag = (token[3] or token[6] or "").lower()
+        if tag not in DROPPED:
+            continue
+        if not (token[2] or token[5]):
+            if tag != "svg" or not token[0].endswith("/>"):
+                begun.setdefault(tag, []).append(token.start())
+        elif begun.get(tag):
+            out[begun[tag].pop()] = token.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, without empty ones."""
     out: list[Block] = []
@@ -86,15 +108,19 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     at = 0
-    for token in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    dropped = _dropped(tokens)
+    for token in tokens:
+        if token.start() < at:  # inside a dropped element
+            continue
         if token.start() > at:
             piece = page[at : token.start()]
             text.append(piece)
             if links:
                 linked += len(piece)
-        at = token.end()
+        at = dropped.get(token.start(), token.end())
         tag = token[3] or token[6]
-        if not tag:
+        if not tag or at > token.end() or tag.lower() in DROPPED:
             continue
         tag, closing = tag.lower(), bool(token[2] or token[5])
         if tag in INLINE:

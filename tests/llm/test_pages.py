@@ -134,3 +134,23 @@ def test_beyond_the_size_bound_and_empty(spark, monkeypatch):
     assert {r.verdict for r in want} == {"allow", "block"}
     assert U.judge(pages.where("false"), RULES, ["evil"], ["page_id"]).collect() == []
     assert {r.verdict for r in U.judge(pages, [], [], ["page_id"]).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>a</p><svg-icon name=x></svg-icon><p>b</p><p>c</p>", "a b c"),
+        ("<p>a</p><title-bar></title-bar><button-group></button-group><object-view></object-view><p>b</p>", "a b"),
+        ("<p>a</p><svg width=1 /><p>b</p><svg><text>no</text></svg><p>c</p>", "a b c"),
+        ("<p>a</p><svg><svg><text>no</text></svg><text>no</text></svg><p>b</p>", "a b"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", "a x=2 b"),
+        ("<p>a</p><math/><p>b</p>", "a b"),
+        ("<p>a</p><button>b<p>c</p><button>no</button><p>d</p>", "a b c d"),
+        ("<p>a</p><SELECT><option>no</SELECT ><p>b</p><template/><p>c</p>", "a b c"),
+        ("<p>a</p><object>no<script>'</object>'</script>no</object><p>b</p>", "a b"),
+        ("<p>a</p><script>var no = '<p>no</p>'", "a"),
+        ("<title>no</title><p>a</p><textarea><p>no</p>", "a"),
+    ],
+)
+def test_only_raw_elements_are_dropped(page, want):
+    assert " ".join(b.text for b in H.blocks(page)) == want
