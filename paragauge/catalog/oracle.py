@@ -366,6 +366,8 @@ ORACLE: dict[str, str] = {
       FROM preds JOIN pairs USING (row_id)"""),
     "row_numbers": sql([PAIRS], 'SELECT count(*) AS n, 0::BIGINT AS "first", count(*) - 1 AS "last", '
                        "count(*) AS ids FROM pairs"),
+    "numbered_rows": sql([PAIRS], """SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, source, target
+      FROM pairs"""),
     "head_rows": sql([PAIRS], "SELECT * FROM pairs ORDER BY row_id LIMIT 10"),
     "nonempty_pairs": sql([PAIRS, DIRTY], "SELECT * FROM dirty WHERE source <> '' AND target <> ''"),
     "na_normalize": sql([PAIRS, DIRTY], f"""SELECT row_id,

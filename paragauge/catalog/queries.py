@@ -134,6 +134,15 @@ def row_numbers(spark, sf_dir):
     )
 
 
+@query
+def numbered_rows(spark, sf_dir):
+    """The numbered rows themselves; the files hold the pairs by id, so numbers follow the ids."""
+    path = scratch_path(spark, "ordered-tsv")
+    ordered = fx.pairs(spark, sf_dir).orderBy("row_id").select("source", "target")
+    delimited.write_delimited(ordered, path)
+    return delimited.with_row_id(delimited.read_delimited(spark, path, schemas.CORPUS))
+
+
 @query
 def head_rows(spark, sf_dir):
     return results.head(fx.pairs(spark, sf_dir), 10)
