@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paragauge.llm import (
-    bpe_replay, decision_list, html_crf, jaccard_join, mixing, pitman_yor, rule_ensemble, shard_table,
-    trie_dedup, url_cascade,
+    bpe_replay, decision_list, html_crf, jaccard_join, mixing, pitman_yor, prefix_doubling,
+    rule_ensemble, shard_table, trie_dedup, url_cascade,
 )
 
 #: DuckDB: ASCII lower case, and words.
@@ -90,6 +90,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encode(read(spark, sf_dir, "documents"), ids=False)
 
 
+def op13_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_doubling.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_crf": op1_html_crf,
     "op2_url_cascade": op2_url_cascade,
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
+    "op13_prefix_doubling": op13_prefix_doubling,
 }
 
 
