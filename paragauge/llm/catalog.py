@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paragauge.llm import (
-    bpe_replay, decision_list, html_crf, jaccard_join, mixing, pitman_yor, prefix_doubling,
-    rule_ensemble, shard_table, trie_dedup, url_cascade,
+    bpe_replay, decision_list, hat_trie, html_crf, jaccard_join, mixing, pitman_yor,
+    prefix_doubling, rule_ensemble, shard_table, trie_dedup, url_cascade, whitening,
 )
 
 #: DuckDB: ASCII lower case, and words.
@@ -90,6 +90,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encode(read(spark, sf_dir, "documents"), ids=False)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hat_trie.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_doubling.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -105,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
     "op13_prefix_doubling": op13_prefix_doubling,
 }
 
@@ -138,6 +148,10 @@ def _slots() -> str:
     return ", ".join(f"({s}, '{n}')" for s, n in sorted(owner.items()))
 
 
+def _score(a: str, left: str, right: str) -> str:
+    return f"((1000000::HUGEINT * {a} * {a}) // ({left}::HUGEINT * {right}))::BIGINT"
+
+
 ORACLE: dict[str, str] = {
     "op2_url_cascade": f"""
         WITH u AS (SELECT page_id,
@@ -190,4 +204,45 @@ ORACLE: dict[str, str] = {
               (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT % 4099)::INT AS slot
               FROM documents)
         SELECT doc_id, slot, shard, n_bytes FROM d JOIN t USING (slot)""",
+    "op12_collocations": f"""
+        WITH w AS MATERIALIZED (
+            SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+            FROM (SELECT coalesce(lang, 'und') AS lang,
+                unnest(string_split_regex({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+        one AS MATERIALIZED (
+            SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY ALL),
+        two AS MATERIALIZED (
+            SELECT lang, ws[i] AS x, ws[i + 1] AS y, count(*) AS c
+            FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM w) GROUP BY ALL HAVING count(*) >= 10),
+        three AS MATERIALIZED (
+            SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z, count(*) AS c
+            FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM w) GROUP BY ALL HAVING count(*) >= 10),
+        longer AS (
+            SELECT lang, x, y, max(c) AS c
+            FROM (SELECT lang, x, y, c FROM three UNION ALL SELECT lang, y, z, c FROM three) GROUP BY ALL),
+        pairs AS (
+            SELECT t.lang, t.x || ' ' || t.y AS phrase, t.c AS a, f.c AS l, s.c AS r,
+                {_score("t.c", "f.c", "s.c")} AS score
+            FROM two t JOIN one f ON t.lang = f.lang AND t.x = f.x JOIN one s ON t.lang = s.lang AND t.y = s.x
+            LEFT JOIN longer o ON t.lang = o.lang AND t.x = o.x AND t.y = o.y
+            WHERE o.c IS NULL OR 100 * o.c < 50 * t.c),
+        cuts AS (
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.c AS a, 1 AS k, f.c AS l, s.c AS r,
+                {_score("t.c", "f.c", "s.c")} AS score
+            FROM three t JOIN one f ON t.lang = f.lang AND t.x = f.x
+            JOIN two s ON t.lang = s.lang AND t.y = s.x AND t.z = s.y
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.c, 2, f.c, s.c, {_score("t.c", "f.c", "s.c")}
+            FROM three t JOIN two f ON t.lang = f.lang AND t.x = f.x AND t.y = f.y
+            JOIN one s ON t.lang = s.lang AND t.z = s.x),
+        best AS (
+            SELECT * FROM pairs UNION ALL
+            SELECT lang, phrase, a, l, r, score FROM (
+                SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts)
+            WHERE place = 1),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM ranked JOIN (SELECT lang, sum(c)::BIGINT AS n FROM one GROUP BY lang) USING (lang)
+        WHERE rank <= 2000""",
 }

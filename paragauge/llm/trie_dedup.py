@@ -30,6 +30,8 @@ from paragauge.session import scratch_path
 
 TRIE_BYTES = 64 << 20
 BUFFER_BYTES = 32 << 20
+#: The same where whole rows are held, with what an entry takes beside its row; and rows sent at once.
+ROW_BUFFER_BYTES, ENTRY_BYTES, OUTPUT_BYTES = 8 << 20, 400, 2 << 20
 BUCKETS = 1 << 16
 LOWER = bytes(W.LOWER.tolist())
 
@@ -122,17 +124,13 @@ class Trie:
                 self.bytes -= len(node.edge) + 200
 
 
-def merged(docs: DataFrame, key: str, text: str, payload: bool) -> DataFrame:
+def merged(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Copies merged inside each task, within a buffer of BUFFER_BYTES of different texts.
 
     Two kinds of rows: one per input row with its hash and stand-in (``task``, ``rep``), and one per
-    stand-in with the text, its largest id and number of rows. With ``payload`` only the latter, and
-    ``row`` holds the input row of the largest id.
+    stand-in with the text, its largest id and number of rows.
     """
-    columns = [F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")]
-    if payload:
-        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    plain = docs.select(*columns)
+    plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType(
         [
             T.StructField("member", T.BooleanType()),
@@ -144,17 +142,14 @@ def merged(docs: DataFrame, key: str, text: str, payload: bool) -> DataFrame:
             T.StructField("n_bytes", T.LongType()),
             T.StructField("bucket", T.IntegerType()),
             T.StructField("text", T.BinaryType()),
-            *([plain.schema["row"]] if payload else []),
         ]
     )
     names = schema.names
 
     def rows(n: int, **have) -> pa.RecordBatch:
         kinds = dict(zip(names, _KINDS))
-        made = [
-            have[c] if c in have else pa.nulls(n, kinds[c]) for c in names if c != "row"
-        ]
-        return pa.RecordBatch.from_arrays(made + ([have["row"]] if payload else []), names=names)
+        made = [have[c] if c in have else pa.nulls(n, kinds[c]) for c in names]
+        return pa.RecordBatch.from_arrays(made, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -175,8 +170,6 @@ def merged(docs: DataFrame, key: str, text: str, payload: bool) -> DataFrame:
                 "bucket": pa.array([int.from_bytes(k[:2], "big") for k in seen], pa.int32()),
                 "text": pa.array([e[2] for e in entries], pa.binary()),
             }
-            if payload:
-                have["row"] = pa.concat_arrays([e[3] for e in entries])
             return rows(n, **have)
 
         for batch in batches:
@@ -189,26 +182,22 @@ def merged(docs: DataFrame, key: str, text: str, payload: bool) -> DataFrame:
                     sha = hashlib.sha256(norm).digest()
                     entry = seen.get(sha)
                     if entry is None:
-                        row = part.column("row").slice(i, 1) if payload else None
-                        seen[sha] = entry = [one, 0, norm, row, first + len(seen)]
+                        seen[sha] = entry = [one, 0, norm, first + len(seen)]
                         held += len(norm)
                     elif rank(one) > rank(entry[0]):
                         entry[0] = one
-                        if payload:
-                            entry[3] = part.column("row").slice(i, 1)
                     entry[1] += 1
                     shas.append(sha)
-                    reps.append(entry[4])
-                if not payload:
-                    n = len(ids)
-                    yield rows(
-                        n,
-                        member=pa.array([True] * n),
-                        id=pa.array(ids, pa.int64()),
-                        sha=pa.array(shas, pa.binary()),
-                        task=pa.array([task] * n, pa.int64()),
-                        rep=pa.array(reps, pa.int64()),
-                    )
+                    reps.append(entry[3])
+                n = len(ids)
+                yield rows(
+                    n,
+                    member=pa.array([True] * n),
+                    id=pa.array(ids, pa.int64()),
+                    sha=pa.array(shas, pa.binary()),
+                    task=pa.array([task] * n, pa.int64()),
+                    rep=pa.array(reps, pa.int64()),
+                )
                 if held > BUFFER_BYTES:
                     yield flush()
                     first, held = first + len(seen), 0
@@ -225,22 +214,34 @@ _KINDS = [
 ]
 
 
-def terminals(batches: Iterator[pa.RecordBatch], carry: bool) -> Iterator[Terminal]:
-    """Stand-ins in the order (n_bytes, bucket, sha) through their tries."""
+def terminals(batches: Iterator[pa.RecordBatch], carried: int | None = None) -> Iterator[Terminal]:
+    """Stand-ins in the order (n_bytes, bucket, sha) or (bucket, n_bytes, sha) through their tries.
+
+    ``carried`` is the place of the text in ``row``, if the stand-ins carry their input rows; a row that
+    is kept is copied, as a slice would keep its whole batch.
+    """
     trie, at = Trie(), None
     for batch in batches:
         lengths, buckets = batch.column("n_bytes").to_pylist(), batch.column("bucket").to_pylist()
-        shas, texts = batch.column("sha").to_pylist(), batch.column("text")
-        ids, sizes = batch.column("id").to_pylist(), batch.column("size").to_pylist()
-        tasks, reps = batch.column("task").to_pylist(), batch.column("rep").to_pylist()
+        shas, ids, sizes = (batch.column(c).to_pylist() for c in ("sha", "id", "size"))
+        if carried is None:
+            texts, rows = batch.column("text"), None
+            places = list(zip(batch.column("task").to_pylist(), batch.column("rep").to_pylist()))
+        else:
+            rows, places = batch.column("row"), [None] * len(shas)
+            texts = rows.field(carried)
         for i, sha in enumerate(shas):
             if at != (lengths[i], buckets[i]):
                 yield from trie.spill(None)
                 trie, at = Trie(), (lengths[i], buckets[i])
             elif trie.bytes > TRIE_BYTES:
                 yield from trie.spill(sha)
-            row = batch.column("row").slice(i, 1) if carry else None
-            trie.insert(texts[i].as_py(), sha).add((tasks[i], reps[i]), ids[i], sizes[i], row)
+            if rows is None:
+                trie.insert(texts[i].as_py(), sha).add(places[i], ids[i], sizes[i], None)
+                continue
+            found = trie.insert((texts[i].as_py() or "").encode().translate(LOWER), sha)
+            better = not found.reps or rank(ids[i]) > rank(found.owner)
+            found.add(None, ids[i], sizes[i], rows.take(pa.array([i])) if better else None)
     yield from trie.spill(None)
 
 
@@ -253,14 +254,14 @@ def _dealt(stand_ins: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, keep_id, group_size, kept, text_sha256."""
     store = scratch_path(docs.sparkSession, "trie-rows")
-    merged(docs, key, text, payload=False).write.partitionBy("member").parquet(store)
+    merged(docs, key, text).write.partitionBy("member").parquet(store)
     stored = docs.sparkSession.read.schema(
         "id long, sha binary, task long, rep long, size long, n_bytes long, bucket int,"
         " text binary, member boolean"
     ).parquet(store)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in chunks(terminals(batches, carry=False), 4096):
+        for found in chunks(terminals(batches), 4096):
             flat = [(*rep, t.owner, t.size) for t in found for rep in t.reps]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in zip(*flat)],
@@ -280,18 +281,103 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
+def carried(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Stand-ins that carry the input row of their largest id: copies merged inside each task.
+
+    The text travels in the row only. Rows that are kept are copied out of their batch, and the buffer
+    counts what the copies and their entries really take.
+    """
+    plain = docs.select(
+        F.col(f"`{key}`").cast("long").alias("id"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    schema = T.StructType(
+        [
+            T.StructField("id", T.LongType()),
+            T.StructField("sha", T.BinaryType()),
+            T.StructField("size", T.LongType()),
+            T.StructField("n_bytes", T.LongType()),
+            T.StructField("bucket", T.IntegerType()),
+            plain.schema["row"],
+        ]
+    )
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By digest: largest id, number of rows, bytes, and where the row is: copied part and place.
+        seen: dict[bytes, list] = {}
+        parts: list[pa.Array] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            entries, first = list(seen.values()), [0]
+            for part in parts:
+                first.append(first[-1] + len(part))
+            kept = pa.concat_arrays(parts).take(pa.array([first[e[3]] + e[4] for e in entries]))
+            columns = [
+                pa.array([e[0] for e in entries], pa.int64()),
+                pa.array(list(seen), pa.binary()),
+                pa.array([e[1] for e in entries], pa.int64()),
+                pa.array([e[2] for e in entries], pa.int64()),
+                pa.array([int.from_bytes(k[:2], "big") for k in seen], pa.int32()),
+                kept,
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches:
+            rows = batch.column("row")
+            view = pa.RecordBatch.from_arrays([batch.column("id"), rows, rows.field(place)], names=["id", "row", "text"])
+            for part in W.slices(view):
+                data, off = W.raw(part.column("text"))
+                lowered, off = data.tobytes().translate(LOWER), off.tolist()
+                chosen: dict[int, list] = {}
+                for i, one in enumerate(part.column("id").to_pylist()):
+                    sha = hashlib.sha256(lowered[off[i] : off[i + 1]]).digest()
+                    entry = seen.get(sha)
+                    if entry is None:
+                        seen[sha] = entry = [one, 0, off[i + 1] - off[i], len(parts), i]
+                        held += ENTRY_BYTES
+                        chosen[id(entry)] = entry
+                    elif rank(one) > rank(entry[0]):
+                        entry[0], entry[3], entry[4] = one, len(parts), i
+                        chosen[id(entry)] = entry
+                    entry[1] += 1
+                if chosen:
+                    parts.append(part.column("row").take(pa.array([e[4] for e in chosen.values()])))
+                    held += parts[-1].nbytes
+                    for k, entry in enumerate(chosen.values()):
+                        entry[4] = k
+                if held > ROW_BUFFER_BYTES:
+                    yield flush()
+                    seen.clear()
+                    parts.clear()
+                    held = 0
+        if seen:
+            yield flush()
+
+    return plain.mapInArrow(run, schema)
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows that own their text, with all input columns; one exchange, no join."""
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in chunks(terminals(batches, carry=True), 1024):
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([t.row for t in found])], names=["row"]
-            )
-
-    stand_ins = merged(docs, key, text, payload=True)
+        rows, held = [], 0
+        for found in terminals(batches, place):
+            rows.append(found.row)
+            held += found.row.nbytes
+            if held > OUTPUT_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(rows)], names=["row"])
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(rows)], names=["row"])
+
+    stand_ins = carried(docs, key, text)
     schema = T.StructType([stand_ins.schema["row"]])
-    return _dealt(stand_ins).mapInArrow(run, schema).select("row.*")
+    # Sorted by the hash first, so that a batch holds texts of all lengths.
+    dealt = stand_ins.repartition("n_bytes", "bucket").sortWithinPartitions("bucket", "n_bytes", "sha")
+    return dealt.mapInArrow(run, schema).select("row.*")
 
 
 def chunks(items: Iterator, size: int) -> Iterator[list]:

@@ -38,7 +38,7 @@ def docs(spark):
 
 def test_budgets_are_met_in_blocks(spark):
     frame = docs(spark)
-    tokens = mixing.source_tokens(mixing.blocks(frame, "doc_id", "source", "text"))
+    tokens = dict(map(tuple, mixing.source_tokens(mixing.blocks(frame, "doc_id", "source", "text")).collect()))
     plan = mixing.plan(tokens, entropy_share=0.97, budget=12_000)
     rows = mixing.counted(frame, entropy_share=0.97, budget=12_000).collect()
     assert len(rows) == 4202
@@ -67,5 +67,32 @@ def test_empty_table(spark):
     none = docs(spark).where("false")
     assert mixing.mix(none, repetitions=2.0).collect() == []
     assert mixing.counted(none, entropy_share=0.9).collect() == []
-    with pytest.raises(ValueError):
-        mixing.counted(none.selectExpr("*", "1 AS copies"), entropy_share=0.9)
+
+
+def test_columns_named_like_the_result(spark):
+    frame = docs(spark).selectExpr("*", "'mine' AS block", "7 AS copies", "1 AS source_")
+    mixed = mixing.mix(frame, repetitions=1.5)
+    assert mixed.columns == frame.columns
+    assert {(r.block, r.copies) for r in mixed.select("block", "copies").distinct().collect()} == {("mine", 7)}
+    rows = mixing.counted(frame, repetitions=1.5)
+    assert rows.columns.count("block") == 1 and rows.agg({"copies": "max"}).first()[0] == 2
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    """30,000 sources, also by a join instead of a broadcast, against the plan by name."""
+    rows = [(i, "w " * (i % 13 if i < 30_000 else 400), f"host-{i % 30_000}") for i in range(31_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokens = {}
+    for _, text, source in rows:
+        tokens[source] = tokens.get(source, 0) + len(text.split())
+    want = mixing.plan(tokens, entropy_share=0.99, budget=300_000)
+    got = []
+    for told in (1 << 30, 1):
+        monkeypatch.setattr(mixing, "TOLD_BLOCKS", told)
+        counted = mixing.counted(frame, entropy_share=0.99, budget=300_000)
+        got.append(sorted(map(tuple, counted.select("doc_id", "copies").collect())))
+    assert got[0] == got[1] and len(got[0]) == 31_000
+    copies, large = dict(got[0]), [s for s, t in tokens.items() if t >= 400]
+    read = sum(len(text.split()) * copies[i] for i, text, source in rows if source in set(large))
+    assert abs(read - sum(want.budgets[s] for s in large)) <= 400 * len(large)
+    assert all(copies[i] == 1 for i, text, s in rows if tokens[s] == 0)
