@@ -4,11 +4,13 @@ A page is cut into blocks of text at block-level tags. Each block has features f
 (tags, and the words of their class, id and role) and from its text. A chain model gives every block
 the label main or not; the best labelling of a page is found by Viterbi, and the main blocks are
 joined by line feeds. The model is trained on labelled pages; ``labelled_pages`` makes them by rule
-from many layouts, with invented words.
+from many layouts, bare pages and plain texts among them, with invented words. The weights of
+ancestors are summed along the open elements, so deep nesting costs no more than its tags.
 
 Defined cases: a null or empty page, and one without main blocks, gives the empty text; pages cut
-off inside a tag or comment end there; blocks are taken whole, whatever their length; repeated rows
-give the same text; an empty table gives an empty result; other columns are not touched.
+off inside a tag or comment end there; blocks are taken whole, whatever their length; of labellings
+that score the same the one that leaves a block out is taken at the end of a page; repeated rows give
+the same text; an empty table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -65,7 +67,57 @@ STRUCTURE = set(
 class Block:
     text: str
     linked: int  # characters inside links
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # ancestors: tag, words of their names
+    leaf: str  # tag of the innermost element
+    path: frozenset[str] | float  # features from the ancestors, or the sum of their weights
+
+
+class Path:
+    """Open elements, with the features they give to the blocks inside them.
+
+    Each element adds its features once, when it opens, and takes them back when it ends, so a page
+    costs the same however deep its elements are nested. With ``weight`` only the sum of the weights is
+    kept, without it the features themselves.
+    """
+
+    def __init__(self, weight=None):
+        self.stack: list[tuple[str, list[str]]] = []
+        self.open: dict[str, list[int]] = {}  # per tag its places in the stack
+        self.counts: dict[str, int] = {}
+        self.weight, self.sum = weight, 0.0
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a kind, -1 if there is none."""
+        places = self.open.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        own = ["name:" + w for w in names]
+        if tag in STRUCTURE:
+            own.append("in:" + tag)
+        for f in own:
+            self.counts[f] = self.counts.get(f, 0) + 1
+            if self.counts[f] == 1 and self.weight:
+                self.sum += self.weight(f, 0.0)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, own))
+
+    def cut(self, place: int) -> None:
+        """End all elements from a place of the stack on."""
+        while len(self.stack) > place:
+            tag, own = self.stack.pop()
+            self.open[tag].pop()
+            for f in own:
+                self.counts[f] -= 1
+                if not self.counts[f]:
+                    del self.counts[f]
+                    if self.weight:
+                        self.sum -= self.weight(f, 0.0)
+
+    def state(self) -> frozenset[str] | float:
+        outside = "in:article" not in self.counts and "in:main" not in self.counts
+        if self.weight:
+            return self.sum + (self.weight("outside", 0.0) if outside else 0.0)
+        return frozenset(self.counts) | ({"outside"} if outside else set())
 
 
 def _names(attributes: str) -> tuple[str, ...]:
@@ -91,10 +143,11 @@ def _dropped(tokens: list[re.Match]) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, without empty ones."""
+def blocks(page: str, weight=None) -> list[Block]:
+    """Leaf blocks in page order, without empty ones. ``weight`` gives the weight of a feature, with 0 for
+    unknown ones; without it blocks hold the names of their features."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    path = Path(weight)
     text: list[str] = []
     linked = links = 0
 
@@ -103,7 +156,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             plain = " ".join(html.unescape("".join(text)).split())
             if plain:
-                out.append(Block(plain, min(linked, len(plain)), tuple(stack)))
+                leaf = path.stack[-1][0] if path.stack else "none"
+                out.append(Block(plain, min(linked, len(plain)), leaf, path.state()))
             text.clear()
         linked = 0
 
@@ -133,55 +187,53 @@ def blocks(page: str) -> list[Block]:
         flush()
         if closing:
             links = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if path.last(tag) >= 0:
+                path.cut(path.last(tag))
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in LISTS.get(tag, ()):
-                    break
+        if path.stack and path.stack[-1][0] == "p":
+            path.cut(len(path.stack) - 1)
+        if tag in SIBLINGS and path.last(tag) > max([path.last(t) for t in LISTS.get(tag, ())], default=-1):
+            path.cut(path.last(tag))
         if tag not in VOID:
-            stack.append((tag, _names(token[4] or token[7] or "")))
+            path.push(tag, _names(token[4] or token[7] or ""))
     if at < len(page):
         text.append(page[at:])
     flush()
     return out
 
 
-def features(found: list[Block]) -> list[list[str]]:
-    """Names of the features of each block."""
+def text_features(found: list[Block]) -> list[list[str]]:
+    """Names of the features that each block has from its text, its place and its neighbours."""
     out = []
     n = len(found)
+    lengths = [b.text.count(" ") + 1 for b in found]
+    shares = [b.linked / max(len(b.text), 1) for b in found]
+    whole = sum(lengths)
     for i, b in enumerate(found):
-        own = {"bias"}
-        for tag, names in b.path:
-            if tag in STRUCTURE:
-                own.add("in:" + tag)
-            own.update("name:" + w for w in names)
-        leaf = b.path[-1][0] if b.path else "none"
-        own.add("leaf:" + leaf)
-        if not any(t in ("article", "main") for t, _ in b.path):
-            own.add("outside")
-        words = b.text.count(" ") + 1
-        own.add("words:" + str(sum(words > w for w in (2, 5, 10, 20, 50))))
-        share = b.linked / max(len(b.text), 1)
-        own.add("links:" + str(sum(share > s for s in (0, 0.3, 0.7))))
+        own = ["bias", "leaf:" + b.leaf]
+        own.append("words:" + str(sum(lengths[i] > w for w in (2, 5, 10, 20, 50))))
+        own.append("links:" + str(sum(shares[i] > s for s in (0, 0.3, 0.7))))
         if b.text[-1] in ".!?…。":
-            own.add("sentence")
+            own.append("sentence")
         if "©" in b.text or "copyright" in b.text.lower():
-            own.add("rights")
-        own.add("place:" + str(min(4 * i // n, 3)))
-        out.append(sorted(own))
+            own.append("rights")
+        own.append("place:" + str(min(4 * i // n, 3)))
+        for side, j in (("before:", i - 1), ("after:", i + 1)):
+            if 0 <= j < n:
+                kind = "links" if shares[j] > 0.5 else "long" if lengths[j] > 15 else "short"
+                own.append(side + kind + (":" + found[j].leaf if found[j].leaf == b.leaf else ""))
+            else:
+                own.append(side + "none")
+        own.append("part:" + str(sum(lengths[i] > share * whole for share in (0.02, 0.1, 0.3, 0.6))))
+        out.append(own)
     return out
 
 
+def features(found: list[Block]) -> list[list[str]]:
+    """Names of all features of each block."""
+    return [sorted({*own, *b.path}) for own, b in zip(text_features(found), found)]
+
+
 @dataclass
 class Model:
     """Weights for the label main against not main, and of neighbouring labels."""
@@ -195,7 +247,10 @@ class Model:
         if not found:
             return []
         weight = self.weights.get
-        emit = [sum([weight(f, 0.0) for f in own]) for own in features(found)]
+        if isinstance(found[0].path, float):
+            emit = [b.path + sum([weight(f, 0.0) for f in own]) for own, b in zip(text_features(found), found)]
+        else:
+            emit = [sum([weight(f, 0.0) for f in own]) for own in features(found)]
         (m00, m01), (m10, m11) = self.moves.tolist()
         out, main = float(self.start[0]), float(self.start[1]) + emit[0]
         back = []
@@ -269,7 +324,7 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, ridge: f
 MARK = "\ue000"  # a private-use character
 
 
-def labelled_pages(n: int = 320, seed: int = 1) -> Iterator[str]:
+def labelled_pages(n: int = 480, seed: int = 1) -> Iterator[str]:
     """Pages of many layouts; the text of main blocks has MARK in it."""
     some = random.Random(seed)
     pick = some.choice
@@ -282,9 +337,11 @@ def labelled_pages(n: int = 320, seed: int = 1) -> Iterator[str]:
 
     def sentences() -> str:
         kind = some.random()
-        if kind < 0.15:
+        if kind < 0.12:
             return words(1, 4)
-        if kind < 0.25:
+        if kind < 0.2:
+            return words(1, 5).capitalize() + pick([".", ":", "!"])
+        if kind < 0.28:
             return " ".join(w + pick(["***", "&amp;&amp;", " |", "$$", "!!"]) for w in words(5, 40).split())
         return " ".join(words(3, 18).capitalize() + "." for _ in range(some.randint(1, 7)))
 
@@ -371,7 +428,28 @@ def labelled_pages(n: int = 320, seed: int = 1) -> Iterator[str]:
         ])
         return body
 
+    def bare() -> str:
+        """A page without names, and almost without elements that tell what they hold."""
+        if some.random() < 0.2:
+            return "\n\n".join([MARK + words(3, 18).capitalize() + "." + sentences()] + [words(3, 18).capitalize() + "." for _ in range(some.randint(0, 8))])
+        long = lambda: MARK + " ".join(words(4, 18).capitalize() + "." for _ in range(some.randint(2, 7)))
+        links = " | ".join(f"<a href={word()}>{words(1, 2)}</a>" for _ in range(some.randint(1, 6)))
+        wrap = pick(["div", "div", "td", "p", "center", "section"])
+        parts = [pick([long, long, lambda: long() + "<br><br>" + words(6, 20) + ".", lambda: MARK + words(1, 4).capitalize() + ".", lambda: f"<b>{long()}</b>"])() for _ in range(some.randint(1, 7))]
+        parts[some.randrange(len(parts))] = long()
+        body = "".join(f"<{wrap}>{x}</{wrap}>" for x in parts)
+        if some.random() < 0.4:
+            body = f"<{(h := pick(['h1', 'h2', 'h3']))}>{MARK}{words(1, 7)}</{h}>" + body
+        if wrap == "td":
+            body = f"<table><tr>{body}</tr></table>"
+        first = pick(["", f"<div>{links}</div>", f"<div id=top>{links}</div>", f"<div><a href=/>{words(1, 3)}</a></div>", f"<p>{links}</p>"])
+        last = pick(["", f"<div>Copyright {some.randint(1999, 2030)} {words(1, 4)}</div>", f"<p>&copy; {words(1, 3)}. {words(2, 6)}.</p>", f"<div>{links}</div>", f"<center>{links}<br>&copy; {word()}</center>"])
+        return first + pick([body, f"<div>{body}</div>"]) + last
+
     for _ in range(n):
+        if some.random() < 0.2:
+            yield pick(["", "<html><body>", f"<html><head><title>{words(1, 5)}</title></head><body>"]) + bare()
+            continue
         before = [top()] + [f() for f in (advert, notice, form, side, related) if some.random() < 0.25]
         after = [f() for f in (comments, related, side, advert, form, notice) if some.random() < 0.25]
         if some.random() < 0.9:
@@ -386,7 +464,7 @@ def labelled_pages(n: int = 320, seed: int = 1) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def default_model(n: int = 320, seed: int = 1) -> Model:
+def default_model(n: int = 480, seed: int = 1) -> Model:
     pages = []
     for page in labelled_pages(n, seed):
         found = blocks(page)
@@ -398,7 +476,7 @@ def default_model(n: int = 320, seed: int = 1) -> Model:
 
 
 def main_text(page: str, model: Model) -> str:
-    found = blocks(page)
+    found = blocks(page, model.weights.get)
     return "\n".join(b.text for b, main in zip(found, model.decode(found)) if main)
 
 

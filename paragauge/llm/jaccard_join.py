@@ -9,9 +9,10 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
 3. Linked sets share a shingle among their first quarter in that order (prefix). Nodes that share one
    and are of similar size fall into one cluster; a cluster holds all links of its nodes.
 4. Clusters are packed into blocks of about ``BLOCK`` shingles. Within a block an inverted index is
-   searched for each set: its short lists are merged, the long ones are probed by binary search
-   (DivideSkip), and sets that reach the needed overlap link. A candidate that hangs together with
-   the searching set already is passed over, so a group of copies costs a spanning tree, not pairs.
+   searched for each set: its short lists are merged by a heap that skips, the long ones are probed by
+   binary search (DivideSkip), and sets that reach the needed overlap link. Lists and candidates that
+   belong to the searching set's group already are passed over, so a group of copies costs a spanning
+   tree, not pairs.
 5. A cluster beyond a block is cut into parts. Each part is joined with itself and with the first
    part; sets that still do not belong to the cluster's largest group are then searched for in all
    parts. That is exact, and no task ever holds more than a few blocks.
@@ -25,8 +26,10 @@ group without naming it; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -397,8 +400,82 @@ def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 # 4: search within a block ----------------------------------------------------------------------
 
 
-def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between sets, enough to connect all that hang together; places in ``sets``."""
+class Groups:
+    """Groups of sets that hang together; ``root`` names each set's group. The smaller group is renamed."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.members = [[x] for x in range(n)]
+
+    def join(self, x: int, y: int) -> None:
+        x, y = int(self.root[x]), int(self.root[y])
+        if len(self.members[x]) < len(self.members[y]):
+            x, y = y, x
+        self.root[self.members[y]] = x
+        self.members[x] += self.members[y]
+        self.members[y] = []
+
+
+def merge_skip(lists: memoryview, spans: list[tuple[int, int]], least: int, low: int, steps: list[int] | None = None):
+    """(place, occurrences) of the places from ``low`` on that are in ``least`` or more of the lists.
+
+    A heap holds the next place of each list. Where the smallest one occurs too rarely, ``least - 1`` lists
+    are taken off and jump by binary search to the smallest place of the others: what lies between
+    cannot occur often enough.
+    """
+    ends, at, heap = [], [], []
+    for start, end in spans:
+        start = bisect_left(lists, low, start, end)
+        if start < end:
+            heap.append((lists[start], len(at)))
+            at.append(start)
+            ends.append(end)
+    heapify(heap)
+    taken = 0
+    while len(heap) >= least:
+        top, off = heap[0][0], []
+        while heap and heap[0][0] == top:
+            off.append(heappop(heap)[1])
+        if len(off) >= least:
+            yield top, len(off)
+            for k in off:
+                at[k] += 1
+        else:
+            while heap and len(off) < least - 1:
+                off.append(heappop(heap)[1])
+            if not heap:
+                break
+            for k in off:
+                at[k] = bisect_left(lists, heap[0][0], at[k], ends[k])
+        taken += len(off)
+        for k in off:
+            if at[k] < ends[k]:
+                heappush(heap, (lists[at[k]], k))
+    if steps is not None:
+        steps.append(taken)
+
+
+def shared(one: np.ndarray, other: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    if not len(other):
+        return 0
+    at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+    return int((other[at] == one).sum())
+
+
+#: Sets that are tried first, by how many of the lists they are the last entry of.
+GUESSES = 3
+
+
+def search(sets: list[np.ndarray], steps: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between sets, enough to connect all that hang together; places in ``sets``.
+
+    Sets are taken by size. One that is to be linked at all has earlier sets in three quarters of its
+    lists, which settles most at once. Then the sets met last are tried, as copies come together. From
+    there on only links out of its own group matter, so lists that hold nothing but that group are left
+    out: a group of near copies costs each of its sets a look at its own lists, however large it is. The
+    short ones of the other lists are merged by a heap that skips, and the long ones are probed.
+    """
     by_size = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     size = np.array([len(sets[i]) for i in by_size], np.int64)
     ends = np.cumsum(size)
@@ -417,45 +494,57 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     rank = np.empty(len(keys), kind)
     rank[order] = np.arange(len(keys), dtype=kind) - head
     del head, new, order
-    forest, out = Forest(len(size)), []
+    mixed = np.zeros(len(keys), bool)  # by a list's first place: it holds sets of several groups
+    view, groups, out = memoryview(lists), Groups(len(size)), []
+
+    def own(x: int) -> np.ndarray:
+        return keys[ends[x] - size[x] : ends[x]]
+
+    def link(c: int, q: int, common: int) -> bool:
+        if not linked(common, int(size[q]), int(size[c])):
+            return False
+        groups.join(c, q)
+        out.append((by_size[c], by_size[q]))
+        return True
+
     for q in range(len(size)):
         n, mine = int(size[q]), slice(ends[q] - size[q], ends[q])
-        length = rank[mine]  # sets before this one in each of its lists
-        if not length.any():
-            continue
-        need = least_overlap(n)
-        longest = int(length.max())
-        skip = min(need - 1, int(need / (0.02 * math.log2(longest + 1) + 1)))  # long lists
-        ascending = np.argsort(length, kind="stable")
-        short, long = ascending[: n - skip], ascending[n - skip :]
-        short = short[length[short] > 0]
-        start, count = begin[mine][short], length[short]
-        total = int(count.sum(dtype=np.int64))
-        if not total:
-            continue
-        steps = np.arange(total) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
-        merged = np.sort(lists[np.repeat(start, count) + steps], kind="stable")  # merges the runs
-        merged = merged[np.searchsorted(merged, np.searchsorted(4 * size, 3 * n)) :]
-        if not len(merged):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-        hits = np.diff(np.append(first, len(merged)))
-        candidates = merged[first]
-        enough = hits >= max(need - skip, 1)
-        candidates, hits = candidates[enough], hits[enough]
-        probes = np.sort(keys[mine][long])
-        for c in candidates[np.argsort(-hits, kind="stable")].tolist():
-            if forest.find(c) == forest.find(q):
-                continue
-            other = keys[ends[c] - size[c] : ends[c]]
-            at = np.minimum(np.searchsorted(other, probes), len(other) - 1)
-            shared = int((other[at] == probes).sum()) + int(hits[candidates == c][0])
-            if linked(shared, n, int(size[c])):
-                forest.join(c, q)
-                out.append((by_size[c], by_size[q]))
+        start, length = begin[mine], rank[mine]  # length: sets before this one in each of its lists
+        need, some = least_overlap(n), length > 0
+        if int(some.sum()) >= need:
+            _search_one(q, n, need, start, length, some, own, link, groups, mixed, lists, view, size, steps)
+        if some.any():
+            first = start[some]
+            mixed[first] |= groups.root[lists[first]] != groups.root[q]
     return out
 
 
+def _search_one(q, n, need, start, length, some, own, link, groups, mixed, lists, view, size, steps) -> None:
+    """Link the set ``q`` with earlier ones."""
+    low = int(np.searchsorted(4 * size, 3 * n))  # smaller sets cannot share enough
+    last = lists[start[some] + length[some] - 1]
+    guesses, votes = np.unique(last[last >= low], return_counts=True)
+    for c in guesses[np.argsort(-votes, kind="stable")][:GUESSES].tolist():
+        if groups.root[c] != groups.root[q]:
+            link(c, q, shared(own(q), own(c)))
+    if steps is not None:
+        steps.append(n)
+    open_ = some & (mixed[start] | (groups.root[lists[start]] != groups.root[q]))
+    if int(open_.sum()) < need:
+        return
+    longest = int(length[open_].max())
+    skip = min(need - 1, int(need / (0.02 * math.log2(longest + 1) + 1)))  # long lists
+    places = np.flatnonzero(open_)
+    places = places[np.argsort(length[places], kind="stable")]
+    short, long = places[: max(len(places) - skip, 0)], places[max(len(places) - skip, 0) :]
+    spans = [(int(start[k]), int(start[k] + length[k])) for k in short]
+    probes = own(q)[np.sort(long)]
+    for c, hits in merge_skip(view, spans, max(need - len(long), 1), low, steps):
+        # Lists that were left out hold sets of this group only, so the count is whole for all others.
+        if groups.root[c] != groups.root[q]:
+            link(c, q, hits + shared(probes, own(c)))
+
+
 def searched(rows: DataFrame) -> DataFrame:
     """Links (a, b) within each ``task`` of rows (task, node, shingles)."""
 

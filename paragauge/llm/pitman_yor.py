@@ -4,9 +4,10 @@ Every word has a context restaurant for what comes after it, and the start of a
 all share one parent, the restaurant of single words, whose base is even over the known words and
 one unknown. A customer who opens a table in a context restaurant sends a customer to the parent. A
 Gibbs sweep takes the customers of one dish out of a restaurant and seats them again one after the
-other by the predictive rule (from the sixteenth on in parties of a sixteenth of those seated, all
-of whom see the tables as the party arrives). Predictive probabilities are averaged over the sweeps
-after ``BURN_IN`` and give each text its log10 probability, and groups of texts their perplexity.
+other by the predictive rule (customer by customer up to the 32nd, then in parties of a sixteenth of
+those seated, ``PARTY`` at most, all of whom see the tables as the party arrives); the parent's chance of
+the dish is taken without the tables that the dish has there from this restaurant. Predictive
+probabilities are averaged over the sweeps after ``BURN_IN`` and give each text its log10 probability, and groups of texts their perplexity.
 
 How it runs: a task numbers the words of a block of texts, which is stored, and sends each hash range
 of words one message with its (word, context) pairs and training counts; a pair is sent once per
@@ -14,7 +15,8 @@ block however frequent it is. A range holds its words with all their contexts, t
 only asked for, so seating needs nothing from other ranges but the number of tables per context.
 Ranges of contexts sum these up after each sweep: every range of words sends each of them one row
 with the contexts it has there, and gets the sums of just these back. So no task and no broadcast
-holds all contexts or words. Random numbers are fixed, so a lost task gives the same result again.
+holds all contexts or words. Random numbers belong to a word and a context, so a lost task gives the same
+result again, and so does any number of ranges, which follows from the volume of the tokens.
 Each range answers every block with one probability per pair, and the block adds them up per text.
 
 Words and contexts are told apart by a hash of 64 bits.
@@ -39,12 +41,14 @@ from pyspark.sql import functions as F
 from paragauge.llm import words as W
 from paragauge.session import scratch_path
 
-#: Contexts of a ``Range`` that does not say how many it has; a table may have any number.
-CONTEXTS = 2048
 #: The context of a text's first token: the largest number, so that it comes last in every order.
 START = np.uint64((1 << 64) - 1)
 BLOCK_BYTES = 12 << 20
-SWEEPS, BURN_IN = 4, 2
+SWEEPS, BURN_IN = 4, 1
+#: Most customers that are seated at once.
+PARTY = 256
+#: Packed token streams per range of words, at most.
+RANGE_BYTES = 8 << 20
 #: Discount and strength of the context restaurants and of their parent.
 CONTEXT_RULE, PARENT_RULE = (0.75, 20.0), (0.6, 20.0)
 SEED = 17
@@ -224,8 +228,29 @@ def merged(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, _STATE)
 
 
+def uniform(seeds: np.ndarray, number: int) -> np.ndarray:
+    """The random numbers of a draw, one per seed: they depend on nothing else, least of all on how
+    the dishes are dealt to tasks."""
+    return (W.mix(seeds + W.mix(np.array([number], np.uint64))) >> _U(11)) * 2.0**-53
+
+
+def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The smallest k at which the distribution function of n draws with chance p reaches u."""
+    k = np.zeros(len(n), np.int64)
+    p = np.minimum(p, 1.0 - 1e-12)
+    weight = (1 - p) ** n
+    reached = weight.copy()
+    open_ = np.flatnonzero((reached < u) & (k < n))
+    while len(open_):
+        k[open_] += 1
+        weight[open_] *= (n[open_] - k[open_] + 1) / k[open_] * p[open_] / (1 - p[open_])
+        reached[open_] += weight[open_]
+        open_ = open_[(reached[open_] < u[open_]) & (k[open_] < n[open_])]
+    return k
+
+
 def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, rule: tuple[float, float],
-         chance: np.random.Generator) -> np.ndarray:
+         seeds: np.ndarray) -> np.ndarray:
     """Tables of each dish after its customers are seated one after the other.
 
     ``base``: the dish's probability at the parent; ``others``: tables of other dishes there.
@@ -234,17 +259,19 @@ def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, rule: tupl
     tables = np.minimum(customers, 1)
     at = np.flatnonzero(customers > 1)
     seated, t, goal = np.ones(len(at), np.int64), np.ones(len(at), np.int64), customers[at]
-    base, others = base[at], others[at]
+    base, others, seeds = base[at], others[at], seeds[at]
+    turn = 0
     while len(at):
-        party = np.minimum(np.maximum(seated // 16, 1), goal - seated)
+        party = np.minimum(np.minimum(np.maximum(seated // 16, 1), PARTY), goal - seated)
         new = (strength + discount * (others + t)) * base
-        t = t + chance.binomial(party, new / (new + seated - discount * t))
+        t = t + binomial(party, new / (new + seated - discount * t), uniform(seeds, turn))
+        turn += 1
         seated = seated + party
         done = seated == goal
         if done.any():
             tables[at[done]] = t[done]
             more = ~done
-            at, seated, t, goal, base, others = (x[more] for x in (at, seated, t, goal, base, others))
+            at, seated, t, goal, base, others, seeds = (x[more] for x in (at, seated, t, goal, base, others, seeds))
     return tables
 
 
@@ -254,10 +281,15 @@ class Range:
     ``pairs``: the number of the word times ``contexts``, plus the number of the context.
     """
 
-    def __init__(self, bucket: int, words: bytes, pairs: bytes, counts: bytes, contexts: int = CONTEXTS + 1):
+    def __init__(self, bucket: int, words: bytes, pairs: bytes, counts: bytes, contexts: int):
         self.bucket = bucket
         self.words, self.pairs, self.counts = W.unpack(words), W.unpack(pairs), W.unpack(counts)
         self.word, self.context = self.pairs // contexts, self.pairs % contexts
+        # A pair is known by its word and by the place of its context among the word's contexts, which
+        # are in the order of their hashes: the same however words are dealt to ranges.
+        place = np.arange(len(self.pairs)) - np.searchsorted(self.word, np.arange(len(self.words)))[self.word]
+        self.word_seeds = W.mix(self.words + _U(SEED))
+        self.seeds = W.mix(self.word_seeds[self.word] + W.mix(place.astype(np.uint64)))
         self.tables = np.minimum(self.counts, 1)  # one table per dish to begin with
         self._to_parent()
         self.parent_tables = np.minimum(self.customers, 1)
@@ -273,15 +305,25 @@ class Range:
         own = (self.customers - discount * self.parent_tables) / whole
         return own + unknown(totals, known)
 
+    def parent_without(self, totals: Totals, known: int) -> np.ndarray:
+        """Probability of each pair's word at the parent, as if the pair's own tables were not there."""
+        discount, strength = PARENT_RULE
+        customers = self.customers[self.word] - self.tables
+        had = self.parent_tables[self.word]
+        tables = np.minimum(had, customers)
+        whole = strength + totals.customers - self.tables
+        rest = (strength + discount * (totals.parent_tables - had + tables)) / whole / (known + 1)
+        return (customers - discount * tables) / whole + rest
+
     def sweep(self, number: int, totals: Totals, known: int) -> None:
-        chance = np.random.default_rng([SEED, self.bucket, number])
-        base = self.parent(totals, known)[self.word]
+        turn = W.mix(np.array([number], np.uint64))
+        base = self.parent_without(totals, known)
         others = np.maximum(totals.tables[self.context] - self.tables, 0)
-        self.tables = seat(self.counts, base, others, CONTEXT_RULE, chance)
+        self.tables = seat(self.counts, base, others, CONTEXT_RULE, W.mix(self.seeds + turn))
         self._to_parent()
         others = np.maximum(totals.parent_tables - self.parent_tables, 0)
         even = np.full(len(self.words), 1 / (known + 1))
-        self.parent_tables = seat(self.customers, even, others, PARENT_RULE, chance)
+        self.parent_tables = seat(self.customers, even, others, PARENT_RULE, W.mix(self.word_seeds + turn))
 
 
 def unknown(totals: Totals, known: int) -> float:
@@ -525,9 +567,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """One row per input row: ``key``, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     store = scratch_path(spark, "pitman-yor")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoded(docs, key, text).write.parquet(f"{store}/blocks")
     blocks = spark.read.schema(_BLOCK).parquet(f"{store}/blocks")
+    size = blocks.agg(F.sum(F.octet_length("stream"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     merged(messages(blocks, buckets)).write.parquet(f"{store}/state")
     state = spark.read.schema(_STATE).parquet(f"{store}/state")
     learnt = learn(state, store, buckets)

@@ -106,6 +106,54 @@ def test_search_connects_what_links():
         assert [forest.find(x) for x in range(25)] == [want.find(x) for x in range(25)]
 
 
+def test_heap_merge_counts_and_skips():
+    some = random.Random(3)
+    for _ in range(200):
+        lists = [sorted(some.sample(range(60), some.randint(0, 30))) for _ in range(some.randint(1, 12))]
+        flat = np.array([x for one in lists for x in one], np.int32)
+        spans, at = [], 0
+        for one in lists:
+            spans.append((at, at + len(one)))
+            at += len(one)
+        least, low = some.randint(1, 8), some.randint(0, 20)
+        want = {x: n for x in range(low, 60) if (n := sum(x in one for one in lists)) >= least}
+        assert dict(J.merge_skip(memoryview(flat), spans, least, low)) == want
+
+
+def near_copies(n):
+    """Sets of 100, of which six are their own and the others those of the whole group."""
+    some = np.random.default_rng(n)
+    group = some.integers(0, 1 << 62, 94, dtype=np.uint64)
+    return [np.sort(np.concatenate([group, some.integers(1 << 62, 1 << 63, 6, dtype=np.uint64)])) for _ in range(n)]
+
+
+def test_group_of_near_copies_grows_in_proportion():
+    taken = []
+    for n in (1000, 2000, 4000):
+        steps = []
+        assert len(J.search(near_copies(n), steps)) == n - 1
+        taken.append(sum(steps))
+    assert taken[1] <= 2.1 * taken[0] and taken[2] <= 2.1 * taken[1]
+
+
+def test_links_between_groups_are_found():
+    """Two groups that share most of their lists hang together by one set in between."""
+    some = np.random.default_rng(7)
+    new = lambda n: some.integers(0, 1 << 63, n, dtype=np.uint64)
+    both, left, right = new(72), new(26), new(26)
+    sets = [np.sort(np.concatenate([both, left, new(2)])) for _ in range(30)]
+    sets += [np.sort(np.concatenate([both, right, new(2)])) for _ in range(30)]
+    apart = J.Forest(60)
+    for a, b in J.search(sets):
+        apart.join(a, b)
+    assert {apart.find(x) for x in range(60)} == {apart.find(0), apart.find(59)} and apart.find(0) != apart.find(59)
+    sets.append(np.sort(np.concatenate([both, left[:14], right[:14]])))
+    together = J.Forest(61)
+    for a, b in J.search(sets):
+        together.join(a, b)
+    assert len({together.find(x) for x in range(61)}) == 1
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (300, 200)]
     got = {r.node: r.label for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}

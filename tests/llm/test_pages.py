@@ -26,6 +26,55 @@ def test_a_page_by_hand():
     assert H.main_text(PAGE, MODEL) == want
 
 
+BY_HAND = [
+    (
+        "<div id=top><a href=/>links</a> <a href=/x>more</a></div><div>Some long text that goes on for a while, with words."
+        " And more of it here.<br><br>Second part of the long text, also with some words in it.</div><div>Copyright 2024 Us</div>",
+        "Some long text that goes on for a while, with words. And more of it here. Second part of the long text, also with"
+        " some words in it.",
+    ),
+    ("Just a page of plain text without any tags. It has some sentences.", "Just a page of plain text without any tags. It has some sentences."),
+    ("<article><p>See the code:</p><pre>x = 1</pre><p>It prints.</p></article>", "See the code:\nx = 1\nIt prints."),
+    (
+        '<article><p title="a>b">One para here.</p><p>Then another one of more words, as is usual.</p><p>Two para here.</p></article>',
+        "One para here.\nThen another one of more words, as is usual.\nTwo para here.",
+    ),
+    (
+        "<html><body><h1>Title here</h1><p>Short.</p><p>A longer paragraph follows here with words.</p></body></html>",
+        "Title here\nShort.\nA longer paragraph follows here with words.",
+    ),
+    (
+        '<body><div class="nav"><a href=a>Home</a> | <a href=b>News</a></div><div><h2>Heading of it</h2>Some text in a plain div'
+        " which is the main thing of this page. It has two sentences.</div><div class=footer>All rights reserved</div></body>",
+        "Heading of it\nSome text in a plain div which is the main thing of this page. It has two sentences.",
+    ),
+]
+
+
+@pytest.mark.parametrize("page,want", BY_HAND)
+def test_pages_by_hand(page, want):
+    assert H.main_text(page, MODEL) == want
+
+
+def test_nested_pages_cost_in_proportion():
+    """A page of a megabyte whose elements are never closed; features are added once per element."""
+    def work(n):
+        asked = []
+        page = "".join(f"<div class='c{i % 50}'><ul><li><p>Some words go here. " for i in range(n))
+        H.blocks(page, lambda f, _: asked.append(f) or 0.0)
+        return len(asked)
+
+    assert work(4000) <= 4.1 * work(1000)
+    page = "<div><p>Some words go here. " * 40_000
+    assert len(H.blocks(page, MODEL.weights.get)) == 40_000
+
+
+def test_both_forms_of_paths_agree():
+    """Sums of weights along the open elements are those of the features by name."""
+    for page in [*H.labelled_pages(30, seed=8), *(p for p, _ in BY_HAND), PAGE]:
+        assert MODEL.decode(H.blocks(page)) == MODEL.decode(H.blocks(page, MODEL.weights.get))
+
+
 def brute(model, found):
     """The best of all labellings."""
     emit = [sum(model.weights.get(f, 0.0) for f in own) for own in H.features(found)]

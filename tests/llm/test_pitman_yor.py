@@ -68,16 +68,19 @@ def test_model_beats_single_words_on_held_out(spark, scored):
         assert 1 < r.perplexity < 60
 
 
+CONTEXTS = 2049
+
+
 def one_range():
     some = np.random.default_rng(3)
-    pairs = np.unique(some.integers(0, 12, 80) * (P.CONTEXTS + 1) + some.integers(0, 4, 80))
+    pairs = np.unique(some.integers(0, 12, 80) * CONTEXTS + some.integers(0, 4, 80))
     counts = some.geometric(0.05, len(pairs)).astype(np.int64)
-    words = np.arange(12, dtype=np.uint64)[: pairs.max() // (P.CONTEXTS + 1) + 1]
-    return P.Range(0, W.pack(words), W.pack(pairs), W.pack(counts)), len(words)
+    words = np.arange(12, dtype=np.uint64)[: pairs.max() // CONTEXTS + 1]
+    return P.Range(0, W.pack(words), W.pack(pairs), W.pack(counts), CONTEXTS), len(words)
 
 
 def totals(own):
-    per = np.bincount(own.context, own.tables, minlength=P.CONTEXTS + 1).astype(np.int64)
+    per = np.bincount(own.context, own.tables, minlength=CONTEXTS).astype(np.int64)
     return P.Totals(per, int(own.customers.sum()), int(own.parent_tables.sum()))
 
 
@@ -100,9 +103,9 @@ def test_probabilities_sum_to_one_after_every_sweep():
 
 
 def test_seating_follows_the_rule_customer_by_customer():
-    chance, some = np.random.default_rng(1), random.Random(1)
+    seeds, some = W.mix(np.arange(4000, dtype=np.uint64)), random.Random(1)
     for customers, base, others in ((5, 0.3, 10), (40, 0.01, 500), (300, 0.2, 50)):
-        fast = P.seat(np.full(4000, customers), np.full(4000, base), np.full(4000, others), (0.7, 5.0), chance)
+        fast = P.seat(np.full(4000, customers), np.full(4000, base), np.full(4000, others), (0.7, 5.0), seeds)
         slow = []
         for _ in range(1500):
             t = 1
@@ -163,6 +166,45 @@ def test_contexts_have_no_bound_and_are_counted_over_all_ranges(spark):
         sums = np.concatenate([W.unpack(r.tables) for r in mine])
         assert [tables[c] for c in names] == sums.tolist()
         customers |= dict(zip(names.tolist(), np.concatenate([W.unpack(r.customers) for r in mine]).tolist()))
-    assert sum(n > 0 for n in customers.values()) == len(want) > P.CONTEXTS
+    assert sum(n > 0 for n in customers.values()) == len(want) > 2048
     assert sorted(n for n in customers.values() if n) == sorted(want.values())
     assert learnt.n_train == sum(want.values())
+
+
+def test_draws_follow_the_binomial_distribution():
+    u = P.uniform(W.mix(np.arange(20_000, dtype=np.uint64)), 3)
+    assert abs(u.mean() - 0.5) < 0.01 and 0 <= u.min() and u.max() < 1
+    for n, p in ((1, 0.3), (16, 0.05), (256, 0.4), (256, 1.0)):
+        drawn = P.binomial(np.full(len(u), n), np.full(len(u), p), u)
+        assert abs(drawn.mean() - n * p) < 0.05 * n * p + 0.02
+        assert abs(drawn.var() - n * p * (1 - p)) < 0.05 * n * p * (1 - p) + 0.05
+
+
+def test_scores_do_not_depend_on_the_number_of_ranges(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).cache()
+    usual, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 5):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, P.score(docs).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        docs.unpersist()
+    assert got[0] == got[1]
+
+
+def test_own_tables_are_taken_out_of_the_parent():
+    """For each pair as if the parent's counts were made without it."""
+    own, known = one_range()
+    for sweep in range(2):
+        own.sweep(sweep, totals(own), known)
+    now, (discount, strength) = totals(own), P.PARENT_RULE
+    for i, chance in enumerate(own.parent_without(now, known)):
+        w = own.word[i]
+        customers = own.customers[w] - own.tables[i]
+        tables = min(own.parent_tables[w], customers)
+        rest = now.parent_tables - own.parent_tables[w] + tables
+        whole = strength + now.customers - own.tables[i]
+        want = (customers - discount * tables) / whole + (strength + discount * rest) / whole / (known + 1)
+        assert math.isclose(chance, want, rel_tol=1e-12)
+        assert chance <= own.parent(now, known)[w] + 1e-12
