@@ -269,6 +269,24 @@ me AS (SELECT row_id, model, coalesce(matched, 0) AS matched, coalesce(chunks, 0
 METEOR_ROWS = "SELECT row_id, model, matched, chunks, round(meteor, 6) AS meteor FROM me"
 
 
+# -- word translations --------------------------------------------------------------------
+
+TOGETHER = f"""sw AS (SELECT row_id, unnest({tok_words("source")}) AS f FROM pairs),
+tw AS (SELECT row_id, unnest({tok_words("target")}) AS e FROM pairs),
+tog AS MATERIALIZED (SELECT row_id, f, e, cf, ce FROM (SELECT row_id, f, count(*) AS cf FROM sw GROUP BY ALL)
+  JOIN (SELECT row_id, e, count(*) AS ce FROM tw GROUP BY ALL) USING (row_id))"""
+
+
+def _em_round(k: int) -> str:
+    known = f"(SELECT tog.*, p FROM tog JOIN t{k - 1} USING (f, e))" if k > 1 else "(SELECT *, 1.0::DOUBLE AS p FROM tog)"
+    return f"""t{k} AS MATERIALIZED (SELECT f, e, n, n / sum(n) OVER (PARTITION BY f) AS p
+  FROM (SELECT f, e, sum(share) AS n FROM (
+    SELECT f, e, ce * cf * p / sum(cf * p) OVER (PARTITION BY row_id, e) AS share FROM {known}) GROUP BY ALL))"""
+
+
+EM_ROUNDS = [_em_round(k) for k in range(1, 6)]
+
+
 def sql(parts: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
@@ -356,14 +374,28 @@ def doc_tokens(tokenize) -> str:
 ORACLE: dict[str, str] = {
     "tsv_roundtrip": sql([PAIRS, DIRTY], "SELECT * FROM dirty"),
     "csv_roundtrip": sql([PAIRS, PREDS, WIDE], "SELECT * FROM wide"),
-    "csv_skip_bad_lines": sql([PAIRS], """SELECT row_id,
-      CASE WHEN row_id % 5 <> 0 THEN target END AS target,
-      CASE WHEN row_id % 5 <> 0 THEN length(source) END AS size FROM pairs WHERE row_id % 3 <> 0"""),
+    "csv_skip_bad_lines": sql([PAIRS], """SELECT
+      CASE WHEN row_id % 3 <> 0 THEN 'good' ELSE 'rejected' END AS kind,
+      CASE WHEN row_id % 3 <> 0 THEN row_id END AS row_id,
+      CASE WHEN row_id % 3 <> 0 AND row_id % 5 <> 0 THEN field END AS target,
+      CASE WHEN row_id % 3 <> 0 AND row_id % 5 <> 0 THEN length(source) END AS size,
+      CASE WHEN row_id % 3 = 0 THEN row_id || ',"' || replace(field, '"', '""') || '",x,' END AS line
+      FROM (SELECT *, CASE WHEN row_id % 7 = 0 THEN repeat(target || '", "', 120) ELSE target END AS field
+            FROM pairs)"""),
+    "corpus_ranges": sql([PAIRS], """SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, source, target
+      FROM pairs"""),
+    "results_ranges": sql([PAIRS, PREDS, WIDE], "SELECT * FROM wide"),
     "splits_scan": sql([PAIRS], f"SELECT *, {split_bucket('row_id')} AS split FROM pairs"),
     "materialize_once": sql([PAIRS], f"SELECT *, {split_bucket('row_id')} AS split FROM pairs"),
     "predictions_store": sql([PAIRS, PREDS], """SELECT row_id, model,
       CASE WHEN model = 'org/swap' THEN source ELSE prediction END AS prediction
       FROM preds JOIN pairs USING (row_id)"""),
+    "bucketed_upsert": sql([PAIRS, PREDS], """SELECT row_id, model,
+        CASE WHEN model = 'org/swap' AND row_id % 2 = 0 THEN source ELSE prediction END AS prediction
+        FROM preds JOIN pairs USING (row_id)
+      UNION ALL SELECT row_id, 'org/new', target FROM pairs WHERE row_id % 2 = 0"""),
+    "bucketed_scores": sql(ROUGE_PARTS, """SELECT row_id, model, round(max(f) FILTER (n = 1), 6) AS rouge1,
+      round(max(f) FILTER (n = 2), 6) AS rouge2 FROM rn GROUP BY ALL"""),
     "row_numbers": sql([PAIRS], 'SELECT count(*) AS n, 0::BIGINT AS "first", count(*) - 1 AS "last", '
                        "count(*) AS ids FROM pairs"),
     "numbered_rows": sql([PAIRS], """SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, source, target
@@ -425,6 +457,16 @@ ORACLE: dict[str, str] = {
       round(meteor, 6) AS meteor, round(bleu, 6) AS bleu, {BLEU_FIELDS},
       round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rouge_l, 6) AS "rougeL"
       FROM metrics JOIN m_bleu USING (model) JOIN m_rn USING (model)"""),
+    "metrics_merged": sql(METRICS, f"""SELECT model, round(accuracy, 6) AS accuracy,
+      round(meteor, 6) AS meteor, round(bleu, 6) AS bleu, {BLEU_FIELDS},
+      round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rouge_l, 6) AS "rougeL"
+      FROM metrics JOIN m_bleu USING (model) JOIN m_rn USING (model)"""),
+    "word_translations": sql([PAIRS, TOGETHER, *EM_ROUNDS], """SELECT f, e, round(n, 6) AS n, round(p, 6) AS p
+      FROM t5 WHERE n >= 0.5"""),
+    "learned_synonyms": sql([PAIRS, TOGETHER, *EM_ROUNDS], """SELECT b.e AS word, a.e AS alt, round(sum(b.q * a.p), 6) AS p
+      FROM (SELECT f, e, n / sum(n) OVER (PARTITION BY e) AS q FROM t5) b
+      JOIN (SELECT f, e, p FROM t5 WHERE p >= 0.02) a USING (f)
+      WHERE b.q >= 0.02 AND a.e <> b.e GROUP BY ALL HAVING sum(b.q * a.p) >= 0.02"""),
     "metrics_describe": sql(METRICS, "\nUNION ALL ".join(
         f"SELECT '{name}' AS statistic, " + ", ".join(
             f"round({form.format(c=c)}, 6) AS {c}" for c in ("accuracy", "meteor", "bleu_1", "rouge_l")
@@ -434,6 +476,11 @@ ORACLE: dict[str, str] = {
             ("min", "min({c})"), ("25%", "quantile_cont({c}, 0.25)"),
             ("50%", "quantile_cont({c}, 0.5)"), ("75%", "quantile_cont({c}, 0.75)"), ("max", "max({c})"),
         ))),
+    "score_quantiles": sql(ROUGE_PARTS, """SELECT model, 'rouge' || o AS variable, count(*) AS n,
+      round(avg(f), 6) AS mean, round(stddev_samp(f), 6) AS std, round(min(f), 6) AS min, round(max(f), 6) AS max,
+      round(quantile_cont(f, 0.25), 6) AS q25, round(quantile_cont(f, 0.5), 6) AS q50,
+      round(quantile_cont(f, 0.75), 6) AS q75
+      FROM (SELECT model, n AS o, f FROM rn) GROUP BY model, o"""),
     "metrics_melt": sql([*METRICS, MELTED], "SELECT model, variable, round(value, 6) AS value FROM melted"),
     "chart_frame": sql([*METRICS, MELTED], """SELECT model, variable, round(value, 6) AS value,
       CASE variable WHEN 'meteor' THEN 'METEOR' WHEN 'bleu_1' THEN 'BLEU-1' ELSE 'ROUGE-L' END AS label,
@@ -494,5 +541,7 @@ ORACLE: dict[str, str] = {
     "map_batches": "SELECT doc_id, len(string_split(text, ' ')) AS n_words FROM documents",
     "batch_generate": sql([PAIRS], f"""SELECT row_id, 'org/echo' AS model,
       {extracted(CHATML + " || source || '<|im_end|>'")} AS prediction FROM pairs"""),
+    "generate_resumed": sql([PAIRS], f"""SELECT row_id, 'org/echo' AS model,
+      {extracted(CHATML + " || source || '<|im_end|>'")} AS prediction FROM pairs"""),
 }
 ORACLE["metrics_wide"] = ORACLE["metrics_report"]

@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 from paragauge import schemas
 from paragauge.catalog import fixtures as fx
 from paragauge.functions import text
-from paragauge.operators import bootstrap, corpus, generate, prompts, results, scoring
-from paragauge.plans import report
+from paragauge.operators import (
+    bootstrap, corpus, generate, prompts, quantiles, results, scoring, translations,
+)
+from paragauge.plans import report, states
 from paragauge.session import scratch_path
-from paragauge.sources import delimited, tables
+from paragauge.sources import bucketed, delimited, ranges, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,15 +59,21 @@ def csv_roundtrip(spark, sf_dir):
     return delimited.read_delimited(spark, path, wide.schema, sep=",")
 
 
+def _quoted(text) -> F.Column:
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 @query
 def csv_skip_bad_lines(spark, sf_dir):
-    """Every third line of the written file has one field too many, every fifth is short."""
+    """Every third line of the written file has one field too many, every fifth is short, and every
+    seventh has a field of over 10,000 characters with quotes and separators. Good and rejected rows
+    are returned, told apart by ``kind``."""
     path = scratch_path(spark, "results-lines")
-    quoted = F.concat(F.lit('"'), F.replace("target", F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.when(F.expr("row_id % 7 = 0"), F.repeat(F.concat("target", F.lit('", "')), 120)).otherwise(F.col("target"))
     line = (
-        F.when(F.expr("row_id % 3 = 0"), F.concat_ws(",", "row_id", quoted, F.lit("x"), F.lit("")))
+        F.when(F.expr("row_id % 3 = 0"), F.concat_ws(",", "row_id", _quoted(text), F.lit("x"), F.lit("")))
         .when(F.expr("row_id % 5 = 0"), F.col("row_id").cast("string"))
-        .otherwise(F.concat_ws(",", "row_id", quoted, F.length("source")))
+        .otherwise(F.concat_ws(",", "row_id", _quoted(text), F.length("source")))
     )
     fx.pairs(spark, sf_dir).select(line.alias("value")).write.text(path)
     schema = T.StructType(
@@ -75,8 +83,32 @@ def csv_skip_bad_lines(spark, sf_dir):
             T.StructField("size", T.LongType()),
         ]
     )
-    good, _ = delimited.read_skipping_bad_lines(spark, path, schema, header=False)
-    return good
+    good, rejected = delimited.read_skipping_bad_lines(spark, path, schema, header=False)
+    good = good.select(F.lit("good").alias("kind"), "*", F.lit(None).cast("string").alias("line"))
+    rejected = rejected.select(F.lit("rejected").alias("kind"), F.regexp_replace("line", r"\n\z", "").alias("line"))
+    return good.unionByName(rejected, allowMissingColumns=True)
+
+
+#: Byte ranges of the one file in ``corpus_ranges``: small, so that fields with line ends are cut.
+RANGE_BYTES = 16 << 10
+
+
+@query
+def corpus_ranges(spark, sf_dir):
+    """One file, whose targets hold line ends, read and numbered by many tasks."""
+    path = scratch_path(spark, "corpus-one-file")
+    ordered = fx.pairs(spark, sf_dir).orderBy("row_id").select("source", "target")
+    delimited.write_delimited(ordered.coalesce(1), path)
+    return ranges.read_ranges(spark, path, schemas.CORPUS, row_id="row_id", split_bytes=RANGE_BYTES)
+
+
+@query
+def results_ranges(spark, sf_dir):
+    """A wide results file, read in the same way."""
+    path = scratch_path(spark, "results-one-file")
+    wide = fx.wide(spark, sf_dir)
+    delimited.write_delimited(wide.coalesce(1), path, sep=",")
+    return ranges.read_ranges(spark, path, wide.schema, sep=",", split_bytes=RANGE_BYTES)
 
 
 @query
@@ -120,6 +152,37 @@ def predictions_store(spark, sf_dir):
     return tables.read_predictions(spark, path)
 
 
+BUCKETS = 8
+
+
+def _stores(spark, sf_dir) -> tuple[DataFrame, bucketed.Store]:
+    """Pairs and predictions stored in the same buckets."""
+    pairs = bucketed.pairs_store(scratch_path(spark, "bucketed-pairs"), BUCKETS)
+    predictions = bucketed.predictions_store(scratch_path(spark, "bucketed-predictions"), BUCKETS)
+    bucketed.write(fx.predictions(spark, sf_dir), predictions)
+    return bucketed.write(fx.pairs(spark, sf_dir), pairs), predictions
+
+
+@query
+def bucketed_upsert(spark, sf_dir):
+    """Some rows of one stored model are replaced, and some of a new one are added."""
+    _, store = _stores(spark, sf_dir)
+    new = fx.pairs(spark, sf_dir).where("row_id % 2 = 0").selectExpr(
+        "row_id",
+        "inline(array(named_struct('model', 'org/swap', 'prediction', source), "
+        "named_struct('model', 'org/new', 'prediction', target)))",
+    )
+    return bucketed.upsert(spark, store, new)
+
+
+@query
+def bucketed_scores(spark, sf_dir):
+    """Scores of stored predictions against stored pairs: buckets meet without an exchange."""
+    pairs, store = _stores(spark, sf_dir)
+    rows = results.align(pairs, bucketed.read(spark, store))
+    return rounded(scoring.with_rouge_n(rows).select("row_id", "model", "rouge1", "rouge2"), "rouge1", "rouge2")
+
+
 @query
 def row_numbers(spark, sf_dir):
     """Numbers given to the rows of a file scan are 0..n-1, each once."""
@@ -332,19 +395,23 @@ def meteor_corpus(spark, sf_dir):
     return rounded(scoring.mean_by_model(rows, "meteor"), "meteor")
 
 
+@query
+def word_translations(spark, sf_dir):
+    """Links between source and target words learned from the pairs."""
+    table = translations.translations(fx.pairs(spark, sf_dir))
+    return rounded(table.where("n >= 0.5").select("f", "e", "n", "p"), "n", "p")
+
+
+@query
+def learned_synonyms(spark, sf_dir):
+    return rounded(translations.learned_synonyms(fx.pairs(spark, sf_dir)), "p")
+
+
 @query
 def meteor_synonym(spark, sf_dir):
-    """Words of the corpus that differ by a last letter stand in for synonyms."""
-    words = (
-        fx.pairs(spark, sf_dir)
-        .select(F.explode(text.tokenize_words(F.col("target"))).alias("word"))
-        .where("length(word) > 2")
-        .distinct()
-    )
-    shorter = words.select("word", F.expr("left(word, length(word) - 1)").alias("alt"))
-    synonyms = shorter.join(words.select(F.col("word").alias("alt")), "alt").select("word", "alt")
-    rows = scoring.with_meteor(aligned(spark, sf_dir), synonyms=synonyms)
-    return _meteor_rows(rows)
+    """Scores with the synonyms learned from the pairs."""
+    synonyms = translations.learned_synonyms(fx.pairs(spark, sf_dir))
+    return _meteor_rows(scoring.with_meteor(aligned(spark, sf_dir), synonyms=synonyms))
 
 
 # -- reports ------------------------------------------------------------------------------
@@ -365,15 +432,40 @@ def metrics_wide(spark, sf_dir):
 
 @query
 def metrics_struct(spark, sf_dir):
-    """The nested record, flattened (``rougeLsum`` has its own query)."""
-    full = report.metrics(fx.pairs(spark, sf_dir), fx.predictions(spark, sf_dir))
-    record = "all_metrics"
+    """The nested record, flattened (with ``rougeLsum`` in ``metrics_record``)."""
+    return _flat(report.metrics(fx.pairs(spark, sf_dir), fx.predictions(spark, sf_dir)))
+
+
+@query
+def metrics_record(spark, sf_dir):
+    """The whole nested record, flattened."""
+    return _flat(report.metrics(fx.pairs(spark, sf_dir), fx.predictions(spark, sf_dir)), summary=True)
+
+
+PARTS = 3
+
+
+@query
+def metrics_merged(spark, sf_dir):
+    """The record from states of three parts, each scored alone; the second was first scored with
+    other predictions and then replaced."""
+    path = scratch_path(spark, "states")
+    pairs, whole = fx.pairs(spark, sf_dir), fx.predictions(spark, sf_dir)
+    wrong = pairs.select("row_id", F.lit("org/swap").alias("model"), F.col("source").alias("prediction"))
+    for k, predicted in [(1, wrong), *((k, whole) for k in range(PARTS))]:
+        here = F.expr(f"row_id % {PARTS} = {k}")
+        states.write_state(states.state(pairs.where(here), predicted.where(here), f"part-{k}"), path)
+    return _flat(states.report(states.read_states(spark, path)))
+
+
+def _flat(full: DataFrame, summary: bool = False) -> DataFrame:
+    record, scores = "all_metrics", ["rouge1", "rouge2", "rougeL"] + ["rougeLsum"] * summary
     return full.select(
         "model",
         *[F.round(f"{record}.{c}", 6).alias(c) for c in ("accuracy", "meteor")],
         F.round(f"{record}.bleu_scores.bleu", 6).alias("bleu"),
         *_bleu_fields(f"{record}.bleu_scores"),
-        *[F.round(f"{record}.rouge_scores.{c}", 6).alias(c) for c in ("rouge1", "rouge2", "rougeL")],
+        *[F.round(f"{record}.rouge_scores.{c}", 6).alias(c) for c in scores],
     )
 
 
@@ -382,6 +474,14 @@ def metrics_describe(spark, sf_dir):
     return rounded(report.describe(metrics_table(spark, sf_dir)), *report.SCORES)
 
 
+@query
+def score_quantiles(spark, sf_dir):
+    """Spread of the scores of single rows, per model and score."""
+    rows = scoring.with_rouge_n(aligned(spark, sf_dir))
+    found = quantiles.describe_by(rows, "model", ["rouge1", "rouge2"])
+    return rounded(found, "mean", "std", "min", "max", "q25", "q50", "q75")
+
+
 @query
 def metrics_melt(spark, sf_dir):
     return rounded(report.melt(metrics_table(spark, sf_dir)), "value")
@@ -605,3 +705,14 @@ def batch_generate(spark, sf_dir):
     )
     answers = generate.generate(asked, _echo_model, model="org/echo")
     return answers.select("row_id", "model", "prediction")
+
+
+@query
+def generate_resumed(spark, sf_dir):
+    """Every third prompt has an answer when the run over all of them begins; only the rest is asked."""
+    path = scratch_path(spark, "generated")
+    asked = prompts.with_prompts(
+        fx.pairs(spark, sf_dir), prompts.TEMPLATES["chatml"], model="org/echo"
+    )
+    generate.generate_missing(asked.where("row_id % 3 = 0"), _echo_model, "org/echo", path, parts=2)
+    return generate.generate_missing(asked, _echo_model, "org/echo", path, parts=4)

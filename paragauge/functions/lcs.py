@@ -46,9 +46,22 @@ def lcs_places(ref: list[str], hyp: list[str]) -> set[int]:
     """Positions in ``ref`` of the subsequence found by walking back from the table's end,
     matching first and otherwise moving up unless only the left cell keeps the length.
 
-    Every ``step``-th row is kept and the rows between are made again block by block, so memory
-    grows with the square root of the rows.
+    Only tokens that both have make rows and columns, so texts that share few words cost little more
+    than reading them. A token of ``ref`` alone would be passed upwards at once. Columns of tokens of
+    ``hyp`` alone would be crossed to the left only where moving up loses, so ``gap`` marks the columns
+    behind which there were such, and the walk moves up there before it looks at the column.
     """
+    both = set(ref) & set(hyp)
+    rows = [i for i, token in enumerate(ref) if token in both]
+    columns = [j for j, token in enumerate(hyp) if token in both]
+    gap = [after - j > 1 for j, after in zip(columns, [*columns[1:], len(hyp)])]
+    found = _walk([ref[i] for i in rows], [hyp[j] for j in columns], gap)
+    return {rows[i] for i in found}
+
+
+def _walk(ref: list[str], hyp: list[str], gap: list[bool]) -> set[int]:
+    """The walk over shared tokens. Every ``step``-th row is kept and the rows between are made again
+    block by block, so memory grows with the square root of the rows."""
     where = _places(hyp)
     full = (1 << len(hyp)) - 1
     step = isqrt(len(ref)) + 1
@@ -70,15 +83,23 @@ def lcs_places(ref: list[str], hyp: list[str]) -> set[int]:
     size = size_at(kept[-1], j)
     base, rows = i, []
     places = set()
+    crossing = bool(j) and gap[j - 1]
     while i and j and size:
         if i <= base:
             base = (i - 1) // step * step
             rows = rows_from(kept[base // step], base, i)
-        if ref[i - 1] == hyp[j - 1]:
+        if crossing:
+            if size_at(rows[i - 1 - base], j) == size:
+                i -= 1
+            else:
+                crossing = False
+        elif ref[i - 1] == hyp[j - 1]:
             places.add(i - 1)
             i, j, size = i - 1, j - 1, size - 1
+            crossing = bool(j) and gap[j - 1]
         elif rows[i - base] >> (j - 1) & 1 and size_at(rows[i - 1 - base], j) < size:
             j -= 1
+            crossing = bool(j) and gap[j - 1]
         else:
             i -= 1
             size = size_at(rows[i - base], j)

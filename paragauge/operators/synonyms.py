@@ -30,33 +30,32 @@ def pick_synonyms(edges: list[tuple[int, str]], ref: list[str]) -> list[int]:
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _picked(places: pa.Array, alts: pa.Array, ref: pa.Array) -> pa.Array:
     rows = zip(places.to_pylist(), alts.to_pylist(), ref.to_pylist())
-    return pa.array([pick_synonyms(list(zip(p, a)), r) for p, a, r in rows], pa.list_(pa.int64()))
+    found = [pick_synonyms(list(zip(p, a)), r) if p is not None else None for p, a, r in rows]
+    return pa.array(found, pa.list_(pa.int64()))
 
 
 def _pick(left: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Add ``_synonyms``: one plan at every size.
 
-    Spark broadcasts a small table; a larger one is joined on the word, where adaptive execution
-    splits a word that makes up many of the tokens. Only pairs with a usable alternative are grouped,
-    by their key and their own words, so that rows with the same key do not mix.
+    Words travel one by one beside a key of fixed size, never with the arrays they are from, so the
+    volume grows with the text and not with its square. Spark broadcasts a small table of synonyms; a
+    larger one is joined on the word, where adaptive execution splits a word that makes up many of the
+    tokens. The key is a digest of id, model and both arrays, so that rows with the same id do not mix, and
+    never null.
     """
+    parts = [F.to_json(F.struct("row_id", "model")), F.array_join("hyp_left", "\n"), F.array_join("ref_left", "\n")]
+    left = left.withColumn("_key", F.sha2(F.concat_ws("\n\n", *parts), 256))
     # The outer form spares a filter on the array, for which the stems would be computed twice.
-    words = left.select(*_KEY, F.posexplode_outer("hyp_left").alias("place", "word"))
+    words = left.select("_key", F.posexplode_outer("hyp_left").alias("place", "word"))
+    there = left.select("_key", F.explode_outer(F.array_distinct("ref_left")).alias("alt"))
     picked = (
         words.join(synonyms, "word")
-        .where(F.array_contains("ref_left", F.col("alt")))
-        .groupBy(*_KEY)
-        .agg(F.collect_set(F.struct("place", "alt")).alias("edges"))
-        .select(
-            *[F.col(c).alias(f"_{c}") for c in _KEY],
-            _picked("edges.place", "edges.alt", "ref_left").alias("_synonyms"),
-        )
+        .join(there.distinct(), ["_key", "alt"])
+        .groupBy("_key")
+        .agg(F.collect_set(F.struct("place", "alt")).alias("_edges"))
     )
-    same = [left[c].eqNullSafe(picked[f"_{c}"]) for c in _KEY]
-    return left.join(picked, same, "left").drop(*[f"_{c}" for c in _KEY])
-
-
-_KEY = ["row_id", "model", "hyp_left", "ref_left"]
+    found = F.when(F.col("_edges").isNotNull(), _picked("_edges.place", "_edges.alt", "ref_left"))
+    return left.join(picked, "_key", "left").withColumn("_synonyms", found).drop("_key", "_edges")
 
 
 def with_synonym_matches(matched: DataFrame, synonyms: DataFrame) -> DataFrame:

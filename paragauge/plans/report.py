@@ -40,6 +40,11 @@ def model_scores(aligned: DataFrame, synonyms: DataFrame | None = None) -> DataF
         *scoring.bleu_totals(),
         *[F.avg(r).alias(r) for r in ("rouge1", "rouge2", "rougeL", "rougeLsum")],
     )
+    return record(totals)
+
+
+def record(totals: DataFrame) -> DataFrame:
+    """The report's columns from means of scores and sums of BLEU counts."""
     full = totals.select(
         "*",
         scoring.bleu_struct().alias("bleu_scores"),

@@ -1,8 +1,8 @@
 """TSV and CSV at the edges; Parquet is the storage form inside.
 
 Files follow the usual spreadsheet rules: a header row, fields quoted with doubled quotes, line
-ends allowed inside quotes. Such a file cannot be split, so large corpora come as many files, or
-are read with ``multi_line=False`` where no field holds a line end.
+ends allowed inside quotes. One task reads such a file here; ``ranges.read_ranges`` reads a large one
+by many, and ``multi_line=False`` does where no field holds a line end.
 """
 
 from __future__ import annotations
@@ -123,14 +123,25 @@ def with_row_id(files: DataFrame, name: str = "row_id") -> DataFrame:
     path = scratch_path(spark, "numbered")
     scanned.write.parquet(path)
     placed = spark.read.schema(scanned.schema).parquet(path)
-    splits = placed.groupBy("_file", "_start").agg(F.count("*"), F.min("_at")).collect()
+    return numbered(placed, "_file", "_start", "_at", name).select(name, *files.columns)
+
+
+#: Offsets of up to so many splits are sent to every task (some 200 bytes each).
+TOLD_SPLITS = 50_000
+
+
+def numbered(placed: DataFrame, file: str, start: str, at: str, name: str) -> DataFrame:
+    """Rows numbered by file name, split and place; the places ``at`` of a split have no gaps.
+
+    Few offsets are told to every task, so that no text is shuffled; more are joined.
+    """
+    splits = placed.groupBy(file, start).agg(F.count("*"), F.min(at)).collect()
     rows = sorted(map(tuple, splits))
     before = [0, *accumulate(n for _, _, n, _ in rows)]
-    offsets = spark.createDataFrame(
-        [(file, start, offset - at) for (file, start, _, at), offset in zip(rows, before)],
-        "_file string, _start bigint, _shift bigint",
-    )
-    # A few numbers per split: told to every task, so that no text is shuffled at any size.
-    return placed.join(F.broadcast(offsets), ["_file", "_start"]).select(
-        (F.col("_at") + F.col("_shift")).alias(name), *files.columns
+    offsets = placed.sparkSession.createDataFrame(
+        [(path, first, offset - place) for (path, first, _, place), offset in zip(rows, before)],
+        f"{file} string, {start} bigint, _shift bigint",
     )
+    offsets = F.broadcast(offsets) if len(rows) <= TOLD_SPLITS else offsets.hint("merge")
+    found = placed.join(offsets, [file, start]).withColumn(name, F.col(at) + F.col("_shift"))
+    return found.select(name, *[c for c in placed.columns if c not in (file, start, at)])
