@@ -414,7 +414,7 @@ def labelled_pages(n: int = 480, seed: int = 1) -> Iterator[str]:
         parts = [pick([head, head, f"<header>{head}</header>", ""])]
         for _ in range(some.randint(1, 14)):
             parts.append(main_part())
-            if some.random() < 0.07:
+            if some.random() < 0.14:
                 parts.append(pick([advert, related, side, notice, form])())
         if some.random() < 0.15:
             parts.append(pick([comments, related, form])())
