@@ -30,7 +30,7 @@ from paragauge.session import scratch_path
 
 TRIE_BYTES = 64 << 20
 BUFFER_BYTES = 32 << 20
-#: The same where whole rows are held, with what an entry takes beside its row; and rows sent at once.
+#: The same where whole rows are held; what an entry takes beside its text or row; rows sent at once.
 ROW_BUFFER_BYTES, ENTRY_BYTES, OUTPUT_BYTES = 8 << 20, 400, 2 << 20
 BUCKETS = 1 << 16
 LOWER = bytes(W.LOWER.tolist())
@@ -125,7 +125,7 @@ class Trie:
 
 
 def merged(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Copies merged inside each task, within a buffer of BUFFER_BYTES of different texts.
+    """Copies merged inside each task, within a buffer of BUFFER_BYTES of different texts and entries.
 
     Two kinds of rows: one per input row with its hash and stand-in (``task``, ``rep``), and one per
     stand-in with the text, its largest id and number of rows.
@@ -183,7 +183,7 @@ def merged(docs: DataFrame, key: str, text: str) -> DataFrame:
                     entry = seen.get(sha)
                     if entry is None:
                         seen[sha] = entry = [one, 0, norm, first + len(seen)]
-                        held += len(norm)
+                        held += len(norm) + ENTRY_BYTES
                     elif rank(one) > rank(entry[0]):
                         entry[0] = one
                     entry[1] += 1
