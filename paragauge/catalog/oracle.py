@@ -1,8 +1,7 @@
 """DuckDB twins of the registered queries, written independently of the Spark code.
 
 Each statement starts from the given tables. Named parts below are common table expressions;
-``sql(parts, select)`` puts the needed ones in front. Not here because SQL cannot state them
-over whole tables: ``rouge_lsum`` and ``meteor_synonym`` (checked by brute force in the tests).
+``sql(parts, select)`` puts the needed ones in front.
 """
 
 from __future__ import annotations
@@ -163,6 +162,54 @@ rl AS (SELECT row_id, model, lcs, CASE WHEN lcs = 0 THEN 0.0
   FROM tk JOIN (SELECT row_id, model, max(len(e)) AS lcs FROM ends GROUP BY ALL)
     USING (row_id, model))"""
 
+# -- ROUGE-Lsum ---------------------------------------------------------------------------
+# Sentence by sentence the same ends, kept for every step; a walk back over them says which reference
+# tokens are in a subsequence, and tokens of the union count once on either side.
+
+LSUM = r"""sides AS MATERIALIZED (SELECT row_id, model,
+    list_filter(list_transform(string_split(regexp_replace(lower(target), '[^a-z0-9\n]+', ' ', 'g'), chr(10)),
+      lambda x: list_filter(string_split(x, ' '), lambda t: t <> '')), lambda x: len(x) > 0) AS rl,
+    list_filter(list_transform(string_split(regexp_replace(lower(answer), '[^a-z0-9\n]+', ' ', 'g'), chr(10)),
+      lambda x: list_filter(string_split(x, ' '), lambda t: t <> '')), lambda x: len(x) > 0) AS hl
+  FROM answers),
+rt AS MATERIALIZED (SELECT row_id, model, si, unnest(r) AS w, generate_subscripts(r, 1) AS j
+  FROM (SELECT row_id, model, unnest(rl) AS r, generate_subscripts(rl, 1) AS si FROM sides)),
+ht AS MATERIALIZED (SELECT row_id, model, sj, unnest(h) AS w, generate_subscripts(h, 1) AS i, len(h) AS m
+  FROM (SELECT row_id, model, unnest(hl) AS h, generate_subscripts(hl, 1) AS sj FROM sides)),
+spots AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY row_id, model, si, sj ORDER BY j) AS step
+  FROM (SELECT row_id, model, si, sj, j, max(m) AS m, list(i ORDER BY i) AS p
+        FROM rt JOIN ht USING (row_id, model, w) GROUP BY ALL)),
+grown AS (
+  SELECT DISTINCT row_id, model, si, sj, 0::BIGINT AS step, []::BIGINT[] AS e FROM spots
+  UNION ALL
+  SELECT x.row_id, x.model, x.si, x.sj, x.step + 1,
+    list_transform(e, lambda v, k: coalesce(least(v, list_min(list_filter(p,
+        lambda q: q <= v AND q > coalesce(e[k - 1], 0)))), v))
+    || CASE WHEN p[-1] > coalesce(e[-1], 0)
+       THEN [list_min(list_filter(p, lambda q: q > coalesce(e[-1], 0)))] ELSE [] END
+  FROM grown x JOIN spots y ON y.row_id = x.row_id AND y.model = x.model AND y.si = x.si AND y.sj = x.sj
+    AND y.step = x.step + 1),
+cells AS MATERIALIZED (SELECT s.row_id, s.model, s.si, s.sj, s.step, j, p, g.e AS e, b.e AS up
+  FROM spots s JOIN grown g USING (row_id, model, si, sj, step)
+  JOIN grown b ON b.row_id = s.row_id AND b.model = s.model AND b.si = s.si AND b.sj = s.sj AND b.step = s.step - 1),
+walk AS (
+  SELECT row_id, model, si, sj, max(step) AS step, max(m) AS c, NULL::BIGINT AS hit FROM spots GROUP BY ALL
+  UNION ALL
+  SELECT row_id, model, si, sj, CASE WHEN taken OR NOT lefts THEN step - 1 ELSE step END,
+    CASE WHEN taken OR lefts THEN c - 1 ELSE c END, CASE WHEN taken THEN j END
+  FROM (SELECT x.*, y.j, list_contains(p, c) AS taken,
+          len(list_filter(e, lambda v: v <= x.c - 1)) > len(list_filter(up, lambda v: v <= x.c)) AS lefts
+        FROM walk x JOIN cells y USING (row_id, model, si, sj, step) WHERE x.c > 0)),
+united AS (SELECT row_id, model, w, count(*) AS n
+  FROM (SELECT DISTINCT row_id, model, si, hit AS j FROM walk WHERE hit IS NOT NULL) JOIN rt USING (row_id, model, si, j)
+  GROUP BY ALL),
+lsum AS (SELECT row_id, model, CASE WHEN hits IS NULL THEN 0.0
+    ELSE 2.0 * (hits / hn) * (hits / rn) / (hits / hn + hits / rn) END AS s
+  FROM (SELECT row_id, model, len(flatten(rl)) AS rn, len(flatten(hl)) AS hn FROM sides)
+  LEFT JOIN (SELECT row_id, model, sum(least(u.n, h.n)) AS hits FROM united u
+    JOIN (SELECT row_id, model, w, count(*) AS n FROM ht GROUP BY ALL) h USING (row_id, model, w) GROUP BY ALL)
+  USING (row_id, model))"""
+
 # -- METEOR -------------------------------------------------------------------------------
 
 VOWEL = "^(?:[aeiou]|[^aeiou][^aeiouy]*[aeiouy])"
@@ -254,6 +301,25 @@ rsk AS (SELECT *, row_number() OVER (PARTITION BY row_id, model, s ORDER BY i DE
 found AS (SELECT * FROM exact UNION ALL
   SELECT hsk.row_id, hsk.model, hsk.i, rsk.i FROM hsk JOIN rsk USING (row_id, model, s, k))"""
 
+# The words left over after two stages, from the end: each takes the last free one it may stand for.
+SYNONYM_STAGE = """hl AS (SELECT hs.* FROM hs ANTI JOIN stemmed m
+  ON m.row_id = hs.row_id AND m.model = hs.model AND m.hi = hs.i),
+rest AS (SELECT rs.* FROM rs ANTI JOIN stemmed m
+  ON m.row_id = rs.row_id AND m.model = rs.model AND m.ri = rs.i),
+may AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY row_id, model ORDER BY i DESC) AS step
+  FROM (SELECT hl.row_id, hl.model, hl.i, list(DISTINCT rest.i) AS p
+        FROM hl JOIN syn ON syn.word = hl.s JOIN rest
+          ON rest.row_id = hl.row_id AND rest.model = hl.model AND rest.s = syn.alt GROUP BY ALL)),
+picks AS (
+  SELECT DISTINCT row_id, model, 0::BIGINT AS step, NULL::BIGINT AS hi, NULL::BIGINT AS ri, []::BIGINT[] AS used FROM may
+  UNION ALL
+  SELECT row_id, model, step, hi, ri, CASE WHEN ri IS NULL THEN used ELSE used || [ri] END
+  FROM (SELECT y.row_id, y.model, y.step, y.i AS hi, x.used,
+          list_max(list_filter(y.p, lambda q: NOT list_contains(x.used, q))) AS ri
+        FROM picks x JOIN may y ON y.row_id = x.row_id AND y.model = x.model AND y.step = x.step + 1)),
+found AS (SELECT * FROM stemmed UNION ALL
+  SELECT row_id, model, hi, ri FROM picks WHERE ri IS NOT NULL)"""
+
 EXACT_ONLY = "found AS (SELECT * FROM exact)"
 
 METEOR = """brk AS (SELECT row_id, model, CASE WHEN hi = lag(hi) OVER o + 1 AND ri = lag(ri) OVER o + 1
@@ -294,6 +360,10 @@ def sql(parts: list[str], select: str) -> str:
 SCORED = [PAIRS, PREDS, ANSWERS]
 BLEU_PARTS = [*SCORED, tokens(tok_13a), OVERLAP, BLEU]
 ROUGE_PARTS = [*SCORED, tokens(tok_rouge), OVERLAP, ROUGE_N]
+LEARNED = """syn AS MATERIALIZED (SELECT b.e AS word, a.e AS alt, sum(b.q * a.p) AS p
+  FROM (SELECT f, e, n / sum(n) OVER (PARTITION BY e) AS q FROM t5) b
+  JOIN (SELECT f, e, p FROM t5 WHERE p >= 0.02) a USING (f)
+  WHERE b.q >= 0.02 AND a.e <> b.e GROUP BY ALL HAVING sum(b.q * a.p) >= 0.02)"""
 METEOR_PARTS = [*SCORED, tokens(tok_words), STEMS, EXACT, STEM_STAGE, METEOR]
 
 
@@ -314,6 +384,8 @@ METRICS = [
   FROM m_acc JOIN m_meteor USING (model) JOIN m_bleu USING (model) JOIN m_rl USING (model))""",
 ]
 
+SUMMARY = nested("m_lsum", [*SCORED, LSUM], "SELECT model, avg(s) AS rouge_lsum FROM lsum GROUP BY ALL")
+
 MELTED = """melted AS (SELECT model, variable, value FROM metrics
   UNPIVOT (value FOR variable IN (meteor, bleu_1, rouge_l)))"""
 
@@ -437,6 +509,9 @@ ORACLE: dict[str, str] = {
     "rouge2": sql(ROUGE_PARTS, "SELECT row_id, model, round(f, 6) AS rouge2 FROM rn WHERE n = 2"),
     "rouge_l": sql([*SCORED, tokens(tok_rouge), ROUGE_L],
                    'SELECT row_id, model, lcs, round(f, 6) AS "rougeL" FROM rl'),
+    "rouge_lsum": sql([*SCORED, tokens(tok_rouge), ROUGE_L, LSUM],
+                      """SELECT row_id, model, round(f, 6) AS "rougeL", round(s, 6) AS "rougeLsum"
+      FROM rl JOIN lsum USING (row_id, model)"""),
     "rouge_mean": sql(METRICS[3:5], """SELECT model, round(rouge1, 6) AS rouge1,
       round(rouge2, 6) AS rouge2, round(rouge_l, 6) AS "rougeL" FROM m_rn JOIN m_rl USING (model)"""),
     "bootstrap_ci": sql([*ROUGE_PARTS, f"""drawn AS (SELECT model, f, rep, {_weight} AS weight
@@ -453,20 +528,22 @@ ORACLE: dict[str, str] = {
     "meteor_corpus": sql(METEOR_PARTS, "SELECT model, round(avg(meteor), 6) AS meteor FROM me GROUP BY ALL"),
     "metrics_report": sql(METRICS, """SELECT model, round(accuracy, 6) AS accuracy,
       round(meteor, 6) AS meteor, round(bleu_1, 6) AS bleu_1, round(rouge_l, 6) AS rouge_l FROM metrics"""),
-    "metrics_struct": sql(METRICS, f"""SELECT model, round(accuracy, 6) AS accuracy,
+    "metrics_struct": sql([*METRICS, SUMMARY], f"""SELECT model, round(accuracy, 6) AS accuracy,
       round(meteor, 6) AS meteor, round(bleu, 6) AS bleu, {BLEU_FIELDS},
-      round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rouge_l, 6) AS "rougeL"
-      FROM metrics JOIN m_bleu USING (model) JOIN m_rn USING (model)"""),
-    "metrics_merged": sql(METRICS, f"""SELECT model, round(accuracy, 6) AS accuracy,
+      round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rouge_l, 6) AS "rougeL",
+      round(rouge_lsum, 6) AS "rougeLsum"
+      FROM metrics JOIN m_bleu USING (model) JOIN m_rn USING (model) JOIN m_lsum USING (model)"""),
+    "metrics_merged": sql([*METRICS, SUMMARY], f"""SELECT model, round(accuracy, 6) AS accuracy,
       round(meteor, 6) AS meteor, round(bleu, 6) AS bleu, {BLEU_FIELDS},
-      round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rouge_l, 6) AS "rougeL"
-      FROM metrics JOIN m_bleu USING (model) JOIN m_rn USING (model)"""),
+      round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rouge_l, 6) AS "rougeL",
+      round(rouge_lsum, 6) AS "rougeLsum"
+      FROM metrics JOIN m_bleu USING (model) JOIN m_rn USING (model) JOIN m_lsum USING (model)"""),
     "word_translations": sql([PAIRS, TOGETHER, *EM_ROUNDS], """SELECT f, e, round(n, 6) AS n, round(p, 6) AS p
       FROM t5 WHERE n >= 0.5"""),
-    "learned_synonyms": sql([PAIRS, TOGETHER, *EM_ROUNDS], """SELECT b.e AS word, a.e AS alt, round(sum(b.q * a.p), 6) AS p
-      FROM (SELECT f, e, n / sum(n) OVER (PARTITION BY e) AS q FROM t5) b
-      JOIN (SELECT f, e, p FROM t5 WHERE p >= 0.02) a USING (f)
-      WHERE b.q >= 0.02 AND a.e <> b.e GROUP BY ALL HAVING sum(b.q * a.p) >= 0.02"""),
+    "learned_synonyms": sql([PAIRS, TOGETHER, *EM_ROUNDS, LEARNED],
+                            "SELECT word, alt, round(p, 6) AS p FROM syn"),
+    "meteor_synonym": sql([*SCORED, TOGETHER, *EM_ROUNDS, LEARNED, tokens(tok_words), STEMS, EXACT,
+                           STEM_STAGE.replace("found AS", "stemmed AS"), SYNONYM_STAGE, METEOR], METEOR_ROWS),
     "metrics_describe": sql(METRICS, "\nUNION ALL ".join(
         f"SELECT '{name}' AS statistic, " + ", ".join(
             f"round({form.format(c=c)}, 6) AS {c}" for c in ("accuracy", "meteor", "bleu_1", "rouge_l")

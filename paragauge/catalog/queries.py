@@ -432,14 +432,8 @@ def metrics_wide(spark, sf_dir):
 
 @query
 def metrics_struct(spark, sf_dir):
-    """The nested record, flattened (with ``rougeLsum`` in ``metrics_record``)."""
-    return _flat(report.metrics(fx.pairs(spark, sf_dir), fx.predictions(spark, sf_dir)))
-
-
-@query
-def metrics_record(spark, sf_dir):
     """The whole nested record, flattened."""
-    return _flat(report.metrics(fx.pairs(spark, sf_dir), fx.predictions(spark, sf_dir)), summary=True)
+    return _flat(report.metrics(fx.pairs(spark, sf_dir), fx.predictions(spark, sf_dir)))
 
 
 PARTS = 3
@@ -458,8 +452,8 @@ def metrics_merged(spark, sf_dir):
     return _flat(states.report(states.read_states(spark, path)))
 
 
-def _flat(full: DataFrame, summary: bool = False) -> DataFrame:
-    record, scores = "all_metrics", ["rouge1", "rouge2", "rougeL"] + ["rougeLsum"] * summary
+def _flat(full: DataFrame) -> DataFrame:
+    record, scores = "all_metrics", ["rouge1", "rouge2", "rougeL", "rougeLsum"]
     return full.select(
         "model",
         *[F.round(f"{record}.{c}", 6).alias(c) for c in ("accuracy", "meteor")],
