@@ -35,12 +35,18 @@ URL_RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Listed sites: hosts with one of these labels are blocked where no rule fits.
-SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: Listed sites, blocked where no rule fits: hosts whose pages are shorter than this on average.
+THIN = 4000
+
+
+def thin_sites(pages: DataFrame) -> DataFrame:
+    hosts = pages.groupBy(url_cascade.host(F.col("url")).alias("host"))
+    return hosts.agg(F.avg(F.length("html")).alias("size")).where(F.col("size") < THIN).select("host")
 
 
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_cascade.judge(read(spark, sf_dir, "pages"), URL_RULES, SITES, ["page_id"])
+    pages = read(spark, sf_dir, "pages")
+    return url_cascade.judge(pages, URL_RULES, thin_sites(pages), ["page_id"])
 
 
 def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +160,13 @@ def _score(a: str, left: str, right: str) -> str:
 
 ORACLE: dict[str, str] = {
     "op2_url_cascade": f"""
-        WITH u AS (SELECT page_id,
+        WITH u AS (SELECT page_id, html,
             translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
             coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
         SELECT page_id, host, path, CASE {_rule("rule")} END AS rule,
-            CASE {_rule("verdict")} WHEN list_has_any(string_split(host, '.'), {SITES}) THEN 'block'
+            CASE {_rule("verdict")} WHEN host <> '' AND host IN (
+                SELECT host FROM u GROUP BY host HAVING avg(length(html)) < {THIN}) THEN 'block'
             ELSE 'allow' END AS verdict
         FROM u""",
     "op5_mixing": f"""

@@ -187,14 +187,17 @@ def with_listed(docs: DataFrame, key: Column, universe: DataFrame) -> DataFrame:
     return docs.withColumn("listed", listed(*hashed(key)))
 
 
-def judge(pages: DataFrame, rules: list[Rule], sites: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` and host, path, rule, verdict. Hosts with a label among ``sites`` are listed."""
+def judge(pages: DataFrame, rules: list[Rule], sites: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and host, path, rule, verdict. ``sites`` (host) lists hosts to block where no rule fits; case
+    does not matter there, and nulls, repeated and unknown hosts do no harm."""
     parts = pages.select(
         *[F.col(f"`{c}`") for c in keep], host(F.col("url")).alias("host"), path(F.col("url")).alias("path")
     )
-    labels = F.array(*map(F.lit, sites)) if sites else F.array().cast("array<string>")
-    universe = parts.select(F.col("host").alias("key")).distinct()
-    universe = universe.withColumn("listed", F.arrays_overlap(F.split("key", r"\."), labels))
+    hosts = parts.select(F.col("host").alias("key")).distinct()
+    named = sites.select(F.translate("host", UPPER, LOWER).alias("key"), F.lit(True).alias("listed"))
+    universe = hosts.join(named.where("key <> ''").distinct(), "key", "left").select(
+        "key", F.coalesce("listed", F.lit(False)).alias("listed")
+    )
     rule, verdict = deciding(rules, F.col("host"), F.col("path"))
     own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return with_listed(parts, F.col("host"), universe).select(

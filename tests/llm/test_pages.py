@@ -158,10 +158,19 @@ RULES = [
 )
 def test_rules_and_lists(spark, url, host, path, rule, verdict):
     pages = spark.createDataFrame([(1, url, "h")] * 2, "page_id long, url string, host string")
-    for r in U.judge(pages, RULES, ["evil"], ["page_id"]).collect():
+    sites = spark.createDataFrame([("Evil.com",), ("evil.net",), ("never.met",)], "host string")
+    for r in U.judge(pages, RULES, sites, ["page_id"]).collect():
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def test_equal_rules_and_clashing_columns(spark):
+    """Of equally long rules the earlier one decides; columns of the input may have any name."""
+    pages = spark.createDataFrame([(1, "http://a.b/c", "r", "v")], "page_id long, url string, rule string, verdict string")
+    for rules in ([("b", "/c", "block"), ("b", "/c", "allow")], [("a.b", "/", "block"), ("b", "/c/", "allow"), ("b", "/c", "block")]):
+        (row,) = U.judge(pages, rules, spark.createDataFrame([], "host string"), ["page_id"]).collect()
+        assert row.verdict == "block"
+
+
 @pytest.mark.parametrize("listed,others,rate", [(300, 4000, None), (4000, 300, None), (50, 5000, 0.5), (0, 40, None), (40, 0, None)])
 def test_cascade_is_exact(spark, listed, others, rate):
     keys = [(f"k{i}", i < listed) for i in range(listed + others)]
@@ -177,12 +186,13 @@ def test_beyond_the_size_bound_and_empty(spark, monkeypatch):
     pages = spark.createDataFrame(
         [(i, f"http://{'evil' if i % 3 else 'good'}.h{i}.net/") for i in range(90)], "page_id long, url string"
     )
-    want = sorted(U.judge(pages, RULES, ["evil"], ["page_id"]).collect())
+    sites = spark.createDataFrame([(f"EVIL.h{i}.net",) for i in range(0, 200, 7)] * 2 + [(None,), ("",)], "host string")
+    want = sorted(U.judge(pages, RULES, sites, ["page_id"]).collect())
+    assert [r.verdict == "block" for r in want] == [i % 3 > 0 and i % 7 == 0 for i in range(90)]
     monkeypatch.setattr(U, "MAX_BYTES", 4)
-    assert sorted(U.judge(pages, RULES, ["evil"], ["page_id"]).collect()) == want
-    assert {r.verdict for r in want} == {"allow", "block"}
-    assert U.judge(pages.where("false"), RULES, ["evil"], ["page_id"]).collect() == []
-    assert {r.verdict for r in U.judge(pages, [], [], ["page_id"]).collect()} == {"allow"}
+    assert sorted(U.judge(pages, RULES, sites, ["page_id"]).collect()) == want
+    assert U.judge(pages.where("false"), RULES, sites, ["page_id"]).collect() == []
+    assert {r.verdict for r in U.judge(pages, [], sites.where("false"), ["page_id"]).collect()} == {"allow"}
 
 
 @pytest.mark.parametrize(
