@@ -353,6 +353,65 @@ def _em_round(k: int) -> str:
 EM_ROUNDS = [_em_round(k) for k in range(1, 6)]
 
 
+# -- sentences and Treebank words ---------------------------------------------------------
+
+_CLOSING = """["'')\\]}»”’]*"""
+
+
+def _pieces(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
+
+
+def _core(x: str) -> str:
+    bare = f"regexp_replace(lower({x}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}.]+$', '', 'g')"
+    return f"regexp_replace({bare}, '\\.+$', '')"
+
+
+ABBREVIATIONS = f"""bits AS (SELECT {_core("piece")} AS word,
+    regexp_matches(piece, '(?:^|[^.])\\.{_CLOSING}$')::INT AS period
+  FROM (SELECT unnest({_pieces("text")}) AS piece FROM documents)),
+seen AS (SELECT word, sum(period)::BIGINT AS a, sum(1 - period)::BIGINT AS b FROM bits GROUP BY word),
+short AS MATERIALIZED (SELECT word, a, b, -2 * (a * ln(q) + b * ln(1 - q) - a * ln(0.99::DOUBLE) - b * ln(1 - 0.99::DOUBLE))
+    * exp(-k) * (length(word) - k + 1) * pow(k, -b) AS score
+  FROM (SELECT *, length(replace(word, '.', ''))::DOUBLE AS k FROM seen
+        WHERE a > 0 AND regexp_matches(word, '\\p{{L}}') AND NOT regexp_matches(word, '\\p{{N}}')),
+    (SELECT sum(a) / sum(a + b)::DOUBLE AS q FROM seen))"""
+
+_MARKED = f"""parted AS (SELECT row_id, {_pieces("target")} AS t FROM pairs),
+ended AS (SELECT row_id, i, x, i = m OR regexp_matches(x, '[?!]{_CLOSING}$')
+    OR regexp_matches(x, '\\.{_CLOSING}$') AND NOT regexp_matches(c, '^\\p{{L}}$')
+      AND NOT regexp_matches(y, '^\\p{{Ll}}')
+      AND NOT (regexp_matches(x, '(?:^|[^.])\\.{_CLOSING}$') AND c IN (SELECT word FROM short WHERE score >= 0.3)) AS stop
+  FROM (SELECT row_id, i, len(t) AS m, t[i] AS x, coalesce(t[i + 1], '') AS y, {_core("t[i]")} AS c
+        FROM (SELECT row_id, t, unnest(range(1, len(t) + 1)) AS i FROM parted))),
+lines AS (SELECT row_id, string_agg(x || CASE WHEN i = m THEN '' WHEN stop THEN chr(10) ELSE ' ' END, '' ORDER BY i) AS marked,
+    count(*) FILTER (stop)::BIGINT AS n_sentences
+  FROM ended JOIN (SELECT row_id AS r, len(t) AS m FROM parted) ON r = row_id GROUP BY row_id)"""
+
+
+def _treebank(x: str) -> str:
+    q = "''"  # an apostrophe in SQL text
+    for old, new in (
+        ('(?m)^"', "``"), ("(``)", r" \1 "), (rf"""([ (\[{{<])("|{q}{{2}})""", r"\1 `` "),
+        (rf"""(?m)([^.])(\.)([\])}}>"{q}»”’ ]*)$""", r"\1 \2 \3 "), ("([:,])([^0-9])", r" \1 \2"),
+        ("(?m)([:,])$", r" \1 "), (r"(\.{2,})", r" \1 "), ("([;@#$%&?!])", r" \1 "),
+        (f"([^{q}]){q} ", rf"\1 {q} "), (r"([\]\[(){}<>«»“”„‘’])", r" \1 "), ("(--)", r" \1 "),
+        (f"({q}{q})", r" \1 "), ('(")', f" {q}{q} "),
+    ):
+        x = f"regexp_replace({x}, '{old}', '{new}', 'g')"
+    x = f"regexp_replace(' ' || {x} || ' ', '\\s+', '  ', 'g')"
+    for old in (
+        f"([^{q} ])({q}[sS]|{q}[mM]|{q}[dD]|{q}) ", f"([^{q} ])({q}ll|{q}LL|{q}re|{q}RE|{q}ve|{q}VE|n{q}t|N{q}T) ",
+    ):
+        x = f"regexp_replace({x}, '{old}', '\\1 \\2 ', 'g')"
+    for one, two in (
+        ("can", "not"), ("d", f"{q}ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"),
+        ("more", f"{q}n"), ("wan", "na"), (f"{q}t", "is"), (f"{q}t", "was"),
+    ):
+        x = f"regexp_replace({x}, '(?i) ({one})({two}) ', ' \\1 \\2 ', 'g')"
+    return _pieces(f"lower({x})")
+
+
 def sql(parts: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
@@ -462,6 +521,10 @@ ORACLE: dict[str, str] = {
     "predictions_store": sql([PAIRS, PREDS], """SELECT row_id, model,
       CASE WHEN model = 'org/swap' THEN source ELSE prediction END AS prediction
       FROM preds JOIN pairs USING (row_id)"""),
+    "abbreviations": sql([ABBREVIATIONS], """SELECT word, a AS with_period, b AS without, round(score, 6) AS score
+      FROM short WHERE score >= 0.3"""),
+    "treebank_words": sql([PAIRS, ABBREVIATIONS, _MARKED], f"""SELECT row_id, n_sentences, len(t) AS n_words,
+      array_to_string(t, ' ') AS words FROM (SELECT row_id, n_sentences, {_treebank("marked")} AS t FROM lines)"""),
     "bucketed_upsert": sql([PAIRS, PREDS], """SELECT row_id, model,
         CASE WHEN model = 'org/swap' AND row_id % 2 = 0 THEN source ELSE prediction END AS prediction
         FROM preds JOIN pairs USING (row_id)

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from paragauge import schemas
 from paragauge.catalog import fixtures as fx
-from paragauge.functions import text
+from paragauge.functions import text, treebank
 from paragauge.operators import (
-    bootstrap, corpus, generate, prompts, quantiles, results, scoring, translations,
+    bootstrap, corpus, generate, prompts, quantiles, results, scoring, sentences, translations,
 )
 from paragauge.plans import report, states
 from paragauge.session import scratch_path
@@ -629,6 +629,24 @@ def tokenize_words(spark, sf_dir):
     return _tokens(spark, sf_dir, text.tokenize_words)
 
 
+@query
+def abbreviations(spark, sf_dir):
+    """Words that the documents show to be abbreviations."""
+    return rounded(sentences.abbreviations(fx.texts(spark, sf_dir)), "score")
+
+
+@query
+def treebank_words(spark, sf_dir):
+    """Words of the targets by the Treebank conventions, with sentence ends by learned abbreviations."""
+    known = sentences.abbreviations(fx.texts(spark, sf_dir))
+    marked = sentences.with_sentences(fx.pairs(spark, sf_dir), known, "row_id", "target")
+    words = marked.select("row_id", "marked", treebank.treebank_words(F.col("marked")).alias("t"))
+    return words.select(
+        "row_id", (F.size(F.split("marked", "\n"))).cast("long").alias("n_sentences"),
+        F.size("t").cast("long").alias("n_words"), F.array_join("t", " ").alias("words"),
+    )
+
+
 @query
 def ngrams(spark, sf_dir):
     """All n-grams of all documents, as one digest per document and order."""
