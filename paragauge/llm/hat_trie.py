@@ -37,9 +37,9 @@ from paragauge.session import scratch_path
 LEAST, TOP = 10, 2000
 #: A longer phrase with this share (in per cent) of a shorter one's occurrences replaces it.
 REPLACES = 50
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Phrases per container, and in all containers of a task (about 110 bytes each).
-CONTAINER, HELD = 1 << 14, 400_000
+CONTAINER, HELD = 1 << 14, 250_000
 #: Words of text per merging partition: their phrases, packed, are some 10 MB.
 RANGE_WORDS = 1 << 20
 NUMBERED = 4096  # hash classes in which words are numbered
