@@ -9,7 +9,7 @@ from paragauge.operators import quantiles
 def table(spark):
     rng = np.random.default_rng(5)
     rows = [("a", float(v), float(v) ** 9) for v in rng.random(400)]
-    rows += [("b", float(v), float(10.0 ** rng.integers(-300, 300))) for v in rng.integers(0, 4, 301)]
+    rows += [("b", float(v), float(10.0 ** rng.integers(-9, 9))) for v in rng.integers(0, 4, 301)]
     rows += [("c", 0.25, None), ("c", float("nan"), -1.5), (None, -7.0, 1e308), (None, 3.0, -1e308)]
     rows += [("d", v, 0.1 + 0.2) for v in (float("inf"), 1.0, 2.0, float("-inf"), 5.0)]
     return rows, spark.createDataFrame(rows, "model string, x double, y double")
