@@ -31,7 +31,7 @@ def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
-    ("example.org", "/en/1", "allow"),
+    ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
