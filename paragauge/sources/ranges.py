@@ -32,6 +32,10 @@ from paragauge.sources.delimited import TAB, numbered
 
 #: Up to so many ranges their states are sent to every task (some 200 bytes each).
 TOLD_RANGES = 50_000
+#: Ranges that are asked for grow with the files beyond so many, until they have LARGEST_RANGE bytes: each one
+#: costs a task in both passes and a stored file.
+MOST_RANGES = 256
+LARGEST_RANGE = 128 << 20
 
 _ENDS = "file string, start long, from_outside long, from_inside long, touches boolean"
 _RECORD = "file string, start long, place long, owner long, line string"
@@ -167,12 +171,13 @@ def read_ranges(
     """The rows that ``read_delimited`` gives, by as many tasks as the files have byte ranges.
 
     With ``row_id`` they are numbered 0, 1, 2, ... by file name and place. ``split_bytes`` asks for
-    smaller ranges than the session's ``spark.sql.files.maxPartitionBytes``. Blank lines between records
+    smaller ranges than the session's ``spark.sql.files.maxPartitionBytes``; files of more than
+    ``MOST_RANGES`` such ranges are read by larger ones. Blank lines between records
     are skipped; the first record of each file is its header. The records are stored in the shared
     scratch folder.
     """
     path_of = scratch_path(spark, "records")
-    with _splits(spark, split_bytes):
+    with _splits(spark, split_bytes and _range_bytes(spark, path, split_bytes)):
         lines = _lines(spark, path)
         states_path = scratch_path(spark, "ranges")
         range_states(_ends(lines, sep)).write.parquet(states_path)
@@ -207,6 +212,12 @@ def read_ranges(
     return numbered(parsed.select("file", "start", "place", *fields), "file", "start", "place", row_id)
 
 
+def _range_bytes(spark: SparkSession, path: str, asked: int) -> int:
+    """The size asked for, or the one that gives ``MOST_RANGES`` ranges. Only lengths of files are read."""
+    length = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return max(asked, min(-(-length // MOST_RANGES), LARGEST_RANGE))
+
+
 class _splits:
     """Smaller byte ranges for the scans that run inside."""
 

@@ -92,3 +92,17 @@ def test_empty_and_missing_parts(spark, tmp_path):
     (tmp_path / "c.tsv").write_text('a\tb\tc\n\n"NA"\t""\tNone')
     got = ranges.read_ranges(spark, str(tmp_path), THREE, na="pandas", row_id="n").collect()
     assert [tuple(r) for r in got] == [(0, None, None, None)]
+
+
+def test_large_files_have_a_bounded_number_of_ranges(spark, tmp_path, monkeypatch):
+    """Twice the file may not take twice the tasks for ever; the rows stay the same."""
+    (tmp_path / "one.tsv").write_bytes(written(4, "\t", 3000).encode())
+    want, counts, states = rows(delimited.read_delimited(spark, str(tmp_path), THREE)), [], ranges.range_states
+
+    def counted(ends):
+        counts.append(ends.count())
+        return states(ends)
+
+    monkeypatch.setattr(ranges, "range_states", counted)
+    assert rows(ranges.read_ranges(spark, str(tmp_path), THREE, split_bytes=60)) == want
+    assert 100 < counts[0] <= ranges.MOST_RANGES
