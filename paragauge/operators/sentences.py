@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paragauge.session import scratch_path
+
 # Fixed values of the published method: share of periods behind an abbreviation, and the least score.
 BEHIND, LEAST = 0.99, 0.3
 CLOSING = r"""["')\]}»”’]*"""
@@ -26,17 +28,23 @@ def _core(piece: Column) -> Column:
 
 
 def _has_period(piece: Column) -> Column:
-    return F.rlike(piece, F.lit(rf"(?:^|[^.])\.{CLOSING}$"))
+    return F.contains(piece, F.lit(".")) & F.rlike(piece, F.lit(rf"(?:^|[^.])\.{CLOSING}$"))
 
 
 def abbreviations(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``(word, with_period, without, score)`` of the abbreviations in all texts."""
+    """``(word, with_period, without, score)`` of the abbreviations in all texts.
+
+    Pieces are counted as they stand, so that the patterns run once per different piece. The counts of
+    words are a stored table: the totals and the words are read from it, not from the texts again.
+    """
     pieces = texts.select(F.explode(_pieces(F.col(text))).alias("piece"))
-    counted = (
-        pieces.select(_core(F.col("piece")).alias("word"), _has_period(F.col("piece")).cast("long").alias("period"))
-        .groupBy("word")
-        .agg(F.sum("period").alias("with_period"), F.sum(1 - F.col("period")).alias("without"))
-    )
+    times = pieces.groupBy("piece").agg(F.count("*").alias("times"))
+    ends = F.when(_has_period(F.col("piece")), F.col("times")).otherwise(F.lit(0))
+    path = scratch_path(texts.sparkSession, "word-counts")
+    times.select(_core(F.col("piece")).alias("word"), "times", ends.alias("ends")).groupBy("word").agg(
+        F.sum("ends").alias("with_period"), F.sum(F.col("times") - F.col("ends")).alias("without")
+    ).write.parquet(path)
+    counted = texts.sparkSession.read.schema("word string, with_period long, without long").parquet(path)
     whole = counted.agg(F.sum("with_period").alias("periods"), F.sum(F.col("with_period") + F.col("without")).alias("n"))
     words = counted.where(F.rlike("word", F.lit(r"\p{L}")) & ~F.rlike("word", F.lit(r"\p{N}")) & (F.col("with_period") > 0))
     # One row of totals goes to every task.
@@ -63,10 +71,12 @@ def with_sentences(df: DataFrame, known: DataFrame, key: str, text: str, name: s
     kept = ended.join(known.select("word").distinct(), "word", "left_semi").groupBy(key).agg(F.collect_set("at").alias("_kept"))
     joined = df.join(kept, key, "left")
     own = _pieces(F.col(text))
+    # Beside each piece the one after it: looked up by place, the text would be split again for every piece.
+    both = F.zip_with(own, F.slice(own, 2, 1 << 30), lambda piece, after: F.struct(piece.alias("piece"), after.alias("after")))
     none = F.array().cast("array<int>")
 
-    def marked(piece: Column, at: Column) -> Column:
-        after = F.get(own, at + 1)
+    def marked(pair: Column, at: Column) -> Column:
+        piece, after = pair.getField("piece"), pair.getField("after")
         strong = F.rlike(piece, F.lit(rf"[?!]{CLOSING}$"))
         initial = F.rlike(_core(piece), F.lit(r"^\p{L}$"))
         lower = F.coalesce(F.rlike(after, F.lit(r"^\p{Ll}")), F.lit(False))
@@ -74,5 +84,5 @@ def with_sentences(df: DataFrame, known: DataFrame, key: str, text: str, name: s
         period = F.rlike(piece, F.lit(rf"\.{CLOSING}$")) & ~short & ~initial & ~lower
         return F.concat(piece, F.when(strong | period, F.lit("\n")).otherwise(F.lit(" ")))
 
-    lines = F.trim(F.array_join(F.transform(own, marked), ""), F.lit(" \n"))
+    lines = F.trim(F.array_join(F.transform(both, marked), ""), F.lit(" \n"))
     return joined.withColumn(name, lines).drop("_kept")

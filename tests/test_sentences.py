@@ -83,3 +83,29 @@ def test_words(spark, text, want):
     if "i.e" in want:  # an inner period stays, whatever follows
         want = want.replace("i.e .", "i.e.")
     assert " ".join(words) == want
+
+
+def test_counts_are_made_once_per_piece(spark, monkeypatch):
+    """The patterns run behind the count of the pieces, and the texts are read once."""
+    df = spark.createDataFrame([("He met Dr. Who. Dr. Who left.",)] * 40 + [(None,), ("",)], "text string")
+    found = sentences.abbreviations(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "Generate" not in plan
+    assert found.collect() == sentences.abbreviations(df.repartition(3)).collect()
+
+
+def test_next_piece_is_not_looked_up_in_the_text(spark):
+    """A text is split a bounded number of times, not again for each of its pieces."""
+    import time
+
+    known = spark.createDataFrame([], "word string")
+
+    def seconds(n: int) -> float:
+        df = spark.createDataFrame([(1, "Ab cd. " * n)], "k long, t string")
+        start = time.perf_counter()
+        (row,) = sentences.with_sentences(df, known, "k", "t").collect()
+        assert row.marked == "\n".join(["Ab cd."] * n)
+        return time.perf_counter() - start
+
+    seconds(50)
+    assert seconds(20_000) < 20
