@@ -124,3 +124,13 @@ def test_porter_known_stems():
         "geologies": "geolog", "died": "die", "cried": "cri",
     }
     assert {w: porter.stem(w) for w in known} == known
+
+
+def test_rouge_lines_are_those_of_one_pattern(spark):
+    """Line by line gives what one pattern over the text gives, in a plan without that pattern."""
+    texts = ["", None, "\n", " a\n\nB-c!\n", "é9\r\n\tX", "A.\n. b", "x\n", "İß\x0bq z", "--\n--"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    lines = text.rouge_lines(F.col("t"))
+    got = df.select(lines.alias("a"), F.regexp_replace(F.lower("t"), r"[^a-z0-9\n]+", " ").alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert "[^a-z0-9\\n]+" not in str(lines) and "regexp_replace" not in str(lines)
