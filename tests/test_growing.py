@@ -2,8 +2,11 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +139,63 @@ def test_translations_equal_plain_em(spark):
     assert all(abs(got[k][0] - n[k]) < 1e-9 and abs(got[k][1] - p[k]) < 1e-9 for k in n)
 
 
+def many_words(n, width):
+    word = lambda side, i, k: f"{side}{(i * 7 + k * k) % (3 * width)}"
+    return [(" ".join(word("s", i, k) for k in range(width)), " ".join(word("t", i, k) for k in range(width))) for i in range(n)]
+
+
+def test_translations_store_no_word_pairs(spark):
+    """What is stored grows with the text, not with the word pairs, which are a hundred times as many."""
+    segments = many_words(60, 120)
+    rows = [(i, s, t) for i, (s, t) in enumerate(segments)]
+    pairs = spark.createDataFrame(rows, "row_id long, source string, target string")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("*"))
+    got = {(r.f, r.e): r.n for r in translations.translations(pairs, rounds=2).collect()}
+    n, _ = plain_em(segments, 2)
+    assert got.keys() == n.keys() and all(abs(got[k] - n[k]) < 1e-9 for k in n)
+    new = [f for d in set(folder.glob("*")) - before for f in d.rglob("*.parquet")]
+    assert new and sum(f.stat().st_size for f in new) < 2 * sum(len(s) + len(t) for s, t in segments)
+
+
+def test_translations_do_not_depend_on_blocks(spark, monkeypatch):
+    monkeypatch.setattr(translations, "SMALL_BLOCK_PAIRS", 4)
+    rows = [(i % 7, s, t) for i, (s, t) in enumerate(SEGMENTS)] + [(None, "das", "the")]
+    pairs = spark.createDataFrame(rows, "row_id long, source string, target string")
+    merged = [[" ".join(r[k] for r in rows if r[0] == i) for k in (1, 2)] for i in range(7)]
+    n, p = plain_em(merged, 3)
+    got = {(r.f, r.e): (r.n, r.p) for r in translations.translations(pairs, rounds=3).collect()}
+    assert got.keys() == n.keys()
+    assert all(abs(got[k][0] - n[k]) < 1e-9 and abs(got[k][1] - p[k]) < 1e-9 for k in n)
+
+
+def test_units_of_any_size_give_the_same_links(monkeypatch):
+    sides = [(sorted(Counter(s.split()).items()), sorted(Counter(t.split()).items())) for s, t in many_words(30, 8)]
+    numbers = {f: i for i, f in enumerate(sorted({f for source, _ in sides for f, _ in source}))}
+    table = pa.table(
+        {
+            "ids": pa.array([[numbers[f] for f, _ in source] for source, _ in sides], pa.list_(pa.int32())),
+            "cfs": pa.array([[c for _, c in source] for source, _ in sides], pa.list_(pa.int32())),
+            "es": pa.array([[e for e, _ in target] for _, target in sides], pa.list_(pa.string())),
+            "ces": pa.array([[c for _, c in target] for _, target in sides], pa.list_(pa.int32())),
+        }
+    )
+    totals = SimpleNamespace(value=[np.linspace(1, 2, len(numbers)), np.linspace(2, 1, len(numbers))])
+
+    def links():
+        batches = translations._links(totals, len(numbers))(iter(table.to_batches()))
+        rows = pa.Table.from_batches(batches).to_pylist()
+        sums = translations._sums(totals, len(numbers))(table)["sums"].to_pylist()
+        return {(r["id"], r["e"]): (r["n"], r["p"], r["back"]) for r in rows}, np.frombuffer(b"".join(sums))
+
+    whole, sums = links()
+    for size in (1, 20, 100):
+        monkeypatch.setattr(translations, "UNIT_PAIRS", size)
+        parts, part_sums = links()
+        assert parts.keys() == whole.keys() and np.allclose(part_sums, sums, atol=1e-12)
+        assert all(np.allclose(parts[k], whole[k], atol=1e-12) for k in whole)
+
+
 def test_words_of_one_source_become_synonyms(spark):
     pairs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(SEGMENTS * 3)], "row_id long, source string, target string")
     found = {(r.word, r.alt): r.p for r in translations.learned_synonyms(pairs, rounds=8).collect()}
