@@ -300,4 +300,5 @@ def pivoted(table: DataFrame, least: float = LEAST) -> DataFrame:
 
 def learned_synonyms(pairs: DataFrame, rounds: int = ROUNDS, least: float = LEAST, keep: float = LEAST) -> DataFrame:
     """``(word, alt, p)`` with p of ``keep`` or more: a synonym table for METEOR."""
-    return pivoted(translations(pairs, rounds), least).where(F.col("p") >= keep)
+    links, _ = _learned(pairs, rounds)
+    return _pivot(links, "id", least).where(F.col("p") >= keep)
