@@ -209,6 +209,17 @@ def test_words_of_one_source_become_synonyms(spark):
     assert scores.first().matched in (1, 2)
 
 
+def test_learned_synonyms_group_pivots_only(spark):
+    """Shares of source words come with the links: the whole table is neither grouped nor joined for them."""
+    pairs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(SEGMENTS)], "row_id long, source string, target string")
+    learned = translations.learned_synonyms(pairs, rounds=3)
+    plan = learned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("Join ") == 1
+    plain = translations.pivoted(translations.translations(pairs, rounds=3)).where(F.col("p") >= translations.LEAST)
+    got, want = ({(r.word, r.alt): r.p for r in df.collect()} for df in (learned, plain))
+    assert got and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_synonym_plan_carries_no_arrays(spark):
     """Neither a join nor a group has an array of words among its keys or between its sides."""
     pairs, predictions = scored(spark, 5)
