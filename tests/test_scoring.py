@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from paragauge.functions import overlap, text
 from paragauge.functions.lcs import lcs_size, summary_hits
 from paragauge.functions.porter import stem
-from paragauge.operators import scoring
+from paragauge.operators import scoring, synonyms
 from paragauge.operators.bootstrap import bootstrap_ci
 from paragauge.operators.synonyms import pick_synonyms
 
@@ -210,6 +210,39 @@ def test_meteor_synonyms(spark, aligned, pairs):
         assert row == pytest.approx(meteor(target, answer, [EXACT, STEM, stage]), abs=1e-12)
 
 
+def test_synonyms_in_many_blocks(spark, aligned, pairs, monkeypatch):
+    """Blocks of a few words give the same matches; copied and null ids do not multiply."""
+    monkeypatch.setattr(synonyms, "BLOCK_WORDS", 4)
+    table = [("cat", "dog"), ("the", "a"), ("a", "on"), ("sat", "mat"), ("on", "run"), ("on", "run"), (None, "a"), ("a", None)]
+    alternatives = {}
+    for word, alt in table:
+        alternatives.setdefault(word, {word}).add(alt)
+    stage = (str, lambda a, b: b in alternatives.get(a, {a}))
+    df = spark.createDataFrame(table, "word string, alt string")
+    rows = aligned.withColumn("row_id", F.when(F.expr("row_id % 3 <> 0"), F.col("row_id")))
+    got = scoring.with_meteor(rows.unionAll(rows), synonyms=df).groupBy("target", "answer", "matched", "chunks").count().collect()
+    want = Counter()
+    for target, answer in pairs:
+        want[target, answer, *meteor(target, answer, [EXACT, STEM, stage])[:2]] += 2
+    assert {tuple(r)[:4]: r["count"] for r in got} == want
+
+
+def test_alternatives_do_not_meet_rows_one_by_one(spark):
+    """No join or group has a row's key beside an alternative: these are many times the text."""
+    rows = [(i, "m", "w v x", "a b c") for i in range(20)]
+    df = spark.createDataFrame(rows, "row_id long, model string, target string, prediction string")
+    table = spark.createDataFrame([(w, a) for w in "abc" for a in "vwxyz"], "word string, alt string")
+    out = scoring.with_meteor(df, synonyms=table)
+    assert [r.matched for r in out.collect()] == [3] * 20
+    nodes, names = [out._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("Join", "Aggregate"):
+            names.append({node.output().apply(i).name() for i in range(node.output().size())})
+    assert names and not any("_key" in found and found & {"alt", "word"} for found in names)
+
+
 def test_pick_synonyms_takes_the_last_free_place():
     picked = pick_synonyms([(0, "x"), (2, "x"), (2, "y")], ["x", "y", "x"])
     assert [(p >> 32, p & 0xFFFFFFFF) for p in picked] == [(0, 0), (2, 2)]
