@@ -6,13 +6,15 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
 2. Shingle frequencies over all documents give a global order, rare shingles first. The tasks are told
    it by two tables of fixed size: a coarse class per hash slot, and a finer one for the ``HEAVY``
    most frequent shingles. Any order gives the same links; a better one gives smaller clusters.
-3. Linked sets share a shingle among their first quarter in that order (prefix). Nodes that share one
-   and are of similar size fall into one cluster; a cluster holds all links of its nodes.
-4. Clusters are packed into blocks of about ``BLOCK`` shingles. Within a block an inverted index is
-   searched for each set: its short lists are merged by a heap that skips, the long ones are probed by
-   binary search (DivideSkip), and sets that reach the needed overlap link. Lists and candidates that
-   belong to the searching set's group already are passed over, so a group of copies costs a spanning
-   tree, not pairs.
+3. Linked sets share a shingle among their first quarter in that order (prefix), and it is in the first
+   seventh of the smaller one. Nodes that share such a one and are of similar size fall into one
+   cluster; a cluster holds all links of its nodes.
+4. Clusters are packed into blocks of about ``BLOCK`` shingles. Within a cluster, sets that have too few
+   shingles in common with all others together are left out, and an inverted index is searched for
+   each of the others: the short lists of shingles rare in both sets are merged by a heap that skips,
+   and for sets met there the overlap is looked up in the long ones (DivideSkip). Links between two
+   groups are searched for from the smaller one, in lists that hold larger groups, so a group of copies
+   costs a spanning tree, not pairs.
 5. A cluster beyond a block is cut into parts. Each part is joined with itself and with the first
    part; sets that still do not belong to the cluster's largest group are then searched for in all
    parts. That is exact, and no task ever holds more than a few blocks.
@@ -49,6 +51,8 @@ HEAVY = 1 << 20
 SLOT_BITS = 27
 #: Shingles in one block of the index.
 BLOCK = 1 << 21
+#: Shingles of prefixes that a task gathers before they are told to the buckets.
+TOLD = 1 << 20
 #: Bits of the filter that keeps sets without any candidate from travelling.
 FILTER_BITS = 1 << 25
 
@@ -58,6 +62,11 @@ def least_overlap(n: int) -> int:
     return (3 * n + 3) // 4
 
 
+def overlap(n, m):
+    """Shingles that sets of n and m must share to link: ceil(3 (n + m) / 7)."""
+    return (3 * (n + m) + 6) // 7
+
+
 def linked(shared: int, n: int, m: int) -> bool:
     return 100 * shared >= 75 * (n + m - shared)
 
@@ -220,10 +229,11 @@ class Order:
         slot = keys >> np.uint64(64 - SLOT_BITS)
         shift = ((slot & np.uint64(3)) << np.uint64(1)).astype(np.uint8)
         found = self.slots[(slot >> np.uint64(2)).astype(np.int64)] >> shift & 3
-        if len(self.top):
-            half = (keys >> np.uint64(32)).astype(np.uint32)
+        fine = np.flatnonzero(found == 3)  # the others are not in the finer table
+        if len(self.top) and len(fine):
+            half = (keys[fine] >> np.uint64(32)).astype(np.uint32)
             at = np.minimum(np.searchsorted(self.top, half), len(self.top) - 1)
-            found = np.where(self.top[at] == half, self.level[at], found)
+            found[fine] = np.where(self.top[at] == half, self.level[at], 3)
         return found
 
 
@@ -261,9 +271,28 @@ def prefixes(docs: DataFrame, text: str, order: Order) -> DataFrame:
     kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 3
     names = ["node", "n", "one", "two", "bucket", "keys", "nodes", "sizes"]
 
+    def told(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, node, size = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys)
+        keys, node, size = keys[order], node[order], size[order]
+        first = node.min()
+        node = (node - first).astype(np.uint32)
+        ends = _bucketed(keys, buckets)
+        cut = list(zip(ends, ends[1:]))
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(buckets, k) for k in kinds[:4]]
+            + [pa.array(range(buckets), pa.int32())]
+            + [
+                pa.array([W.pack(keys[a:b]) for a, b in cut], pa.binary()),
+                pa.array([first.tobytes() + W.pack(node[a:b]) for a, b in cut], pa.binary()),
+                pa.array([W.pack(size[a:b]) for a, b in cut], pa.binary()),
+            ],
+            names=names,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seen = TaskContext.get().partitionId() << 33, set()
-        count = 0
+        count, waiting = 0, []
         for batch in batches:
             for part in W.slices(batch):
                 keys, bounds = shingle_sets(part.column("text"))
@@ -282,40 +311,32 @@ def prefixes(docs: DataFrame, text: str, order: Order) -> DataFrame:
                     + [_spread(one[pick], buckets), *[pa.nulls(len(pick), k) for k in kinds[5:]]],
                     names=names,
                 )
-                number = np.repeat(np.cumsum(fresh) - 1, size)
                 mine = np.repeat(fresh, size)
-                keys, number = keys[mine], number[mine]
-                if not len(keys):
-                    continue
-                rare = np.lexsort((keys, shared.value.of(keys), number))  # rare first in each set
-                keys, number = keys[rare], number[rare]
-                n = size[pick]
-                place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
-                early = place < np.repeat(n - (3 * n + 3) // 4 + 1, n)
-                keys, number = keys[early], number[early]
-                order = np.argsort(keys)
-                keys, number = keys[order], number[order]
-                ends = _bucketed(keys, buckets)
-                cut = list(zip(ends, ends[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(buckets, k) for k in kinds[:4]]
-                    + [pa.array(range(buckets), pa.int32())]
-                    + [
-                        pa.array([W.pack(keys[a:b]) for a, b in cut], pa.binary()),
-                        pa.array(
-                            [node[:1].tobytes() + W.pack(number[a:b].astype(np.uint32)) for a, b in cut],
-                            pa.binary(),
-                        ),
-                        pa.array([W.pack(n[number[a:b]].astype(np.uint32)) for a, b in cut], pa.binary()),
-                    ],
-                    names=names,
-                )
+                waiting.append(_prefix(keys[mine], size[pick], node, shared.value))
+                if sum(len(x) for x, *_ in waiting) >= TOLD:
+                    yield told(waiting)
+                    waiting = []
+        if sum(len(x) for x, *_ in waiting):
+            yield told(waiting)
 
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(
         run, "node long, n long, one long, two long, bucket int, keys binary, nodes binary, sizes binary"
     )
 
 
+def _prefix(keys: np.ndarray, n: np.ndarray, node: np.ndarray, order: Order) -> tuple[np.ndarray, ...]:
+    """Of sets of ``n`` sorted shingles each the first quarter in the order: shingle, node, and n twice, plus
+    one for the first seventh. Two linked sets share one that is in the first seventh of the smaller."""
+    number = np.repeat(np.arange(len(n)), n)
+    rare = np.argsort(order.of(keys), kind="stable")  # rare first in each set
+    rare = rare[np.argsort(number[rare].astype(np.uint16 if len(n) <= 1 << 16 else np.uint32), kind="stable")]
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+    early = place < (n - least_overlap(n) + 1)[number]
+    seventh = place < (n - overlap(n, n) + 1)[number]
+    size = (2 * n[number] + seventh).astype(np.uint32)
+    return keys[rare[early]], node[number[early]], size[early]
+
+
 class Forest:
     """Union-find over 0 to n - 1."""
 
@@ -378,6 +399,8 @@ _NODES = ["node", "n", "one", "two", "a", "b"]
 
 
 def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes with a shingle, by size: each with the last one before it that has it in the first
+    seventh, if they are of similar size. Any two such nodes in between are joined one by one."""
     keys = np.concatenate([W.unpack(x.as_py()) for x in table["keys"]])
     nodes, sizes = [], []
     for blob, size in zip(table["nodes"], table["sizes"]):
@@ -391,10 +414,11 @@ def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     twice[1:] |= again
     twice[:-1] |= again
     order = order[twice]
-    order = order[np.lexsort((nodes[order], sizes[order], keys[order]))]
-    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-    near = (keys[1:] == keys[:-1]) & (4 * sizes[:-1] >= 3 * sizes[1:])
-    return _forest_links(nodes[:-1][near], nodes[1:][near])
+    order = order[np.lexsort((nodes[order], sizes[order] >> 1, keys[order]))]
+    keys, nodes, sizes, seventh = keys[order], nodes[order], sizes[order] >> 1, sizes[order] & 1 == 1
+    last = np.maximum.accumulate(np.where(seventh, np.arange(len(keys)), 0))[:-1]
+    near = seventh[last] & (keys[1:] == keys[last]) & (4 * sizes[last] >= 3 * sizes[1:])
+    return _forest_links(nodes[last[near]], nodes[1:][near])
 
 
 # 4: search within a block ----------------------------------------------------------------------
@@ -455,112 +479,182 @@ def merge_skip(lists: memoryview, spans: list[tuple[int, int]], least: int, low:
         steps.append(taken)
 
 
-def shared(one: np.ndarray, other: np.ndarray) -> int:
-    """Common members of two sorted sets."""
-    if not len(other):
-        return 0
-    at = np.minimum(np.searchsorted(other, one), len(other) - 1)
-    return int((other[at] == one).sum())
+#: Sets that are tried first, by how many of the lists they stand before the set in.
+GUESSES = 3
+#: Short lists that two sets must meet in before their other shingles are compared.
+MEET = 2
+#: Members that are looked at in one go.
+LOOK = 1 << 20
+
+
+def _numbered(keys: np.ndarray, kind: type) -> np.ndarray:
+    """Numbers from 0 on in place of keys."""
+    order = np.argsort(keys, kind="stable")
+    new = np.zeros(len(keys), kind)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    out = np.empty(len(keys), kind)
+    out[order] = np.cumsum(new, dtype=kind)
+    return out
 
 
-#: Sets that are tried first, by how many of the lists they are the last entry of.
-GUESSES = 3
+def _least(size: np.ndarray, smallest: int) -> np.ndarray:
+    """Shingles that sets of these sizes must share with any other set, of which none is below ``smallest``."""
+    return overlap(size, np.maximum(least_overlap(size), smallest))
+
+
+def _peeled(size: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members (owner, id) without those that one set has alone, and without sets that have too few left to
+    link with any; over and over, as a set that goes takes its members from the others."""
+    while len(ids):
+        keep = np.bincount(ids)[ids] > 1
+        left = np.bincount(owner[keep], minlength=len(size))
+        keep &= (left >= _least(size, size[owner[0]]))[owner]
+        gone = len(ids) - int(keep.sum())
+        owner, ids = owner[keep], ids[keep]
+        if 64 * gone <= len(ids):
+            break
+    return owner, ids
+
+
+class Lists:
+    """For each id, in a row, the sets that have it, ascending."""
+
+    def __init__(self, owner: np.ndarray, ids: np.ndarray, count: int):
+        self.order = np.argsort(ids, kind="stable")
+        self.sets = owner[self.order]
+        self.length = np.bincount(ids, minlength=count)
+        self.start = np.cumsum(self.length) - self.length
+
+    def top(self, rank: np.ndarray) -> np.ndarray:
+        """The largest rank in each list; -1 for an empty one."""
+        out, some = np.full(len(self.length), -1, np.int64), self.length > 0
+        if some.any():
+            out[some] = np.maximum.reduceat(rank[self.sets], self.start[some])
+        return out
+
+
+class Index:
+    """Sets by size without those that cannot link, their members rare first, and lists of sets by member."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.by_size = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        self.size = np.array([len(sets[i]) for i in self.by_size], np.int64)
+        keys = np.concatenate([sets[i] for i in self.by_size]) if len(sets) else np.empty(0, np.uint64)
+        kind = np.int32 if len(keys) < 1 << 31 else np.int64  # half the index's memory
+        owner = np.repeat(np.arange(len(self.size), dtype=kind), self.size)
+        owner, ids = _peeled(self.size, owner, _numbered(keys, kind))
+        del keys
+        ids = _numbered(ids, kind)
+        count = np.bincount(ids)
+        order = np.lexsort((ids, count[ids], owner))
+        self.ids = ids = ids[order]
+        self.begins, self.ends = (np.searchsorted(owner, np.arange(len(self.size)), x) for x in ("left", "right"))
+        self.some = np.flatnonzero(self.ends > self.begins)
+        self.lists = Lists(owner, ids, len(count))
+        self.marked = np.zeros(len(count), np.int32)
+        if not len(ids):
+            return
+        self.least = _least(self.size, self.size[self.some[0]])
+        self.meet = min(MEET, int(self.least[self.some].min()))
+        left = self.ends - self.begins
+        early = np.arange(len(ids)) - self.begins[owner] < (left - self.least + self.meet)[owner]
+        self.early = (left - self.least + self.meet).clip(0, left)
+        self.short = Lists(owner[early], ids[early], len(count))
+
+    def members(self, x: int) -> np.ndarray:
+        return self.ids[self.begins[x] : self.ends[x]]
+
+    def before(self) -> np.ndarray:
+        """For each member the set before its owner in the list; -1 where there is none."""
+        order, sets = self.lists.order, self.lists.sets
+        out = np.full(len(order), -1, sets.dtype)
+        out[order[1:]] = np.where(self.ids[order[1:]] == self.ids[order[:-1]], sets[:-1], -1)
+        return out
+
+    def common(self, q: int, others: np.ndarray) -> np.ndarray:
+        """Shared members of the set ``q`` and each of the others."""
+        mine, out = self.members(q), []
+        self.marked[mine] = 1
+        length = self.ends[others] - self.begins[others]
+        for part in np.array_split(np.arange(len(others)), 1 + int(length.sum()) // LOOK):
+            n = length[part]
+            off = np.cumsum(n) - n
+            at = np.repeat(self.begins[others[part]] - off, n) + np.arange(int(n.sum()))
+            out.append(np.add.reduceat(self.marked[self.ids[at]], off) if len(part) else off)
+        self.marked[mine] = 0
+        return np.concatenate(out)
 
 
 def search(sets: list[np.ndarray], steps: list[int] | None = None) -> list[tuple[int, int]]:
     """Links between sets, enough to connect all that hang together; places in ``sets``.
 
-    Sets are taken by size. One that is to be linked at all has earlier sets in three quarters of its
-    lists, which settles most at once. Then the sets met last are tried, as copies come together. From
-    there on only links out of its own group matter, so lists that hold nothing but that group are left
-    out: a group of near copies costs each of its sets a look at its own lists, however large it is. The
-    short ones of the other lists are merged by a heap that skips, and the long ones are probed.
+    Sets without enough shingles that others have are left out first. Then each set tries those that stand
+    before it in most of its lists, as copies come together. Of the groups that arise, a link between two
+    is found from the smaller one: a set only looks at lists that hold a larger group than its own, so a
+    group of near copies costs each of its sets a look at its own lists, however large it is. Sets that link
+    meet in the lists of shingles that are rare in both. These short lists are merged by a heap that
+    skips; what else two sets share is looked up for those that meet there.
     """
-    by_size = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    size = np.array([len(sets[i]) for i in by_size], np.int64)
-    ends = np.cumsum(size)
-    keys = np.concatenate([sets[i] for i in by_size]) if len(sets) else np.empty(0, np.uint64)
-    kind = np.int32 if len(keys) < 1 << 31 else np.int64  # of places: half the index's memory
-    order = np.argsort(keys, kind="stable").astype(kind)  # within a list, owners ascend
-    lists = np.repeat(np.arange(len(size), dtype=kind), size)[order]
-    new = np.ones(len(keys), bool)
-    ordered = keys[order]
-    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-    del ordered
-    head = np.flatnonzero(new).astype(kind)
-    head = np.repeat(head, np.diff(head, append=len(keys)))
-    begin = np.empty(len(keys), kind)
-    begin[order] = head
-    rank = np.empty(len(keys), kind)
-    rank[order] = np.arange(len(keys), dtype=kind) - head
-    del head, new, order
-    mixed = np.zeros(len(keys), bool)  # by a list's first place: it holds sets of several groups
-    view, groups, out = memoryview(lists), Groups(len(size)), []
-
-    def own(x: int) -> np.ndarray:
-        return keys[ends[x] - size[x] : ends[x]]
-
-    def link(c: int, q: int, common: int) -> bool:
-        if not linked(common, int(size[q]), int(size[c])):
-            return False
-        groups.join(c, q)
-        out.append((by_size[c], by_size[q]))
-        return True
-
-    for q in range(len(size)):
-        n, mine = int(size[q]), slice(ends[q] - size[q], ends[q])
-        start, length = begin[mine], rank[mine]  # length: sets before this one in each of its lists
-        need, some = least_overlap(n), length > 0
-        if int(some.sum()) >= need:
-            _search_one(q, n, need, start, length, some, own, link, groups, mixed, lists, view, size, steps)
-        if some.any():
-            first = start[some]
-            mixed[first] |= groups.root[lists[first]] != groups.root[q]
+    index = Index(sets)
+    size, groups, out = index.size, Groups(len(sets)), []
+    if not len(index.some):
+        return out
+
+    def link(q: int, others: np.ndarray) -> None:
+        for c in others[100 * (n := index.common(q, others)) >= 75 * (size[q] + size[others] - n)].tolist():
+            if groups.root[c] != groups.root[q]:
+                groups.join(c, q)
+                out.append((index.by_size[c], index.by_size[q]))
+
+    before = index.before()
+    for q in index.some.tolist():
+        guesses = before[index.begins[q] : index.ends[q]]
+        guesses, votes = np.unique(guesses[guesses >= 0], return_counts=True)
+        if steps is not None:
+            steps.append(int(size[q]))
+        guesses = guesses[np.argsort(-votes, kind="stable")][:GUESSES]
+        guesses = guesses[4 * size[guesses] >= 3 * size[q]]
+        if len(guesses):
+            link(q, guesses)
+    del before
+
+    number = np.array([len(m) for m in groups.members], np.int64)
+    rank = (number * len(size) + np.arange(len(size)))[groups.root]  # larger groups have larger ranks
+    top = index.lists.top(rank)
+    owner = np.repeat(index.some, (index.ends - index.begins)[index.some])
+    open_ = np.bincount(owner, top[index.ids] > rank[owner], len(size))  # lists with a larger group
+    top, view = index.short.top(rank), memoryview(index.short.sets)
+    for q in index.some[open_[index.some] >= index.least[index.some]].tolist():
+        _search_one(q, index, groups, rank, top, view, link, steps)
     return out
 
 
-def _search_one(q, n, need, start, length, some, own, link, groups, mixed, lists, view, size, steps) -> None:
-    """Link the set ``q`` with earlier ones."""
-    low = int(np.searchsorted(4 * size, 3 * n))  # smaller sets cannot share enough
-    last = lists[start[some] + length[some] - 1]
-    guesses, votes = np.unique(last[last >= low], return_counts=True)
-    for c in guesses[np.argsort(-votes, kind="stable")][:GUESSES].tolist():
-        if groups.root[c] != groups.root[q]:
-            link(c, q, shared(own(q), own(c)))
-    if steps is not None:
-        steps.append(n)
-    open_ = some & (mixed[start] | (groups.root[lists[start]] != groups.root[q]))
-    if int(open_.sum()) < need:
-        return
-    longest = int(length[open_].max())
-    skip = min(need - 1, int(need / (0.02 * math.log2(longest + 1) + 1)))  # long lists
-    places = np.flatnonzero(open_)
-    places = places[np.argsort(length[places], kind="stable")]
-    short, long = places[: max(len(places) - skip, 0)], places[max(len(places) - skip, 0) :]
-    spans = [(int(start[k]), int(start[k] + length[k])) for k in short]
-    probes = own(q)[np.sort(long)]
-    for c, hits in merge_skip(view, spans, max(need - len(long), 1), low, steps):
-        # Lists that were left out hold sets of this group only, so the count is whole for all others.
-        if groups.root[c] != groups.root[q]:
-            link(c, q, hits + shared(probes, own(c)))
+def _search_one(q, index, groups, rank, top, view, link, steps) -> None:
+    """Link the set ``q`` with sets of groups that were larger than its own."""
+    size, n, short = index.size, int(index.size[q]), index.short
+    low = int(np.searchsorted(4 * size, 3 * n))  # smaller or larger sets cannot share enough
+    lists = index.members(q)[: index.early[q]]
+    lists = lists[top[lists] > rank[q]]
+    spans = zip(short.start[lists].tolist(), (short.start[lists] + short.length[lists]).tolist())
+    met = np.array([c for c, _ in merge_skip(view, list(spans), index.meet, low, steps)], np.int64)
+    met = met[(3 * size[met] <= 4 * n) & (rank[met] > rank[q]) & (groups.root[met] != groups.root[q])]
+    if len(met):
+        link(q, met)
 
 
 def searched(rows: DataFrame) -> DataFrame:
-    """Links (a, b) within each ``task`` of rows (task, node, shingles)."""
+    """Links (a, b) within each cluster of a ``task`` of rows (task, cluster, node, shingles)."""
 
     def run(table: pa.Table) -> pa.Table:
-        own = {}
-        for node, blob in zip(table["node"].to_pylist(), table["shingles"]):
-            if node not in own:
-                own[node] = np.frombuffer(blob.as_py(), np.uint64)
-        nodes = sorted(own)
-        found = search([own[x] for x in nodes])
-        return pa.table(
-            {
-                "a": pa.array([nodes[i] for i, _ in found], pa.int64()),
-                "b": pa.array([nodes[j] for _, j in found], pa.int64()),
-            }
-        )
+        own, a, b = {}, [], []
+        for cluster, node, blob in zip(table["cluster"].to_pylist(), table["node"].to_pylist(), table["shingles"]):
+            own.setdefault(cluster, {}).setdefault(node, blob)
+        for sets in own.values():
+            nodes = sorted(sets)
+            found = search([np.frombuffer(sets[x].as_buffer(), np.uint64) for x in nodes])
+            a += [nodes[i] for i, _ in found]
+            b += [nodes[j] for _, j in found]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
@@ -649,6 +743,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
     placed = stored(placed, "placed")
     sets = sets_of(docs, text, _filter(placed)).hint("merge").join(placed, sign).drop("one", "two")
+    large = placed.where("parts > 1").select("node", "cluster", "part", "parts", "n")
+    several_blocks = not large.isEmpty()
+    if several_blocks:  # the sets are needed again, so the texts are not taken apart once more
+        sets = stored(sets, "sets")
 
     small = F.concat(F.lit("b"), F.pmod(F.xxhash64("cluster"), F.lit(blocks)))
     own = F.concat_ws("/", F.col("cluster").cast("string"), F.col("part").cast("string"))
@@ -659,11 +757,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
     several = F.when(F.col("part") == 0, everywhere).otherwise(F.array(own))
     tasks = F.when(F.col("parts") == 1, F.array(small)).otherwise(several)
-    links = stored(searched(sets.select(F.explode(tasks).alias("task"), "node", "shingles")), "links")
+    links = stored(searched(sets.select(F.explode(tasks).alias("task"), "cluster", "node", "shingles")), "links")
     groups = connected(links)
 
-    large = placed.where("parts > 1").select("node", "cluster", "part", "parts", "n")
-    if not large.isEmpty():
+    if several_blocks:
         labelled = stored(
             large.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "large"
         )
@@ -680,7 +777,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             "node", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
             "shingles", "turn",
         )
-        late = searched(index.unionByName(queries).select(name, "node", "shingles"))
+        late = searched(index.unionByName(queries).select(name, "cluster", "node", "shingles"))
         groups = connected(links.unionAll(stored(late, "late")))
 
     classes = members.where("n > 0").groupBy(*sign).agg(F.min("id").alias("rep"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paragauge.llm import jaccard_join as J
@@ -154,6 +155,64 @@ def test_links_between_groups_are_found():
     assert len({together.find(x) for x in range(61)}) == 1
 
 
+def edited_copies(n):
+    """Sets with 70 to 97 of a hundred common shingles, and others of their own: most link with none."""
+    some = np.random.default_rng(n)
+    whole = some.integers(0, 1 << 62, 100, dtype=np.uint64)
+    out = []
+    for kept in some.choice([70, 80, 88, 90, 91, 92, 94, 97], n):
+        own = some.integers(1 << 62, 1 << 63, 100 - kept, dtype=np.uint64)
+        out.append(np.sort(np.concatenate([some.permutation(whole)[:kept], own])))
+    return out
+
+
+def test_edited_copies_that_do_not_link_are_seldom_compared():
+    n, steps, found, want = 600, [], J.Forest(600), J.Forest(600)
+    sets = edited_copies(n)
+    for a, b in J.search(sets, steps):
+        found.join(a, b)
+    for a in range(n):
+        for b in range(a):
+            if J.linked(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), len(sets[a]), len(sets[b])):
+                want.join(a, b)
+    groups = {want.find(x) for x in range(n)}
+    assert [found.find(x) for x in range(n)] == [want.find(x) for x in range(n)] and n // 4 < len(groups) < n
+    assert sum(steps) < 5 * n * n
+
+
+def near(sets):
+    """Cluster of each set, of the sets as one task tells them."""
+    order = J.Order(np.zeros(1 << J.SLOT_BITS - 2, np.uint8), np.empty(0, np.uint32), np.empty(0, np.uint8))
+    n = np.array([len(s) for s in sets])
+    keys, node, size = J._prefix(np.concatenate(sets), n, np.arange(len(sets)), order)
+    table = pa.table(
+        {"keys": [J.W.pack(keys)], "nodes": [bytes(8) + J.W.pack(node.astype(np.uint32))], "sizes": [J.W.pack(size)]}
+    )
+    forest = J.Forest(len(sets))
+    for a, b in zip(*(x.tolist() for x in J._near(table))):
+        forest.join(a, b)
+    return [forest.find(x) for x in range(len(sets))]
+
+
+def test_clusters_hold_all_links_and_little_else():
+    some, links = random.Random(5), 0
+    for _ in range(40):
+        pool = [some.getrandbits(63) for _ in range(60)]
+        sets = [np.array(sorted(some.sample(pool, some.randint(30, 56))), np.uint64) for _ in range(12)]
+        label = near(sets)
+        for a in range(12):
+            for b in range(a):
+                if J.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
+                    links += 1
+                    assert label[a] == label[b]
+    assert links > 100
+    # Sets of 28 must share 24, so one of the first five; a common seventh one is of no use.
+    one, other = np.arange(1, 29, dtype=np.uint64) * 10, np.arange(1, 29, dtype=np.uint64) * 10 + 5
+    other[6] = one[6]
+    assert near([one, other]) == [0, 1]
+    assert near([one, one]) == [0, 0]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (300, 200)]
     got = {r.node: r.label for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
